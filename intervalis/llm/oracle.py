@@ -22,7 +22,7 @@ def quality_sql(source: str = "documents", columns: str = "doc_id, n_words, word
     return rf"""
 WITH d AS (SELECT *, row_number() OVER () AS rid, coalesce(text, '') AS body FROM {source}),
  w AS (SELECT rid, regexp_extract_all(body, '[^\x20\x09-\x0D]+') AS words,
-              list_filter(string_split(body, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+              list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
  g AS (SELECT rid, p, words[p] || ' ' || words[p + 1] || ' ' || words[p + 2] AS gram
        FROM (SELECT rid, words, unnest(range(1, len(words) - 1)) AS p FROM w)),
  r AS (SELECT rid, p FROM (SELECT rid, p, count(*) OVER (PARTITION BY rid, gram) AS n FROM g) WHERE n > 1),
@@ -31,7 +31,7 @@ WITH d AS (SELECT *, row_number() OVER () AS rid, coalesce(text, '') AS body FRO
               length(regexp_replace(body, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
               length(regexp_replace(body, '[^\p{{Lu}}]+', '', 'g'))::BIGINT AS n_upper,
               len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
-              len(list_filter(words, x -> lower(x) IN ({stop})))::BIGINT AS n_stop_words, coalesce(c.n, 0)::BIGINT AS n_repeat_words
+              len(list_filter(words, lambda x: lower(x) IN ({stop})))::BIGINT AS n_stop_words, coalesce(c.n, 0)::BIGINT AS n_repeat_words
        FROM d JOIN w USING (rid) LEFT JOIN c USING (rid)),
  b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT {columns} FROM (SELECT *, NOT base_failed AND {' AND '.join(tests)} AS kept FROM b)
