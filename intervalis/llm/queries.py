@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import flac_media, quality_rules
 from .common import table
 
 
@@ -13,6 +13,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = flac_media.with_media(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return flac_media.media_digests(stored)
+
+
 QUERIES = {
     "op5_quality_rules": op5_quality_rules,
+    "op8_flac_media": op8_flac_media,
 }
