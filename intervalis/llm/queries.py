@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import flac_media, quality_rules
-from .common import table
+from . import flac_media, language_id, quality_rules, toxicity
+from .common import crc_remainder, table
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,6 +14,20 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = toxicity.fit(documents, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(documents.select("doc_id", "text"), model)
+    return scored.select("doc_id", F.coalesce(crc_remainder(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    network = language_id.fit(documents)
+    found = language_id.identify(documents.select("doc_id", "text"), network)
+    return found.select("doc_id", F.coalesce(crc_remainder(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op8_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = flac_media.with_media(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return flac_media.media_digests(stored)
@@ -20,5 +35,7 @@ def op8_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op5_quality_rules": op5_quality_rules,
+    "op6_toxicity": op6_toxicity,
+    "op7_language_id": op7_language_id,
     "op8_flac_media": op8_flac_media,
 }
