@@ -38,6 +38,16 @@ SELECT {columns} FROM (SELECT *, NOT base_failed AND {' AND '.join(tests)} AS ke
 """
 
 
+_WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+ d AS (SELECT page_id, strlen(body)::BIGINT AS payload_bytes, sha1(body) AS payload_digest,
+              CASE WHEN strlen(body) >= 1000 THEN max(page_id) OVER (PARTITION BY body) ELSE page_id END AS top FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < top THEN top END AS refers_to FROM d
+"""
+
+
 ORACLE = {
     "op5_quality_rules": quality_sql(),
+    "op10_warc_index": _WARC,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import flac_media, language_id, packing, quality_rules, toxicity
+from . import flac_media, language_id, packing, quality_rules, toxicity, warc_index
 from .common import crc_remainder, table
 
 
@@ -43,10 +43,16 @@ def op8_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac_media.media_digests(stored)
 
 
+def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, directory, folder = warc_index.archive(table(spark, sf_dir, "pages"))
+    return warc_index.read_back(directory, folder)
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op5_quality_rules": op5_quality_rules,
     "op6_toxicity": op6_toxicity,
     "op7_language_id": op7_language_id,
     "op8_flac_media": op8_flac_media,
+    "op10_warc_index": op10_warc_index,
 }
