@@ -46,3 +46,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def crc_remainder(key: Column, modulus: int) -> Column:
     """crc32 of the key's decimal text, modulo; null for a null key."""
     return F.crc32(key.cast("string").cast("binary")) % F.lit(modulus)
+
+
+def first_by_hash(df: DataFrame, key: str, n: int, total: int) -> DataFrame:
+    """The n rows with the smallest hash of the key, of about total rows.
+
+    Hashes are even, so a threshold leaves little more than n rows before the sort: the last task reads a bounded number of
+    rows however many partitions there are.
+    """
+    share = min(1.0, (2 * n + 100) / max(1, total))
+    h = F.xxhash64(key)
+    return df.where(F.shiftrightunsigned(h, 1) <= F.lit(min(2**63 - 1, int(share * 2**63)))).orderBy(h, key).limit(n)

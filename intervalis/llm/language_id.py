@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_remainder, small_batches
+from .common import crc_remainder, first_by_hash, small_batches
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -146,12 +146,13 @@ def predict(network: Network, texts: list[str | None]) -> tuple[list[str], list[
 def fit(documents: DataFrame, folds: int = 3, held_out: int = 1) -> Network:
     """Learns lang from text of documents outside the held-out fold of crc32(doc_id as text)."""
     known = documents.where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").where(crc_remainder(F.col("doc_id"), folds) != held_out)
-    order, picked = F.xxhash64("doc_id"), None
+    place, picked = F.xxhash64("doc_id"), None
     room = F.greatest(F.length("text") - PASSAGE, F.lit(0)) + 1
-    passage = F.substring(F.col("text"), (F.pmod(order, room) + 1).cast("int"), F.lit(PASSAGE))
-    names = sorted(r.lang for r in known.select("lang").distinct().collect())  # as many as there are languages
-    for name in names:
-        own = known.where(F.col("lang") == name).select("lang", passage.alias("passage"), order.alias("h")).orderBy("h").limit(DOCS_PER_LANGUAGE)
+    passage = F.substring(F.col("text"), (F.pmod(place, room) + 1).cast("int"), F.lit(PASSAGE))
+    totals = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}  # as many rows as there are languages
+    for name, total in sorted(totals.items()):
+        own = first_by_hash(known.where(F.col("lang") == name), "doc_id", DOCS_PER_LANGUAGE, total)
+        own = own.select("lang", passage.alias("passage"), place.alias("h"))
         picked = own if picked is None else picked.unionAll(own)
     rows = picked.collect() if picked is not None else []
     rows = sorted((r.lang, r.h, r.passage) for r in rows)

@@ -23,15 +23,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_remainder, small_batches
+from .common import crc_remainder, first_by_hash, small_batches
 
 BUCKETS = 1 << 18
 GRAMS = (3, 4, 5, 6)
 DIM = 8
 SEGMENT = 16
-TOXIC_DOCS, CLEAN_DOCS = 3000, 6000
+TOXIC_DOCS, CLEAN_DOCS = 1500, 2500
 THRESHOLD = 0.3
 _CACHE_WORDS = 300_000
+_CHUNK = 20_000
 
 
 def _gram_hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -75,6 +76,8 @@ class Model:
     def word_logits(self, words: list[str]) -> np.ndarray:
         if not words:
             return np.zeros(0, dtype=np.float32)
+        if len(words) > _CHUNK:
+            return np.concatenate([self.word_logits(words[i : i + _CHUNK]) for i in range(0, len(words), _CHUNK)])
         buckets, counts = _gram_hashes(words)
         starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
         return (np.add.reduceat(self.weights[buckets], starts) / counts).astype(np.float32)
@@ -144,12 +147,14 @@ def train(texts: list[str], labels: list[int], epochs: int = 150, rate: float =
     prior = float(np.log(share / (1 - share)))
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(BUCKETS, dtype=np.float32), prior, (1.0, 0.0))
-    split = [(t or "").lower().split() for t in texts]
     vocabulary: dict[str, int] = {}
-    ids = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in ws], dtype=np.int64) for ws in split]
+    ids = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in (t or "").lower().split()], dtype=np.int32) for t in texts]
     words = list(vocabulary) or [""]
-    buckets, counts = _gram_hashes(words)
-    owner = np.repeat(np.arange(len(words)), counts)
+    del vocabulary
+    hashed = [_gram_hashes(words[i : i + _CHUNK]) for i in range(0, len(words), _CHUNK)]  # in chunks, to bound the driver's memory
+    buckets, counts = np.concatenate([h[0].astype(np.int32) for h in hashed]), np.concatenate([h[1] for h in hashed])
+    del hashed
+    owner = np.repeat(np.arange(len(words), dtype=np.int32), counts)
     held = np.arange(len(y)) % 5 == 4
     docs = np.flatnonzero(~held & np.array([len(i) > 0 for i in ids]))
     used = _telling(docs, ids, y, buckets, counts, evidence)
@@ -201,14 +206,16 @@ def fit(documents: DataFrame, labels: DataFrame, folds: int = 4, held_out: int =
     """Learns labels.toxic from documents outside the held-out fold of crc32(doc_id as text)."""
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)")
     known = known.where(crc_remainder(F.col("doc_id"), folds) != held_out)
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    picked = known.where("toxic = 1").orderBy(*order).limit(TOXIC_DOCS).union(known.where("toxic = 0").orderBy(*order).limit(CLEAN_DOCS))
+    totals = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    bounds = ((1, TOXIC_DOCS), (0, CLEAN_DOCS))
+    toxic, clean = (first_by_hash(known.where(F.col("toxic") == v), "doc_id", n, totals.get(v, 0)) for v, n in bounds)
+    picked = toxic.unionAll(clean)
     chosen = {r.doc_id: r.toxic for r in picked.collect()}  # at most TOXIC_DOCS + CLEAN_DOCS ids
     if not chosen:
         return train([], [])
     spark = documents.sparkSession
     ids = spark.createDataFrame([(i,) for i in sorted(chosen)], "doc_id bigint")
-    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id", "left_semi").collect()
+    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id", "left_semi").toLocalIterator()
     rows = sorted({r.doc_id: r.text or "" for r in rows}.items())
     return train([t for _, t in rows], [chosen[i] for i, _ in rows])
 
