@@ -83,8 +83,8 @@ def surt(url: str | None) -> str:
     return "".join(f"{head}){parts.path or '/'}{query}".split())
 
 
-def decide(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload, digest, record_type and refers_to of every page.
+def decide(pages: DataFrame, archives: int) -> DataFrame:
+    """page_id, url, payload, digest, record_type and refers_to of every page, dealt by page_id into archives.
 
     The largest page_id of each digest comes from an aggregation that combines before its shuffle; html moves once, keyed by
     page_id, so a payload that a third of all pages share makes no hot task.
@@ -95,8 +95,10 @@ def decide(pages: DataFrame) -> DataFrame:
     keys = rows.where((F.length("payload") >= REVISIT_BYTES) & F.col("page_id").isNotNull()).select("page_id", "digest")
     groups = keys.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("least")).where("refers_to > least")
     revisits = keys.join(groups, "digest").where("page_id < refers_to").select("page_id", "digest", "refers_to").distinct()
+    revisits = revisits.groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("digest", "refers_to"))).alias("referred"))
+    joined = rows.repartition(archives, "page_id").join(revisits, "page_id", "left").withColumn("refers_to", F.col("referred")[F.col("digest")])
     kind = F.when(F.col("refers_to").isNull(), "response").otherwise("revisit")
-    return rows.join(revisits, ["page_id", "digest"], "left").select("page_id", "url", "payload", "digest", kind.alias("record_type"), "refers_to")
+    return joined.select("page_id", "url", "payload", "digest", kind.alias("record_type"), "refers_to")
 
 
 def _header(value: str) -> str:
@@ -174,8 +176,8 @@ class _Writer:
         self.fs.move(self.temporary, self.final)
 
 
-def write_archives(records: DataFrame, folder: str, archives: int) -> DataFrame:
-    """Writes the archives and returns their captures; each archive holds the page_ids of one hash partition, sorted."""
+def write_archives(records: DataFrame, folder: str) -> DataFrame:
+    """Writes the archives and returns their captures; each holds one partition of the records, sorted."""
     import pyarrow as pa
 
     small_batches(records.sparkSession)
@@ -196,7 +198,7 @@ def write_archives(records: DataFrame, folder: str, archives: int) -> DataFrame:
         if out:
             out.close()
 
-    dealt = records.repartition(archives, F.xxhash64("page_id", "digest")).sortWithinPartitions("page_id", "digest", "url")
+    dealt = records.sortWithinPartitions("page_id", "digest", "url")
     return materialize(dealt.mapInArrow(run, CAPTURES), "captures")
 
 
@@ -305,7 +307,7 @@ def archive(pages: DataFrame, folder: str | None = None, archives: int | None =
     if archives is None:
         size = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
         archives = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // ARCHIVE_BYTES))
-    captures = write_archives(decide(pages), folder, archives)
+    captures = write_archives(decide(pages, archives), folder)
     return captures, build_index(captures, folder, archives), folder
 
 
