@@ -26,8 +26,8 @@ from .common import WORD, small_batches
 CAPACITY = 4096
 SHARD_DOCS = 4096
 END_ID = 2
-#: Words whose ids a worker remembers; rarer ones are encoded again.
-CACHE_WORDS = 300_000
+#: Words, and parts of words, whose ids a worker remembers; rarer ones are encoded again.
+CACHE_WORDS, CACHE_PARTS = 300_000, 800_000
 
 PIECES = T.StructType(
     [
@@ -39,29 +39,43 @@ PIECES = T.StructType(
     ]
 )
 _caches: dict[str, tuple] = {}
+#: A word of Latin letters with ASCII punctuation behind it. The tokenizer cuts between the two and lowers the letters itself.
+_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 def _encoder(path: str):
-    """The tokenizer, and the ids of words met so far (little-endian unsigned 32-bit), kept for a worker's life."""
+    """The tokenizer, and the ids of words and of their parts met so far (unsigned 32-bit), kept for a worker's life."""
     if path not in _caches:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _caches[path] = (Tokenizer.from_file(path), {})
+        _caches[path] = (Tokenizer.from_file(path), {}, {"": b""})
     return _caches[path]
 
 
+def _encode_words(words: list[str], path: str) -> dict[str, bytes]:
+    """Ids of words. Letters and punctuation of a plain word are encoded apart, since the same parts recur in many words."""
+    tokenizer, _, parts = _encoder(path)
+    split = [m.groups() if (m := _PLAIN.fullmatch(w)) else (None, w) for w in words]
+    split = [(None if a is None else a.lower(), b) for a, b in split]
+    new = list({p for pair in split for p in pair if p is not None and p not in parts})
+    encoded = tokenizer.encode_batch_fast(new, add_special_tokens=False)
+    fresh = {p: np.array(e.ids, dtype="<u4").tobytes() for p, e in zip(new, encoded, strict=True)}
+    ids = lambda p: fresh[p] if p in fresh else parts[p]
+    out = {w: (b"" if a is None else ids(a)) + ids(b) for w, (a, b) in zip(words, split, strict=True)}
+    if (room := CACHE_PARTS - len(parts)) > 0:
+        parts.update(list(fresh.items())[:room])
+    return out
+
+
 def token_bytes(texts: list[str | None], path: str, end_id: int = END_ID) -> list[bytes]:
     """Each text's ids and the end id, packed as unsigned 32-bit. The tokenizer splits at white space, so words are encoded apart."""
-    tokenizer, known = _encoder(path)
+    _, known, _ = _encoder(path)
     words = [re.findall(WORD, t or "") for t in texts]
-    new = list({w for ws in words for w in ws if w not in known})
-    encoded = tokenizer.encode_batch_fast(new, add_special_tokens=False)
-    fresh = {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(new, encoded, strict=True)}
-    room = CACHE_WORDS - len(known)
-    if room > 0:
+    fresh = _encode_words(list({w for ws in words for w in ws if w not in known}), path)
+    if (room := CACHE_WORDS - len(known)) > 0:
         known.update(list(fresh.items())[:room])
     end = np.array([end_id], dtype="<u4").tobytes()
     out = []
