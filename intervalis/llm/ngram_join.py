@@ -119,6 +119,25 @@ def set_key(own: np.ndarray) -> tuple[int, int]:
     return int(a.view(np.int64)[0]), int(np.array([b], dtype=np.uint64).view(np.int64)[0])
 
 
+def bitmap(own: np.ndarray) -> bytes:
+    """The parities of how many shingles fall on each bit; at least one bit for each shingle, a power of two in all."""
+    bits = 1 << max(6, len(own).bit_length())
+    place = (mix(own ^ _M2) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_qualify(n: int, m: int, x: bytes, y: bytes) -> bool:
+    """False only if two sets of sizes n and m cannot be similar enough: unequal bits are a lower bound of their difference.
+
+    The larger bitmap is folded to the smaller one's size; parities survive that.
+    """
+    x, y = sorted((np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    shared = (n + m - int(np.bitwise_count(x ^ y).sum())) // 2
+    return DENOMINATOR * shared >= NUMERATOR * (n + m - shared)
+
+
 def _overlap(n: int) -> int:
     """The least intersection of a set of size n with any partner."""
     return -(-NUMERATOR * n // DENOMINATOR)
@@ -181,7 +200,7 @@ def _batch_sets(batch, text: str):
 
 
 _PROFILE = T.StructType(
-    [T.StructField(c, T.LongType()) for c in ("doc_id", "cid", "proof", "n", "bucket")] + [T.StructField("blob", T.BinaryType())]
+    [T.StructField(c, T.LongType()) for c in ("doc_id", "cid", "proof", "n", "bucket")] + [T.StructField(c, T.BinaryType()) for c in ("bits", "blob")]
 )
 _COUNT_BUCKETS = 64
 
@@ -207,14 +226,14 @@ def _profile(docs: DataFrame) -> DataFrame:
             rows = []
             for b in np.unique(bucket).tolist():
                 mine = bucket == b
-                rows.append((None, None, None, None, b, tokens[mine].tobytes() + counts[mine].astype(np.int64).tobytes()))
+                rows.append((None, None, None, None, b, None, tokens[mine].tobytes() + counts[mine].astype(np.int64).tobytes()))
             return _arrow(zip(*rows, strict=True), _PROFILE) if rows else None
 
         for batch in batches:
             ids, rows = batch.column("doc_id").to_pylist(), []
             for j, own in _batch_sets(batch, "text"):
                 cid, proof = set_key(own)
-                rows.append((ids[j], cid, proof, len(own), None, None))
+                rows.append((ids[j], cid, proof, len(own), None, bitmap(own), None))
                 if cid not in seen:
                     seen.add(cid)
                     sets.append(own)
@@ -449,8 +468,25 @@ def _sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
 _LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
-def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+def _possible(profile: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs that their bitmaps, a bit or two for each shingle, do not rule out."""
+    maps = profile.where("n > 0").dropDuplicates(["cid"])
+    left = maps.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
+    right = maps.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
+
+    def run(batches):
+        for batch in batches:
+            kept = [(a, b) for a, b, *rest in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "na", "nb", "xa", "xb")), strict=True) if may_qualify(*rest)]
+            if kept:
+                yield _arrow(zip(*kept, strict=True), _LINKS)
+
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "xa", "xb")
+    return materialize(joined.mapInArrow(run, _LINKS), "possible")
+
+
+def _verify(docs: DataFrame, profile: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs whose whole sets are similar enough. Large stars are split by the join's skew handling."""
+    pairs = _possible(profile, pairs)
     sets = _sets(docs, classes, pairs)
     left = sets.select(F.col("cid").alias("b"), F.col("shingles").alias("sb"))
     right = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("sa"))
@@ -522,12 +558,12 @@ def link(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     buckets = max(64, -(-total // DOCS_PER_BUCKET))
     found = _candidates(_index(docs, *_frequent(profile), buckets))
     pairs = materialize(found.where("list_id IS NULL").select("a", "b").distinct(), "pairs")
-    links = _verify(docs, classes, pairs)
+    links = _verify(docs, profile, classes, pairs)
     labels = connected(links, "a", "b")
     lists = found.where("list_id IS NOT NULL")
     rest = materialize(_across(lists, labels).distinct().join(pairs, ["a", "b"], "left_anti"), "across")
     if not rest.isEmpty():
-        links = links.unionAll(_verify(docs, classes, rest))
+        links = links.unionAll(_verify(docs, profile, classes, rest))
         labels = connected(links, "a", "b")
     named = classes.where("n > 0").select(F.col("cid").alias("node"), "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
