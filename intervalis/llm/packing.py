@@ -42,6 +42,8 @@ _caches: dict[str, tuple] = {}
 #: A word of Latin letters with ASCII punctuation behind it. The tokenizer cuts between the two and lowers the letters itself.
 _PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
 
+_CONTROL = re.compile("[\x1c-\x1f]")
+
 
 def _encoder(path: str):
     """The tokenizer, and the ids of words and of their parts met so far (unsigned 32-bit), kept for a worker's life."""
@@ -70,19 +72,23 @@ def _encode_words(words: list[str], path: str) -> dict[str, bytes]:
     return out
 
 
+def _words(text: str | None) -> list[str]:
+    """Words between white space as the tokenizer sees it; Python's split would also cut at four control characters."""
+    text = text or ""
+    return re.findall(WORD, text) if _CONTROL.search(text) else text.split()
+
+
 def token_bytes(texts: list[str | None], path: str, end_id: int = END_ID) -> list[bytes]:
     """Each text's ids and the end id, packed as unsigned 32-bit. The tokenizer splits at white space, so words are encoded apart."""
     _, known, _ = _encoder(path)
-    words = [re.findall(WORD, t or "") for t in texts]
-    fresh = _encode_words(list({w for ws in words for w in ws if w not in known}), path)
-    if (room := CACHE_WORDS - len(known)) > 0:
-        known.update(list(fresh.items())[:room])
+    words = [_words(t) for t in texts]
+    room = CACHE_WORDS - len(known)
+    new = [w for w in set().union(*words) if w not in known]
+    known.update(_encode_words(new, path))
     end = np.array([end_id], dtype="<u4").tobytes()
-    out = []
-    for ws in words:
-        parts = [known[w] if w in known else fresh[w] for w in ws]
-        parts.append(end)
-        out.append(b"".join(parts))
+    out = [b"".join(map(known.__getitem__, ws)) + end for ws in words]
+    for w in new[max(0, room) :]:
+        del known[w]
     return out
 
 
