@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import flac_media, html_extract, language_id, ngram_join, packing, quality_rules, suffix_dedup, toxicity, warc_index
+from . import flac_media, html_extract, language_id, ngram_join, packing, quality_rules, sp_sampling, suffix_dedup, toxicity, warc_index
 from .common import crc_remainder, table
 
 
@@ -57,6 +57,18 @@ def op8_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac_media.media_digests(stored)
 
 
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op9_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampled segmentations serve fine-tuning on dialogue: all turns of ``conversations``, three samples each."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return sp_sampling.sample(turns, piece_model(), ["conv_id", "turn"])
+
+
 def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, directory, folder = warc_index.archive(table(spark, sf_dir, "pages"))
     return warc_index.read_back(directory, folder)
@@ -71,5 +83,6 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_language_id": op7_language_id,
     "op8_flac_media": op8_flac_media,
+    "op9_sentencepiece_sampling": op9_sentencepiece_sampling,
     "op10_warc_index": op10_warc_index,
 }
