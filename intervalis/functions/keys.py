@@ -6,7 +6,6 @@ key. Its order also looks at the end. Times are epoch milliseconds.
 
 from __future__ import annotations
 
-import functools
 import uuid as uuid_lib
 from dataclasses import dataclass, field
 
@@ -22,7 +21,6 @@ LONG_MIN, LONG_MAX = -(1 << 63), (1 << 63) - 1
 ID, START, END, ACTIVE, GROUP, SEGMENT = "k_id", "k_start", "k_end", "k_active", "k_group", "k_segment"
 
 
-@functools.total_ordering
 @dataclass(frozen=True, eq=False)
 class Key:
     """A key has a grouping number, which decides on its segment, and a total order that starts with it."""
@@ -48,10 +46,18 @@ class Key:
     def __hash__(self):
         return hash((type(self).__name__, self.id))
 
+    # Order and equality differ by design, so none of these is derived from ==.
     def __lt__(self, other):
-        if other is None:
-            return True
-        return self.order() < other.order() if isinstance(other, Key) else NotImplemented
+        return other is None or self.order() < other.order()
+
+    def __le__(self, other):
+        return other is None or self.order() <= other.order()
+
+    def __gt__(self, other):
+        return other is not None and self.order() > other.order()
+
+    def __ge__(self, other):
+        return other is not None and self.order() >= other.order()
 
     def overlaps(self, low: int, high: int) -> bool:
         return low <= self.group() <= high

@@ -1,10 +1,451 @@
-"""Queries of the catalogue, with the SQL that must give the same rows."""
+"""A catalogue of queries over the driver's tables, each with the SQL that must give the same rows.
+
+Tables become collections as follows: events are a time collection (errors are still active, other events last some minutes),
+orders and suppliers have long keys, nations and parts integer keys, customers string keys.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions import hashing, segments
+from ..functions import keys as K
+from ..operators import indexes, mutations
+from ..sources.backup import time_slice
+from .conditions import Index
+from .query import Query
+
+A, B = 1704700000000, 1705000000000
+DAY = segments.SIZES["TIME_1_DAY"]
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def events_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start = F.unix_millis(F.col("ts").cast("timestamp"))
+    active = F.col("event_type") == "error"
+    end = F.when(~active, start + (F.col("event_id") % 240) * 60000)
+    return _table(spark, sf_dir, "events").select(
+        F.col("event_id").alias(K.ID), start.alias(K.START), end.alias(K.END), active.alias(K.ACTIVE), "user_id", "event_type", "value"
+    )
+
+
+def events(spark: SparkSession, sf_dir: str) -> Query:
+    return Query(events_frame(spark, sf_dir), K.TimeKey, K.LongKey, "events")
+
+
+EV = """WITH ev AS (SELECT event_id AS k_id, epoch_us(ts) // 1000 AS k_start,
+ CASE WHEN event_type <> 'error' THEN epoch_us(ts) // 1000 + (event_id % 240) * 60000 END AS k_end,
+ event_type = 'error' AS k_active, user_id, event_type, value FROM events) """
+_ALL = "SELECT k_id, k_start, k_end, k_active, user_id, event_type, value FROM ev"
+_OVERLAP = f"k_start < {B} AND (k_active OR k_end >= {A})"
+
 QUERIES: dict = {}
 ORACLE: dict = {}
 
 
-def time_overlap(spark, sf_dir):
-    raise NotImplementedError
+def _add(name: str, sql: str | None):
+    def register(function):
+        QUERIES[name] = function
+        if sql is not None:
+            ORACLE[name] = sql
+        return function
+
+    return register
+
+
+def _time(name: str, where: str, build) -> None:
+    QUERIES[name] = lambda spark, sf_dir: build(events(spark, sf_dir)).rows()
+    ORACLE[name] = f"{EV}{_ALL} WHERE {where}"
+
+
+# -- time conditions
+
+
+@_add("time_overlap", f"{EV}{_ALL} WHERE {_OVERLAP}")
+def time_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that overlap an interval, in key order."""
+    return events(spark, sf_dir).after_or_at(A).before(B).ordered()
+
+
+_time("time_before", f"k_start < {B}", lambda q: q.before(B))
+_time("time_before_or_at", f"k_start <= {B}", lambda q: q.before_or_at(B))
+_time("time_after", f"k_active OR k_end > {A}", lambda q: q.after(A))
+_time("time_after_or_at", f"k_active OR k_end >= {A}", lambda q: q.after_or_at(A))
+_time("time_by_start", f"k_start BETWEEN {A} AND {B - 1}", lambda q: q.after_or_at(A).before(B).by_start_time())
+_time("time_active", f"{_OVERLAP} AND k_active", lambda q: q.after_or_at(A).before(B).key_is_active())
+_time("time_not_active", f"{_OVERLAP} AND NOT k_active", lambda q: q.after_or_at(A).before(B).key_is_not_active())
+_time("time_narrowed", f"k_start < {B} AND (k_active OR k_end >= {A + 3_600_000})", lambda q: q.after_or_at(A).after(A + 3_599_999).before_or_at(B + 5).before(B))
+_time("where_object", "value > 100 AND event_type <> 'view'", lambda q: q.where((F.col("value") > 100) & (F.col("event_type") != "view")))
+_time("where_object_and_time", f"{_OVERLAP} AND value > 100", lambda q: q.where(F.col("value") > 100).after_or_at(A).before(B))
+_time("where_function", f"{_OVERLAP} AND event_type = 'click'", lambda q: q.after_or_at(A).before(B).where(lambda v: v.event_type == "click"))
+_time("query_all", "true", lambda q: q)
+
+
+@_add("segment_pruned_overlap", f"{EV}SELECT k_id, k_start, k_end, k_active FROM ev WHERE {_OVERLAP}")
+def segment_pruned_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The overlap with the predicates on segments that prune a partitioned table; the longest event lasts 239 minutes."""
+    frame = events_frame(spark, sf_dir).withColumn(K.SEGMENT, segments.segment_of(F.col(K.START), DAY))
+    query = Query(frame, K.TimeKey, K.LongKey, "events", DAY, 239 * 60_000)
+    return query.after_or_at(A).before(B).rows().select(K.ID, K.START, K.END, K.ACTIVE)
+
+
+# -- keys
+
+_SET = "k_id % 7 = 3"
+
+
+@_add("where_key_in", f"{EV}SELECT k_id, k_start FROM ev WHERE {_SET}")
+def where_key_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A key set of any size is a semi-join."""
+    keys = events_frame(spark, sf_dir).where(F.col(K.ID) % 7 == 3)
+    return events(spark, sf_dir).where_key_in(keys).rows().select(K.ID, K.START)
+
+
+@_add("key_in_with_bounds", f"{EV}SELECT k_id, k_start FROM ev WHERE {_SET} AND {_OVERLAP}")
+def key_in_with_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = events_frame(spark, sf_dir).where(F.col(K.ID) % 7 == 3)
+    return events(spark, sf_dir).where_key_in(keys).after_or_at(A).before(B).rows().select(K.ID, K.START)
+
+
+@_add("key_in_intersection", f"{EV}SELECT k_id, k_start FROM ev WHERE {_SET} AND k_id % 5 = 1")
+def key_in_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = events_frame(spark, sf_dir)
+    found = events(spark, sf_dir).where_key_in(own.where(F.col(K.ID) % 7 == 3)).where_key_in(own.where(F.col(K.ID) % 5 == 1))
+    return found.rows().select(K.ID, K.START)
+
+
+@_add("key_in_literals", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey IN (1, 5, 9, 33, 100000000)")
+def key_in_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame = _table(spark, sf_dir, "orders").withColumn(K.ID, F.col("o_orderkey"))
+    return Query(frame, K.LongKey, K.LongKey, "orders").where_key_in([K.LongKey(i) for i in (1, 5, 9, 33, 100000000)]).rows().select("o_orderkey", "o_totalprice")
+
+
+@_add("get_by_key", f"{EV}{_ALL} WHERE k_id = 42")
+def get_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame = events_frame(spark, sf_dir)
+    start = frame.where(F.col(K.ID) == 42).select(K.ID, K.START)
+    return events(spark, sf_dir).where_key_in(start).rows()
+
+
+@_add("contains_key", "SELECT count(*) > 0 AS found FROM orders WHERE o_orderkey = 7")
+def contains_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame = _table(spark, sf_dir, "orders").withColumn(K.ID, F.col("o_orderkey"))
+    return frame.where(K.matches(K.LongKey(7))).agg((F.count(F.lit(1)) > 0).alias("found"))
+
+
+# -- counts, first and last
+
+
+@_add("count_all", "SELECT count(*)::BIGINT AS count FROM events")
+def count_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events(spark, sf_dir).count_frame()
+
+
+@_add("count_overlap", f"{EV}SELECT count(*)::BIGINT AS count FROM ev WHERE {_OVERLAP}")
+def count_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events(spark, sf_dir).after_or_at(A).before(B).count_frame()
+
+
+@_add("first_in_order", f"{EV}{_ALL} WHERE {_OVERLAP} ORDER BY k_start, k_id, coalesce(k_end, k_start) LIMIT 1")
+def first_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events(spark, sf_dir).after_or_at(A).before(B).first_frame()
+
+
+@_add("last_key", f"{EV}SELECT k_id, k_start, k_end, k_active FROM ev ORDER BY k_start DESC, k_id DESC, coalesce(k_end, k_start) DESC LIMIT 1")
+def last_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events(spark, sf_dir).last_frame().select(K.ID, K.START, K.END, K.ACTIVE)
+
+
+@_add("last_value", f"{EV}SELECT user_id, event_type, value FROM ev ORDER BY k_start DESC, k_id DESC, coalesce(k_end, k_start) DESC LIMIT 1")
+def last_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events(spark, sf_dir).last_frame().select("user_id", "event_type", "value")
+
+
+@_add("values_only", f"{EV}SELECT user_id, event_type, value FROM ev WHERE {_OVERLAP}")
+def values_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events(spark, sf_dir).after_or_at(A).before(B).values()
+
+
+# -- scalar indexes
+
+
+def _keyed(spark: SparkSession, sf_dir: str, name: str, key: str, kind: type) -> Query:
+    frame = _table(spark, sf_dir, name).withColumn(K.ID, F.col(key))
+    return Query(frame, kind, kind, name)
+
+
+SIZE = Index("size", K.IntegerKey, "p_size", False, "part")
+CUSTOMER = Index("customer", K.LongKey, "o_custkey", False, "orders")
+PRIORITY = Index("priority", K.StringKey, "o_orderpriority", False, "orders")
+EVENT_UUID = Index("uuid", K.UuidKey, "regexp_replace(md5(cast(event_id as string)), '(.{8})(.{4})(.{4})(.{4})(.{12})', '$1-$2-$3-$4-$5')", False, "event_rows")
+
+
+def _on_part(name: str, where: str, build) -> None:
+    QUERIES[name] = lambda spark, sf_dir: _keyed(spark, sf_dir, "part", "p_partkey", K.LongKey).where(build(SIZE.integer_condition())).rows().select("p_partkey", "p_size")
+    ORACLE[name] = f"SELECT p_partkey, p_size FROM part WHERE {where}"
+
+
+def _on_orders(name: str, where: str, build) -> None:
+    QUERIES[name] = lambda spark, sf_dir: _keyed(spark, sf_dir, "orders", "o_orderkey", K.LongKey).where(build()).rows().select("o_orderkey", "o_custkey", "o_orderpriority")
+    ORACLE[name] = f"SELECT o_orderkey, o_custkey, o_orderpriority FROM orders WHERE {where}"
+
+
+_on_part("index_int_eq", "p_size = 15", lambda c: c.is_equal_to(15))
+_on_part("index_int_in", "p_size IN (1, 7, 49)", lambda c: c.is_in({1, 7, 49}))
+_on_part("index_int_in_intersection", "p_size = 7", lambda c: c.is_in({1, 7, 49}).is_in({7, 8}))
+_on_part("index_int_in_empty", "false", lambda c: c.is_in(set()))
+_on_part("index_int_range", "p_size BETWEEN 10 AND 20", lambda c: c.is_in_range(10, 20))
+_on_part("index_int_range_empty", "false", lambda c: c.is_in_range(20, 10))
+_on_part("index_int_lt", "p_size < 5", lambda c: c.is_less_than(5))
+_on_part("index_int_le", "p_size <= 5", lambda c: c.is_at_most(5))
+_on_part("index_int_gt", "p_size > 45", lambda c: c.is_greater_than(45))
+_on_part("index_int_ge", "p_size >= 45", lambda c: c.is_at_least(45))
+_on_part("index_int_meets", "p_size % 10 = 3", lambda c: c.meets(lambda v: v % 10 == 3))
+_on_part("index_int_chained", "p_size > 5 AND p_size <= 9 AND p_size % 2 = 0", lambda c: c.is_greater_than(5).is_at_most(9).meets(lambda v: v % 2 == 0))
+_on_part("index_int_equal_twice", "p_size = 8", lambda c: c.is_equal_to(15).is_equal_to(8))
+_on_orders("index_long_eq", "o_custkey = 17", lambda: CUSTOMER.long_condition().is_equal_to(17))
+_on_orders("index_long_range", "o_custkey BETWEEN 20 AND 60", lambda: CUSTOMER.long_condition().is_in_range(20, 60))
+_on_orders("index_long_bounds", "o_custkey > 30 AND o_custkey < 40", lambda: CUSTOMER.long_condition().is_greater_than(30).is_less_than(40))
+_on_orders("index_string_eq", "o_orderpriority = '1-URGENT'", lambda: PRIORITY.string_condition().is_equal_to("1-URGENT"))
+_on_orders("index_string_in", "o_orderpriority IN ('1-URGENT', '5-LOW')", lambda: PRIORITY.string_condition().is_in(["1-URGENT", "5-LOW"]))
+_on_orders("index_string_meets", "o_orderpriority LIKE '%E%'", lambda: PRIORITY.string_condition().meets(lambda v: v.like("%E%")))
+
+
+@_add("index_uuid_eq", "SELECT event_id FROM events WHERE md5(event_id::VARCHAR) = md5('1234')")
+def index_uuid_eq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import hashlib
+    import uuid
+
+    wanted = uuid.UUID(hashlib.md5(b"1234").hexdigest())
+    found = _keyed(spark, sf_dir, "events", "event_id", K.LongKey)
+    return Query(found.frame, K.LongKey, K.LongKey, "event_rows").where(EVENT_UUID.uuid_condition().is_equal_to(wanted)).rows().select("event_id")
+
+
+@_add("index_last_key", "SELECT max(o_custkey) AS index_key FROM orders")
+def index_last_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indexes.last_index_key(_keyed(spark, sf_dir, "orders", "o_orderkey", K.LongKey).frame, CUSTOMER, K.LongKey)
+
+
+# -- multi-valued indexes: the suppliers of an order
+
+SUPPLIERS = Index("suppliers", K.LongKey, "suppliers", True, "order_lines")
+_LINES = "WITH o AS (SELECT l_orderkey, list(l_suppkey) AS s FROM lineitem GROUP BY l_orderkey) "
+
+
+def _order_lines(spark: SparkSession, sf_dir: str) -> Query:
+    lines = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias(K.ID)).agg(F.collect_list("l_suppkey").alias("suppliers"))
+    return Query(lines, K.LongKey, K.LongKey, "order_lines")
+
+
+@_add("index_multi_same_value", "SELECT DISTINCT l_orderkey AS k_id FROM lineitem WHERE l_suppkey > 50 AND l_suppkey < 52")
+def index_multi_same_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tests chained on one condition hold for one value."""
+    return _order_lines(spark, sf_dir).where(SUPPLIERS.long_condition().is_greater_than(50).is_less_than(52)).rows().select(K.ID)
+
+
+@_add("index_multi_two_conditions", "SELECT l_orderkey AS k_id FROM lineitem WHERE l_suppkey > 50 INTERSECT SELECT l_orderkey FROM lineitem WHERE l_suppkey < 10")
+def index_multi_two_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two conditions may hold for two values."""
+    found = _order_lines(spark, sf_dir).where(SUPPLIERS.long_condition().is_greater_than(50))
+    return found.where(SUPPLIERS.long_condition().is_less_than(10)).rows().select(K.ID)
+
+
+@_add("index_matching_keys", "SELECT l_suppkey AS index_key, l_orderkey AS k_id FROM lineitem WHERE l_suppkey BETWEEN 3 AND 5")
+def index_matching_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A key comes once for each of its values that meets the condition."""
+    condition = SUPPLIERS.long_condition().is_in_range(3, 5)
+    found = indexes.matching_keys(_order_lines(spark, sf_dir).frame, condition, K.LongKey)
+    return indexes.in_order(found, SUPPLIERS, K.LongKey, K.LongKey)
+
+
+@_add("index_multi_last_key", "SELECT max(l_suppkey) AS index_key FROM lineitem")
+def index_multi_last_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indexes.last_index_key(_order_lines(spark, sf_dir).frame, SUPPLIERS, K.LongKey)
+
+
+@_add("create_indices", "SELECT o_orderkey, [o_custkey] AS index_customer, [o_orderpriority] AS index_priority FROM orders")
+def create_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several indexes from one scan."""
+    frame = _keyed(spark, sf_dir, "orders", "o_orderkey", K.LongKey).frame
+    return indexes.extract_all(frame, [CUSTOMER, PRIORITY]).select("o_orderkey", "index_customer", "index_priority")
+
+
+# -- order and placement
+
+
+@_add("order_int_key", "SELECT n_nationkey, n_name, n_nationkey + 2147483648 AS k_group FROM nation ORDER BY n_nationkey LIMIT 10")
+def order_int_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    query = _keyed(spark, sf_dir, "nation", "n_nationkey", K.IntegerKey)
+    return query.ordered().limit(10).select("n_nationkey", "n_name", K.group_of(K.IntegerKey, F.col(K.ID)).alias(K.GROUP))
+
+
+@_add("order_long_key", "SELECT o_orderkey, o_orderkey // 2 + 4611686018427387904 AS k_group FROM orders ORDER BY o_orderkey LIMIT 100")
+def order_long_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    query = _keyed(spark, sf_dir, "orders", "o_orderkey", K.LongKey)
+    return query.ordered().limit(100).select("o_orderkey", K.group_of(K.LongKey, F.col(K.ID)).alias(K.GROUP))
+
+
+_HASH = "list_reduce(list_prepend(0::BIGINT, list_transform(string_split(c_name, ''), lambda c: unicode(c)::BIGINT)), lambda a, c: (a * 31 + c) % 4294967296)"
+_GROUP = f"((31 + {_HASH}) + 2147483648) % 4294967296"
+
+
+@_add("order_string_hash", f"SELECT c_name, {_GROUP} AS k_group FROM customer ORDER BY k_group, c_name LIMIT 50")
+def order_string_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """String keys iterate in the order of their hash."""
+    query = _keyed(spark, sf_dir, "customer", "c_name", K.StringKey)
+    return query.ordered().limit(50).select("c_name", K.group_of(K.StringKey, F.col(K.ID)).alias(K.GROUP))
+
+
+@_add("string_hash", f"SELECT c_custkey, CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END AS hash FROM (SELECT c_custkey, {_HASH} AS h FROM customer)")
+def string_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "customer").select("c_custkey", hashing.string_hash(F.col("c_name")).alias("hash"))
+
+
+@_add("segment_of", f"{EV}SELECT k_start - k_start % {DAY} AS k_segment, count(*)::BIGINT AS count FROM ev GROUP BY 1")
+def segment_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = events_frame(spark, sf_dir).select(segments.segment_of(F.col(K.START), DAY).alias(K.SEGMENT))
+    return placed.groupBy(K.SEGMENT).agg(F.count(F.lit(1)).alias("count"))
+
+
+# -- mutations, as plans from the stored rows to the rows after the change
+
+_COLUMNS = [K.ID, K.START, K.END, K.ACTIVE, "user_id", "event_type", "value"]
+
+
+def _changes(frame: DataFrame, value: float) -> DataFrame:
+    """Every tenth event with a new value, and for each of these one event with a new key."""
+    tenth = frame.where(F.col(K.ID) % 10 == 0).withColumn("value", F.lit(value))
+    return tenth.unionByName(tenth.withColumn(K.ID, F.col(K.ID) + 1_000_000_000))
+
+
+_CHANGED = "c AS (SELECT k_id, k_start, k_end, k_active, user_id, event_type, {v} AS value FROM ev WHERE k_id % 10 = 0 UNION ALL SELECT k_id + 1000000000, k_start, k_end, k_active, user_id, event_type, {v} FROM ev WHERE k_id % 10 = 0)"
+_KEPT = "SELECT k_id, k_start, k_end, k_active, user_id, event_type, value FROM ev WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.k_id = ev.k_id AND c.k_start = ev.k_start)"
+
+
+@_add("upsert_values", f"{EV}, {_CHANGED.format(v='-1.5::DOUBLE')} {_KEPT} UNION ALL SELECT * FROM c")
+def upsert_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame = events_frame(spark, sf_dir)
+    return mutations.upsert(frame, _changes(frame, -1.5), K.TimeKey).select(*_COLUMNS)
+
+
+@_add(
+    "upsert_keys_and_values",
+    f"{EV}, c AS (SELECT k_id, k_start, k_start + 1000 AS k_end, false AS k_active, user_id, event_type, 7.0::DOUBLE AS value FROM ev WHERE k_id % 10 = 0) {_KEPT} UNION ALL SELECT * FROM c",
+)
+def upsert_keys_and_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame = events_frame(spark, sf_dir)
+    new = frame.where(F.col(K.ID) % 10 == 0).withColumns({K.END: F.col(K.START) + 1000, K.ACTIVE: F.lit(False), "value": F.lit(7.0)})
+    return mutations.upsert(frame, new, K.TimeKey, replace_keys=True).select(*_COLUMNS)
+
+
+@_add("insert_new", f"{EV}, {_CHANGED.format(v='-2.5::DOUBLE')} {_ALL} UNION ALL SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM ev WHERE c.k_id = ev.k_id AND c.k_start = ev.k_start)")
+def insert_new(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame = events_frame(spark, sf_dir)
+    return mutations.insert_new(frame, _changes(frame, -2.5), K.TimeKey).select(*_COLUMNS)
+
+
+@_add("insert_duplicates", f"{EV}, {_CHANGED.format(v='-2.5::DOUBLE')} SELECT k_id, k_start FROM c WHERE EXISTS (SELECT 1 FROM ev WHERE c.k_id = ev.k_id AND c.k_start = ev.k_start)")
+def insert_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keys that make an insert fail."""
+    frame = events_frame(spark, sf_dir)
+    return mutations.duplicates(frame, _changes(frame, -2.5), K.TimeKey).select(K.ID, K.START)
+
+
+@_add("update_where", f"{EV}SELECT k_id, k_start, k_end, k_active, user_id, event_type, CASE WHEN {_OVERLAP} THEN value * 2 ELSE value END AS value FROM ev")
+def update_where(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = events(spark, sf_dir).after_or_at(A).before(B)
+    return mutations.update_where(found.frame, found.predicate(), {"value": F.col("value") * 2}).select(*_COLUMNS)
+
+
+@_add(
+    "replace_where",
+    f"{EV}SELECT k_id, k_start, k_end, k_active, CASE WHEN {_OVERLAP} THEN NULL ELSE user_id END AS user_id, CASE WHEN {_OVERLAP} THEN 'gone' ELSE event_type END AS event_type, CASE WHEN {_OVERLAP} THEN value + 1 ELSE value END AS value FROM ev",
+)
+def replace_where(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = events(spark, sf_dir).after_or_at(A).before(B)
+    return mutations.replace_where(found.frame, found.predicate(), {"event_type": F.lit("gone"), "value": F.col("value") + 1}).select(*_COLUMNS)
+
+
+@_add(
+    "complete_active",
+    f"{EV}SELECT k_id, k_start, CASE WHEN k_active AND k_start < {B} THEN k_start + 60000 ELSE k_end END AS k_end, k_active AND k_start >= {B} AS k_active, user_id, event_type, value FROM ev",
+)
+def complete_active(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Active events become frames."""
+    found = events(spark, sf_dir).before(B)
+    return mutations.complete_active(found.frame, found.predicate(), F.col(K.START) + 60000).select(*_COLUMNS)
+
+
+@_add("delete_where", f"{EV}{_ALL} WHERE NOT coalesce({_OVERLAP}, false)")
+def delete_where(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = events(spark, sf_dir).after_or_at(A).before(B)
+    return mutations.delete_where(found.frame, found.predicate()).select(*_COLUMNS)
+
+
+@_add("delete_key", f"{EV}{_ALL} WHERE NOT ({_SET})")
+def delete_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame = events_frame(spark, sf_dir)
+    gone = frame.where(F.col(K.ID) % 7 == 3).select(K.ID, K.START)
+    return mutations.delete_keys(frame, gone, K.TimeKey).select(*_COLUMNS)
+
+
+# -- storage: the same rows come back
+
+
+def _stored(spark: SparkSession, sf_dir: str):
+    """Events in a collection of a fresh database in the shared folder."""
+    from ..sources.database import open_database
+    from ..sources.scratch import scratch_folder
+
+    frame = events_frame(spark, sf_dir)
+    values = T.StructType([f for f in frame.schema.fields if not f.name.startswith("k_")])
+    database = open_database(spark, scratch_folder(spark, "events"))
+    collection = database.collection_builder("events", K.TimeKey, values, K.LongKey).with_segment_size("TIME_1_DAY").with_version(2).build()
+    collection.batch_upsert(frame)
+    return database, collection
+
+
+@_add("stored_overlap", f"{EV}{_ALL} WHERE {_OVERLAP}")
+def stored_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The overlap over a partitioned collection: partition filters and file statistics do the pruning."""
+    _, collection = _stored(spark, sf_dir)
+    return collection.query().after_or_at(A).before(B).rows().select(*_COLUMNS)
+
+
+@_add("stored_update", f"{EV}SELECT k_id, k_start, k_end, k_active, user_id, event_type, CASE WHEN {_OVERLAP} THEN -value ELSE value END AS value FROM ev")
+def stored_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mass update rewrites the segments with matches only."""
+    _, collection = _stored(spark, sf_dir)
+    collection.update_matches(collection.query().after_or_at(A).before(B), {"value": -F.col("value")})
+    return collection.frame().select(*_COLUMNS)
+
+
+@_add("compact", f"{EV}{_ALL}")
+def compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, collection = _stored(spark, sf_dir)
+    collection.optimize()
+    return collection.frame().select(*_COLUMNS)
+
+
+@_add("backup_time_frame", f"{EV}{_ALL} WHERE {_OVERLAP.replace('<', '<=')}")
+def backup_time_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a backup of a time frame holds of a time collection."""
+    return time_slice(events_frame(spark, sf_dir), A, B, K.TimeKey).select(*_COLUMNS)
+
+
+@_add("backup_restored", f"{EV}{_ALL}")
+def backup_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A full backup, opened as a database."""
+    from ..sources.database import open_database
+    from ..sources.scratch import scratch_folder
+
+    database, _ = _stored(spark, sf_dir)
+    target = scratch_folder(spark, "backup")
+    database.backup(target)
+    return open_database(spark, target, read_only=True).get_collection("events").frame().select(*_COLUMNS)
