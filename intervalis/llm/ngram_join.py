@@ -7,8 +7,10 @@ shingle for each sub-class of frequent shingles; then a pair that qualifies shar
 principle, two frequent shingles of one sub-class. So rare shingles are indexed alone and frequent ones only as pairs within
 a sub-class. The number of sub-classes grows with a document's size, which keeps its pairs linear in its size.
 
-Candidates of one signature are first compared as a star around the smallest set; where that joins them all, nothing else is
-compared. What is left, the pairs across components, is compared in a second round. Every comparison intersects whole sets.
+Each class is first compared with the smallest one that it shares a signature with. Of the signatures whose classes are in
+one component then, nothing else is compared. Of the others, one pair for each two components is, the likeliest; and in the
+end all pairs that are still apart. Bitmaps of a bit or two for each shingle rule most pairs out; each that they leave is
+settled by intersecting whole sets.
 Signatures travel as packed arrays, a few rows for millions of entries.
 
 Which shingles are frequent comes from counts over all documents: each task counts what it reads and reports the shingles it
@@ -34,9 +36,9 @@ from .components import connected
 SHINGLE = 5
 #: Similarity threshold as a fraction: intersection / union >= NUMERATOR / DENOMINATOR.
 NUMERATOR, DENOMINATOR = 75, 100
-LOCAL_COUNT = 3
-FREQUENT = 32
-FREQUENT_MAX = 1 << 19
+LOCAL_COUNT = 2
+FREQUENT = 8
+FREQUENT_MAX = 1 << 20
 SUBCLASS_SPAN = 32
 DOCS_PER_BUCKET = 4096
 FLUSH_ENTRIES = 1_000_000
@@ -468,9 +470,14 @@ def _sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
 _LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
+def _maps(profile: DataFrame) -> DataFrame:
+    """Size and bitmap of each class."""
+    return profile.where("n > 0").select("cid", "n", "bits").dropDuplicates(["cid"])
+
+
 def _possible(profile: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs that their bitmaps, a bit or two for each shingle, do not rule out."""
-    maps = profile.where("n > 0").dropDuplicates(["cid"])
+    maps = _maps(profile)
     left = maps.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
     right = maps.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
 
@@ -484,9 +491,8 @@ def _possible(profile: DataFrame, pairs: DataFrame) -> DataFrame:
     return materialize(joined.mapInArrow(run, _LINKS), "possible")
 
 
-def _verify(docs: DataFrame, profile: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs whose whole sets are similar enough. Large stars are split by the join's skew handling."""
-    pairs = _possible(profile, pairs)
     sets = _sets(docs, classes, pairs)
     left = sets.select(F.col("cid").alias("b"), F.col("shingles").alias("sb"))
     right = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("sa"))
@@ -508,40 +514,81 @@ def _verify(docs: DataFrame, profile: DataFrame, classes: DataFrame, pairs: Data
     return materialize(joined.mapInArrow(run, _LINKS), "links")
 
 
-def _across(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of one list whose classes are in different components after the stars."""
+def _folded(bits: np.ndarray, size: int) -> np.ndarray:
+    while len(bits) > size:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
+def cross_pairs(n: np.ndarray, cid: np.ndarray, label: np.ndarray, bits: list[bytes], best_only: bool):
+    """Pairs of a list, sorted by size, whose labels differ and whose bitmaps do not rule them out.
+
+    With best_only just one pair for each two labels, the one whose bitmaps differ least.
+    """
+    words = [np.frombuffer(x, dtype=np.uint64) for x in bits]
+    levels: dict[int, np.ndarray] = {}
+    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    for i in range(len(n) - 1):
+        reach = int(np.searchsorted(n, n[i] * DENOMINATOR // NUMERATOR, side="right"))
+        other = np.flatnonzero(label[i + 1 : reach] != label[i]) + i + 1
+        if not len(other):
+            continue
+        size = len(words[i])
+        if size not in levels:  # all members from here on have at least this many words
+            levels[size] = np.stack([_folded(w, size) if len(w) >= size else np.zeros(size, dtype=np.uint64) for w in words])
+        apart = np.bitwise_count(levels[size][other] ^ words[i]).sum(1, dtype=np.int64)
+        shared = (n[i] + n[other] - apart) // 2
+        fits = np.flatnonzero(DENOMINATOR * shared >= NUMERATOR * (n[i] + n[other] - shared))
+        for j, d in zip(other[fits].tolist(), apart[fits].tolist(), strict=True):
+            if not best_only:
+                yield int(cid[i]), int(cid[j])
+                continue
+            pair = (min(label[i], label[j]), max(label[i], label[j]))
+            if pair not in best or d < best[pair][0]:
+                best[pair] = (d, int(cid[i]), int(cid[j]))
+    for _, a, b in best.values():
+        yield a, b
+
+
+def _across(lists: DataFrame, labels: DataFrame, profile: DataFrame, best_only: bool) -> DataFrame:
+    """Pairs across components among the members of each list; lists that are in one component are done."""
 
     def members(batches):
         for batch in batches:
             rows = []
-            for i, cids, sizes in zip(*(batch.column(c).to_pylist() for c in ("list_id", "cids", "sizes")), strict=True):
-                rows += [(i, c, n) for c, n in zip(np.frombuffer(cids, dtype=np.int64).tolist(), np.frombuffer(sizes, dtype=np.int32).tolist(), strict=True)]
+            for i, cids in zip(batch.column("list_id").to_pylist(), batch.column("cids").to_pylist(), strict=True):
+                rows += [(i, c) for c in np.frombuffer(cids, dtype=np.int64).tolist()]
             if rows:
                 yield _arrow(zip(*rows, strict=True), one)
 
-    one = T.StructType([T.StructField(c, T.LongType()) for c in ("list_id", "cid", "n")])
-    flat = lists.dropDuplicates(["list_id"]).select("list_id", "cids", "sizes").mapInArrow(members, one)
+    one = T.StructType([T.StructField(c, T.LongType()) for c in ("list_id", "cid")])
+    flat = lists.select("list_id", "cids").mapInArrow(members, one)
     flat = flat.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    open_lists = flat.groupBy("list_id").agg(F.sort_array(F.collect_list(F.struct("n", "cid", "label"))).alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    open_lists = open_lists.where("lo < hi").select("m.n", "m.cid", "m.label")
+    unsettled = flat.groupBy("list_id").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("list_id")
+    full = flat.join(unsettled, "list_id", "left_semi").join(_maps(profile), "cid")
+    grouped = full.groupBy("list_id").agg(F.sort_array(F.collect_list(F.struct("n", "cid", "label", "bits"))).alias("m"))
 
     def run(batches):
         for batch in batches:
-            for n, cid, label in zip(*(batch.column(c).to_pylist() for c in ("n", "cid", "label")), strict=True):
+            for n, cid, label, bits in zip(*(batch.column(c).to_pylist() for c in ("n", "cid", "label", "bits")), strict=True):
                 n, cid, label = (np.array(x, dtype=np.int64) for x in (n, cid, label))
-                a, b = [], []
-                for i in range(len(n) - 1):
-                    reach = int(np.searchsorted(n, n[i] * DENOMINATOR // NUMERATOR, side="right"))
-                    other = np.flatnonzero(label[i + 1 : reach] != label[i]) + i + 1
-                    a += [int(cid[i])] * len(other)
-                    b += cid[other].tolist()
-                    if len(a) > 100_000:
-                        yield _arrow([a, b], _LINKS)
-                        a, b = [], []
-                if a:
-                    yield _arrow([a, b], _LINKS)
+                rows = []
+                for pair in cross_pairs(n, cid, label, bits, best_only):
+                    rows.append(pair)
+                    if len(rows) == 100_000:
+                        yield _arrow(zip(*rows, strict=True), _LINKS)
+                        rows = []
+                if rows:
+                    yield _arrow(zip(*rows, strict=True), _LINKS)
+
+    return grouped.select("m.n", "m.cid", "m.label", "m.bits").mapInArrow(run, _LINKS)
 
-    return open_lists.mapInArrow(run, _LINKS)
+
+def _differing(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs whose ends are in different components."""
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
+    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return both.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
 
 
 def link(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -558,12 +605,20 @@ def link(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     buckets = max(64, -(-total // DOCS_PER_BUCKET))
     found = _candidates(_index(docs, *_frequent(profile), buckets))
     pairs = materialize(found.where("list_id IS NULL").select("a", "b").distinct(), "pairs")
-    links = _verify(docs, profile, classes, pairs)
+    lists = materialize(found.where("list_id IS NOT NULL").select("list_id", "cids").dropDuplicates(["list_id"]), "lists")
+    # first each class with its smallest partner; then what is still apart, one pair for two components of a list; then all else
+    sized = pairs.join(classes.select(F.col("cid").alias("a"), "n"), "a")
+    tried = _possible(profile, sized.groupBy("b").agg(F.min(F.struct("n", "a")).alias("least")).select(F.col("least.a").alias("a"), "b"))
+    links = _verify(docs, classes, tried)
     labels = connected(links, "a", "b")
-    lists = found.where("list_id IS NOT NULL")
-    rest = materialize(_across(lists, labels).distinct().join(pairs, ["a", "b"], "left_anti"), "across")
-    if not rest.isEmpty():
-        links = links.unionAll(_verify(docs, profile, classes, rest))
+    for best_only in (True, False):
+        rest = _across(lists, labels, profile, best_only).distinct()
+        if best_only:
+            rest = _possible(profile, _differing(pairs, labels)).unionAll(rest).distinct()
+        rest = materialize(rest.join(tried, ["a", "b"], "left_anti"), "rest")
+        if rest.isEmpty():
+            continue
+        links, tried = links.unionAll(_verify(docs, classes, rest)), tried.unionAll(rest)
         labels = connected(links, "a", "b")
     named = classes.where("n > 0").select(F.col("cid").alias("node"), "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
