@@ -21,13 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, small_batches
+from .common import small_batches
 
 CAPACITY = 4096
 SHARD_DOCS = 4096
 END_ID = 2
-#: Words, and parts of words, whose ids a worker remembers; rarer ones are encoded again.
-CACHE_WORDS, CACHE_PARTS = 300_000, 800_000
+#: Parts of words whose ids a worker remembers; rarer ones are encoded again.
+CACHE_PARTS = 800_000
+CHUNK_CHARS = 4_000_000
 
 PIECES = T.StructType(
     [
@@ -40,70 +41,94 @@ PIECES = T.StructType(
 )
 _caches: dict[str, tuple] = {}
 #: A word of Latin letters with ASCII punctuation behind it. The tokenizer cuts between the two and lowers the letters itself.
-_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
-
+_PLAIN = "^(?P<letters>[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)(?P<marks>[!-&(-/:-@\\[-`{-~]*)$"
+#: Control characters that Arrow takes for white space and the tokenizer does not.
 _CONTROL = re.compile("[\x1c-\x1f]")
 
 
 def _encoder(path: str):
-    """The tokenizer, and the ids of words and of their parts met so far (unsigned 32-bit), kept for a worker's life."""
+    """The tokenizer, and the ids of word parts met so far (unsigned 32-bit), kept for a worker's life."""
     if path not in _caches:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _caches[path] = (Tokenizer.from_file(path), {}, {"": b""})
+        _caches[path] = (Tokenizer.from_file(path), {"": b""})
     return _caches[path]
 
 
-def _encode_words(words: list[str], path: str) -> dict[str, bytes]:
-    """Ids of words. Letters and punctuation of a plain word are encoded apart, since the same parts recur in many words."""
-    tokenizer, _, parts = _encoder(path)
-    split = [m.groups() if (m := _PLAIN.fullmatch(w)) else (None, w) for w in words]
-    split = [(None if a is None else a.lower(), b) for a, b in split]
-    new = list({p for pair in split for p in pair if p is not None and p not in parts})
-    encoded = tokenizer.encode_batch_fast(new, add_special_tokens=False)
-    fresh = {p: np.array(e.ids, dtype="<u4").tobytes() for p, e in zip(new, encoded, strict=True)}
-    ids = lambda p: fresh[p] if p in fresh else parts[p]
-    out = {w: (b"" if a is None else ids(a)) + ids(b) for w, (a, b) in zip(words, split, strict=True)}
-    if (room := CACHE_PARTS - len(parts)) > 0:
-        parts.update(list(fresh.items())[:room])
-    return out
+def _gather(flat: np.ndarray, lengths: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of flat, one behind the other (lengths tells them apart), picked by index; and the picked runs' lengths."""
+    starts, picked = np.cumsum(lengths) - lengths, lengths[index]
+    shift = starts[index] - np.cumsum(picked) + picked
+    return flat[np.repeat(shift, picked) + np.arange(picked.sum())], picked
 
 
-def _words(text: str | None) -> list[str]:
-    """Words between white space as the tokenizer sees it; Python's split would also cut at four control characters."""
-    text = text or ""
-    return re.findall(WORD, text) if _CONTROL.search(text) else text.split()
+def _part_ids(parts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
+    tokenizer, known = _encoder(path)
+    new = [p for p in parts if p not in known]
+    known.update((p, np.array(e.ids, dtype="<u4").tobytes()) for p, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True))
+    found = list(map(known.__getitem__, parts))
+    for p in new[max(0, CACHE_PARTS - len(known) + len(new)) :]:
+        del known[p]
+    return np.frombuffer(b"".join(found), dtype="<u4"), np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
 
 
 def token_bytes(texts: list[str | None], path: str, end_id: int = END_ID) -> list[bytes]:
-    """Each text's ids and the end id, packed as unsigned 32-bit. The tokenizer splits at white space, so words are encoded apart."""
-    _, known, _ = _encoder(path)
-    words = [_words(t) for t in texts]
-    room = CACHE_WORDS - len(known)
-    new = [w for w in set().union(*words) if w not in known]
-    known.update(_encode_words(new, path))
+    """Each text's ids and the end id, packed as unsigned 32-bit.
+
+    The tokenizer splits at white space, so each distinct word of a batch is encoded once; letters and punctuation of a plain
+    word are encoded apart, since the same parts recur in many words. Arrow does the splitting, numpy puts ids together.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
     end = np.array([end_id], dtype="<u4").tobytes()
-    out = [b"".join(map(known.__getitem__, ws)) + end for ws in words]
-    for w in new[max(0, room) :]:
-        del known[w]
+    odd = {i for i, t in enumerate(texts) if t and _CONTROL.search(t)}
+    lists = pc.utf8_split_whitespace(pa.array(["" if not t or i in odd else t for i, t in enumerate(texts)], pa.large_string()))
+    words = pc.list_flatten(lists).dictionary_encode()
+    split = pc.extract_regex(words.dictionary, _PLAIN)
+    letters = pc.if_else(split.is_valid(), pc.utf8_lower(pc.struct_field(split, "letters")), words.dictionary)
+    marks = pc.if_else(split.is_valid(), pc.struct_field(split, "marks"), pa.scalar("", pa.large_string()))
+    count = len(letters)
+    parts = pa.concat_arrays([letters, marks]).dictionary_encode()
+    flat, lengths = _part_ids(parts.dictionary.to_pylist(), path)
+    # a word is its letters and its marks
+    index = parts.indices.to_numpy()
+    flat, lengths = _gather(flat, lengths, np.stack([index[:count], index[count:]], 1).ravel())
+    lengths = lengths.reshape(-1, 2).sum(1)
+    flat, lengths = _gather(flat, lengths, words.indices.to_numpy())
+    ends = np.concatenate([[0], np.cumsum(lengths)])[lists.offsets.to_numpy()]
+    out = [flat[a:b].tobytes() + end for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    tokenizer, _ = _encoder(path)
+    for i in odd:
+        out[i] = np.array(tokenizer.encode(texts[i], add_special_tokens=False).ids, dtype="<u4").tobytes() + end
     return out
 
 
+def _token_bytes_by_chunk(texts: list[str | None], path: str, end_id: int):
+    """token_bytes of at most CHUNK_CHARS at a time, or of one text, to bound a worker's memory."""
+    first, size = 0, 0
+    for i, text in enumerate(texts):
+        size += len(text or "")
+        if size >= CHUNK_CHARS or i == len(texts) - 1:
+            yield from token_bytes(texts[first : i + 1], path, end_id)
+            first, size = i + 1, 0
+
+
 def cut(df: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
     """One row for each piece: full windows of long documents, and what is left; with the ids themselves if keep_ids."""
     import pyarrow as pa
 
-    small_batches(df.sparkSession)
+    small_batches(df.sparkSession, 1024)
     schema = T.StructType([*PIECES.fields, *([T.StructField("ids", T.BinaryType())] if keep_ids else [])])
 
     def run(batches):
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             rows = []
-            for doc_id, ids in zip(doc_ids, token_bytes(texts, tokenizer_path, end_id), strict=True):
+            for doc_id, ids in zip(doc_ids, _token_bytes_by_chunk(texts, tokenizer_path, end_id), strict=True):
                 total = len(ids) // 4
                 for start in range(0, total, capacity):
                     part = ids[4 * start : 4 * (start + capacity)]
