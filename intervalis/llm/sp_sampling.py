@@ -77,7 +77,7 @@ class Vocabulary:
     def _hash(piece: str) -> int:
         h = np.zeros(1, dtype=np.uint64)
         for c in piece:
-            h = h * _BASE + np.uint64(ord(c))
+            h = h * _BASE + np.uint64(ord(c) + 1)
         return int(_mix(h + np.uint64(len(piece)))[0])
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
@@ -128,7 +128,7 @@ class Lattice:
             live = len(codes) - n + 1
             if live <= 0:
                 break
-            rolled[:live] = rolled[:live] * _BASE + codes[n - 1 :]
+            rolled[:live] = rolled[:live] * _BASE + codes[n - 1 :] + np.uint64(1)
             inside = np.flatnonzero(left[:live] >= n)
             if not len(inside):
                 break

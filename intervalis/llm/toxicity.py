@@ -45,6 +45,8 @@ def _gram_hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     word = np.repeat(np.arange(len(words)), lengths)
     mixed, found, owner = np.zeros(len(codes), dtype=np.uint64), [], []
     for n in range(1, max(GRAMS) + 1):
+        if len(codes) < n:
+            break
         mixed[: len(codes) - n + 1] = mixed[: len(codes) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + codes[n - 1 :] + np.uint64(n)
         if n in GRAMS:
             inside = np.flatnonzero(position + n <= ends)
@@ -135,12 +137,12 @@ def _telling(docs: np.ndarray, ids: list[np.ndarray], y: np.ndarray, buckets: np
     return (total >= 3) & (ratio >= evidence)
 
 
-def train(texts: list[str], labels: list[int], epochs: int = 150, rate: float = 0.05, evidence: float = 7.0, seed: int = 7) -> Model:
+def train(texts: list[str], labels: list[int], epochs: int = 150, rate: float = 0.05, evidence: float | None = None, seed: int = 7) -> Model:
     """Joint gradient descent on embeddings and softmax weights.
 
     A text's odds are the sum of its segments' odds, so the gradient goes to the segments that look toxic. Every fifth text
     is kept aside to scale the odds afterwards. The gradient of the embeddings has rank one, so each step costs a few passes
-    over segments x words and words x n-grams.
+    over segments x words and words x n-grams. evidence: see ``_telling``; by default it grows with the log of the texts.
     """
     y = np.array(labels, dtype=np.float64)
     share = float(np.clip(y.mean() if len(y) else 0.5, 0.001, 0.999))
@@ -157,7 +159,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 150, rate: float =
     owner = np.repeat(np.arange(len(words), dtype=np.int32), counts)
     held = np.arange(len(y)) % 5 == 4
     docs = np.flatnonzero(~held & np.array([len(i) > 0 for i in ids]))
-    used = _telling(docs, ids, y, buckets, counts, evidence)
+    used = _telling(docs, ids, y, buckets, counts, float(np.log(len(y))) if evidence is None else evidence)
     slot = np.cumsum(used) - 1
     live = used[buckets]
     gram, word, part = slot[buckets[live]], owner[live], (1.0 / counts)[owner[live]]
