@@ -7,7 +7,7 @@ shingle for each sub-class of frequent shingles; then a pair that qualifies shar
 principle, two frequent shingles of one sub-class. So rare shingles are indexed alone and frequent ones only as pairs within
 a sub-class. The number of sub-classes grows with a document's size, which keeps its pairs linear in its size.
 
-Each class is first compared with the smallest one that it shares a signature with. Of the signatures whose classes are in
+Each class is first compared with one that it shares a signature with, the one whose bitmap is nearest. Of the signatures whose classes are in
 one component then, nothing else is compared. Of the others, one pair for each two components is, the likeliest; and in the
 end all pairs that are still apart. Bitmaps of a bit or two for each shingle rule most pairs out; each that they leave is
 settled by intersecting whole sets.
@@ -128,18 +128,25 @@ def bitmap(own: np.ndarray) -> bytes:
     return np.packbits((np.bincount(place, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
-def may_qualify(n: int, m: int, x: bytes, y: bytes) -> bool:
-    """False only if two sets of sizes n and m cannot be similar enough: unequal bits are a lower bound of their difference.
+def _folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """A bitmap at a smaller size; parities survive folding."""
+    while len(bits) > size:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
 
-    The larger bitmap is folded to the smaller one's size; parities survive that.
-    """
-    x, y = sorted((np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)), key=len)
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    shared = (n + m - int(np.bitwise_count(x ^ y).sum())) // 2
+
+def _fits(n, m, apart):
+    """False only where two sets of sizes n and m cannot be similar enough, as apart is a lower bound of their difference."""
+    shared = (n + m - apart) // 2
     return DENOMINATOR * shared >= NUMERATOR * (n + m - shared)
 
 
+def bits_apart(x: bytes, y: bytes) -> int:
+    """How many bits of two bitmaps differ, at the smaller one's size."""
+    x, y = sorted((np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)), key=len)
+    return int(np.bitwise_count(x ^ _folded(y, len(x))).sum())
+
+
 def _overlap(n: int) -> int:
     """The least intersection of a set of size n with any partner."""
     return -(-NUMERATOR * n // DENOMINATOR)
@@ -298,7 +305,7 @@ def _frequent(profile: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 _ENTRIES = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("blob", T.BinaryType())])
 _CANDIDATES = T.StructType(
-    [T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("list_id", T.LongType()), T.StructField("cids", T.BinaryType()), T.StructField("sizes", T.BinaryType())]
+    [T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("list_id", T.LongType()), T.StructField("cids", T.BinaryType())]
 )
 
 
@@ -358,17 +365,6 @@ def _near_size(small: np.ndarray, large: np.ndarray) -> np.ndarray:
     return small.astype(np.int64) * DENOMINATOR >= large.astype(np.int64) * NUMERATOR
 
 
-def _stars(cids: np.ndarray, sizes: np.ndarray) -> tuple[list[int], list[int]]:
-    """Pairs of a star around the smallest set, and of further stars where sizes go beyond its reach; both sorted by size."""
-    a, b, first = [], [], 0
-    while first < len(cids):
-        reach = int(np.searchsorted(sizes, sizes[first] * DENOMINATOR // NUMERATOR, side="right"))
-        a += [int(cids[first])] * (reach - first - 1)
-        b += cids[first + 1 : reach].tolist()
-        first = reach
-    return a, b
-
-
 def _candidates(entries: DataFrame) -> DataFrame:
     import pyarrow as pa
 
@@ -405,11 +401,7 @@ def _candidates(entries: DataFrame) -> DataFrame:
             _, pick = np.unique(sums[large], return_index=True)  # many signatures have the same list
             for i in large[pick].tolist():
                 own = slice(starts[i], starts[i] + counts[i])
-                more = _stars(cid[own], size[own])
-                a += more[0]
-                b += more[1]
-                if counts[i] > 2 and _near_size(size[own][:1], size[own][-1:]).all() or len(more[0]):
-                    lists.append((int(sums[i : i + 1].view(np.int64)[0]), cid[own].tobytes(), size[own].tobytes()))
+                lists.append((int(sums[i : i + 1].view(np.int64)[0]), cid[own].tobytes()))
         unique = sorted(set(zip(a, b, strict=True)))
         none = [None] * len(lists)
         columns = [
@@ -417,7 +409,6 @@ def _candidates(entries: DataFrame) -> DataFrame:
             [p[1] for p in unique] + none,
             [None] * len(unique) + [x[0] for x in lists],
             [None] * len(unique) + [x[1] for x in lists],
-            [None] * len(unique) + [x[2] for x in lists],
         ]
         return pa.Table.from_batches([_arrow(columns, _CANDIDATES)])
 
@@ -475,20 +466,26 @@ def _maps(profile: DataFrame) -> DataFrame:
     return profile.where("n > 0").select("cid", "n", "bits").dropDuplicates(["cid"])
 
 
+_NEAR = T.StructType([T.StructField(c, T.LongType()) for c in ("a", "b", "apart")])
+
+
 def _possible(profile: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs that their bitmaps, a bit or two for each shingle, do not rule out."""
+    """The pairs that their bitmaps do not rule out, and by how many bits they differ."""
     maps = _maps(profile)
     left = maps.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
     right = maps.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
 
     def run(batches):
         for batch in batches:
-            kept = [(a, b) for a, b, *rest in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "na", "nb", "xa", "xb")), strict=True) if may_qualify(*rest)]
+            kept = []
+            for a, b, n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "na", "nb", "xa", "xb")), strict=True):
+                if _fits(n, m, apart := bits_apart(x, y)):
+                    kept.append((a, b, apart))
             if kept:
-                yield _arrow(zip(*kept, strict=True), _LINKS)
+                yield _arrow(zip(*kept, strict=True), _NEAR)
 
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "xa", "xb")
-    return materialize(joined.mapInArrow(run, _LINKS), "possible")
+    return materialize(joined.mapInArrow(run, _NEAR), "possible")
 
 
 def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -514,10 +511,43 @@ def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     return materialize(joined.mapInArrow(run, _LINKS), "links")
 
 
-def _folded(bits: np.ndarray, size: int) -> np.ndarray:
-    while len(bits) > size:
-        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
-    return bits
+class _Leaders:
+    """Bitmaps of one size, growing."""
+
+    def __init__(self, size: int):
+        self.rows, self.stack = [], np.zeros((4, size), dtype=np.uint64)
+
+    def add(self, row: int, bits: np.ndarray) -> None:
+        if len(self.rows) == len(self.stack):
+            self.stack = np.concatenate([self.stack, np.zeros_like(self.stack)])
+        self.stack[len(self.rows)] = bits
+        self.rows.append(row)
+
+    def apart(self, bits: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(self.stack[: len(self.rows)] ^ bits).sum(1, dtype=np.int64)
+
+
+def leader_pairs(n: np.ndarray, cid: np.ndarray, bits: list[bytes]):
+    """At most one pair for each member of a list sorted by size: with the leader whose bitmap differs least, if one fits.
+
+    A member that no leader fits becomes one, so near copies gather around few leaders.
+    """
+    leaders: dict[int, _Leaders] = {}
+    for j in range(len(n)):
+        own, best = np.frombuffer(bits[j], dtype=np.uint64), None
+        for size in (len(own) // 2, len(own)):  # partners of smaller size are at most one power of two smaller
+            if size not in leaders:
+                continue
+            rows = np.array(leaders[size].rows)
+            apart = leaders[size].apart(_folded(own, size))
+            fits = np.flatnonzero(_fits(n[rows], n[j], apart))
+            if len(fits):
+                k = fits[apart[fits].argmin()]
+                best = min(filter(None, (best, (int(apart[k]), int(cid[rows[k]])))))
+        if best:
+            yield best[1], int(cid[j]), best[0]
+        else:
+            leaders.setdefault(len(own), _Leaders(len(own))).add(j, own)
 
 
 def cross_pairs(n: np.ndarray, cid: np.ndarray, label: np.ndarray, bits: list[bytes], best_only: bool):
@@ -537,21 +567,23 @@ def cross_pairs(n: np.ndarray, cid: np.ndarray, label: np.ndarray, bits: list[by
         if size not in levels:  # all members from here on have at least this many words
             levels[size] = np.stack([_folded(w, size) if len(w) >= size else np.zeros(size, dtype=np.uint64) for w in words])
         apart = np.bitwise_count(levels[size][other] ^ words[i]).sum(1, dtype=np.int64)
-        shared = (n[i] + n[other] - apart) // 2
-        fits = np.flatnonzero(DENOMINATOR * shared >= NUMERATOR * (n[i] + n[other] - shared))
+        fits = np.flatnonzero(_fits(n[i], n[other], apart))
         for j, d in zip(other[fits].tolist(), apart[fits].tolist(), strict=True):
             if not best_only:
-                yield int(cid[i]), int(cid[j])
+                yield int(cid[i]), int(cid[j]), d
                 continue
             pair = (min(label[i], label[j]), max(label[i], label[j]))
             if pair not in best or d < best[pair][0]:
                 best[pair] = (d, int(cid[i]), int(cid[j]))
-    for _, a, b in best.values():
-        yield a, b
+    for d, a, b in best.values():
+        yield a, b, d
 
 
-def _across(lists: DataFrame, labels: DataFrame, profile: DataFrame, best_only: bool) -> DataFrame:
-    """Pairs across components among the members of each list; lists that are in one component are done."""
+_MEMBERS = T.StructType([T.StructField(c, T.LongType()) for c in ("list_id", "cid")])
+
+
+def _list_pairs(lists: DataFrame, profile: DataFrame, labels: DataFrame | None, best_only: bool) -> DataFrame:
+    """Without labels, the leader pairs of each list; with labels, pairs across components, of those lists that have several."""
 
     def members(batches):
         for batch in batches:
@@ -559,36 +591,40 @@ def _across(lists: DataFrame, labels: DataFrame, profile: DataFrame, best_only:
             for i, cids in zip(batch.column("list_id").to_pylist(), batch.column("cids").to_pylist(), strict=True):
                 rows += [(i, c) for c in np.frombuffer(cids, dtype=np.int64).tolist()]
             if rows:
-                yield _arrow(zip(*rows, strict=True), one)
+                yield _arrow(zip(*rows, strict=True), _MEMBERS)
 
-    one = T.StructType([T.StructField(c, T.LongType()) for c in ("list_id", "cid")])
-    flat = lists.select("list_id", "cids").mapInArrow(members, one)
-    flat = flat.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    unsettled = flat.groupBy("list_id").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("list_id")
-    full = flat.join(unsettled, "list_id", "left_semi").join(_maps(profile), "cid")
+    flat = lists.select("list_id", "cids").mapInArrow(members, _MEMBERS)
+    if labels is None:
+        flat = flat.withColumn("label", F.col("cid"))
+    else:
+        flat = flat.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+        unsettled = flat.groupBy("list_id").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("list_id")
+        flat = flat.join(unsettled, "list_id", "left_semi")
+    stars, full = labels is None, flat.join(_maps(profile), "cid")
     grouped = full.groupBy("list_id").agg(F.sort_array(F.collect_list(F.struct("n", "cid", "label", "bits"))).alias("m"))
 
     def run(batches):
         for batch in batches:
-            for n, cid, label, bits in zip(*(batch.column(c).to_pylist() for c in ("n", "cid", "label", "bits")), strict=True):
-                n, cid, label = (np.array(x, dtype=np.int64) for x in (n, cid, label))
-                rows = []
-                for pair in cross_pairs(n, cid, label, bits, best_only):
+            columns = [batch.column(c) for c in ("n", "cid", "label", "bits")]
+            for i in range(batch.num_rows):
+                n, cid, label = (np.array(c[i].as_py(), dtype=np.int64) for c in columns[:3])
+                bits, rows = columns[3][i].as_py(), []
+                for pair in leader_pairs(n, cid, bits) if stars else cross_pairs(n, cid, label, bits, best_only):
                     rows.append(pair)
                     if len(rows) == 100_000:
-                        yield _arrow(zip(*rows, strict=True), _LINKS)
+                        yield _arrow(zip(*rows, strict=True), _NEAR)
                         rows = []
                 if rows:
-                    yield _arrow(zip(*rows, strict=True), _LINKS)
+                    yield _arrow(zip(*rows, strict=True), _NEAR)
 
-    return grouped.select("m.n", "m.cid", "m.label", "m.bits").mapInArrow(run, _LINKS)
+    return grouped.select("m.n", "m.cid", "m.label", "m.bits").mapInArrow(run, _NEAR)
 
 
 def _differing(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs whose ends are in different components."""
     of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
     both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    return both.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+    return both.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b", "apart")
 
 
 def link(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -606,16 +642,18 @@ def link(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     found = _candidates(_index(docs, *_frequent(profile), buckets))
     pairs = materialize(found.where("list_id IS NULL").select("a", "b").distinct(), "pairs")
     lists = materialize(found.where("list_id IS NOT NULL").select("list_id", "cids").dropDuplicates(["list_id"]), "lists")
-    # first each class with its smallest partner; then what is still apart, one pair for two components of a list; then all else
-    sized = pairs.join(classes.select(F.col("cid").alias("a"), "n"), "a")
-    tried = _possible(profile, sized.groupBy("b").agg(F.min(F.struct("n", "a")).alias("least")).select(F.col("least.a").alias("a"), "b"))
+    # first each class with its likeliest partner; then what is still apart, one pair for two components of a list; then all else
+    possible = _possible(profile, pairs)
+    likely = possible.unionAll(_list_pairs(lists, profile, None, True))
+    tried = likely.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("least")).select(F.col("least.a").alias("a"), "b")
+    tried = materialize(tried, "tried")
     links = _verify(docs, classes, tried)
     labels = connected(links, "a", "b")
     for best_only in (True, False):
-        rest = _across(lists, labels, profile, best_only).distinct()
+        rest = _list_pairs(lists, profile, labels, best_only)
         if best_only:
-            rest = _possible(profile, _differing(pairs, labels)).unionAll(rest).distinct()
-        rest = materialize(rest.join(tried, ["a", "b"], "left_anti"), "rest")
+            rest = rest.unionAll(_differing(possible, labels))
+        rest = materialize(rest.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "rest")
         if rest.isEmpty():
             continue
         links, tried = links.unionAll(_verify(docs, classes, rest)), tried.unionAll(rest)

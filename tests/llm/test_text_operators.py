@@ -82,7 +82,7 @@ def test_signatures_meet(docs):
                 both = len(np.intersect1d(sets[i], sets[j]))
                 if 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
                     assert own[i] & own[j] or both == len(sets[i]) == len(sets[j])  # equal sets are one class anyway
-                    assert ngram_join.may_qualify(len(sets[i]), len(sets[j]), ngram_join.bitmap(sets[i]), ngram_join.bitmap(sets[j]))
+                    assert ngram_join._fits(len(sets[i]), len(sets[j]), ngram_join.bits_apart(ngram_join.bitmap(sets[i]), ngram_join.bitmap(sets[j])))
 
 
 def test_repeats_against_brute_force(spark, docs):
