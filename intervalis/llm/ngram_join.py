@@ -8,8 +8,8 @@ principle, two frequent shingles of one sub-class. So rare shingles are indexed
 a sub-class. The number of sub-classes grows with a document's size, which keeps its pairs linear in its size.
 
 Each class is first compared with one that it shares a signature with, the one whose bitmap is nearest. Of the signatures whose classes are in
-one component then, nothing else is compared. Of the others, one pair for each two components is, the likeliest; and in the
-end all pairs that are still apart. Bitmaps of a bit or two for each shingle rule most pairs out; each that they leave is
+one component then, nothing else is compared. Of the others, each class is compared with the nearest across components; and in
+the end all pairs that are still apart. Bitmaps of a bit or two for each shingle rule most pairs out; each that they leave is
 settled by intersecting whole sets.
 Signatures travel as packed arrays, a few rows for millions of entries.
 
@@ -463,15 +463,14 @@ _LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.Lo
 
 def _maps(profile: DataFrame) -> DataFrame:
     """Size and bitmap of each class."""
-    return profile.where("n > 0").select("cid", "n", "bits").dropDuplicates(["cid"])
+    return materialize(profile.where("n > 0").select("cid", "n", "bits").dropDuplicates(["cid"]), "bitmaps")
 
 
 _NEAR = T.StructType([T.StructField(c, T.LongType()) for c in ("a", "b", "apart")])
 
 
-def _possible(profile: DataFrame, pairs: DataFrame) -> DataFrame:
+def _possible(maps: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs that their bitmaps do not rule out, and by how many bits they differ."""
-    maps = _maps(profile)
     left = maps.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
     right = maps.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
 
@@ -553,11 +552,11 @@ def leader_pairs(n: np.ndarray, cid: np.ndarray, bits: list[bytes]):
 def cross_pairs(n: np.ndarray, cid: np.ndarray, label: np.ndarray, bits: list[bytes], best_only: bool):
     """Pairs of a list, sorted by size, whose labels differ and whose bitmaps do not rule them out.
 
-    With best_only just one pair for each two labels, the one whose bitmaps differ least.
+    With best_only, for each member just the nearest larger ones and the nearest smaller one.
     """
     words = [np.frombuffer(x, dtype=np.uint64) for x in bits]
     levels: dict[int, np.ndarray] = {}
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    nearest, smaller = np.full(len(n), 1 << 62), np.full(len(n), -1)
     for i in range(len(n) - 1):
         reach = int(np.searchsorted(n, n[i] * DENOMINATOR // NUMERATOR, side="right"))
         other = np.flatnonzero(label[i + 1 : reach] != label[i]) + i + 1
@@ -567,22 +566,24 @@ def cross_pairs(n: np.ndarray, cid: np.ndarray, label: np.ndarray, bits: list[by
         if size not in levels:  # all members from here on have at least this many words
             levels[size] = np.stack([_folded(w, size) if len(w) >= size else np.zeros(size, dtype=np.uint64) for w in words])
         apart = np.bitwise_count(levels[size][other] ^ words[i]).sum(1, dtype=np.int64)
-        fits = np.flatnonzero(_fits(n[i], n[other], apart))
-        for j, d in zip(other[fits].tolist(), apart[fits].tolist(), strict=True):
-            if not best_only:
-                yield int(cid[i]), int(cid[j]), d
-                continue
-            pair = (min(label[i], label[j]), max(label[i], label[j]))
-            if pair not in best or d < best[pair][0]:
-                best[pair] = (d, int(cid[i]), int(cid[j]))
-    for d, a, b in best.values():
-        yield a, b, d
+        fits = _fits(n[i], n[other], apart)
+        other, apart = other[fits], apart[fits]
+        if best_only:
+            closer = apart < nearest[other]
+            nearest[other[closer]], smaller[other[closer]] = apart[closer], i
+            some = np.argsort(apart, kind="stable")[:2]
+            other, apart = other[some], apart[some]
+        for j, d in zip(other.tolist(), apart.tolist(), strict=True):
+            yield int(cid[i]), int(cid[j]), d
+    if best_only:
+        for j in np.flatnonzero(smaller >= 0).tolist():
+            yield int(cid[smaller[j]]), int(cid[j]), int(nearest[j])
 
 
 _MEMBERS = T.StructType([T.StructField(c, T.LongType()) for c in ("list_id", "cid")])
 
 
-def _list_pairs(lists: DataFrame, profile: DataFrame, labels: DataFrame | None, best_only: bool) -> DataFrame:
+def _list_pairs(lists: DataFrame, maps: DataFrame, labels: DataFrame | None, best_only: bool) -> DataFrame:
     """Without labels, the leader pairs of each list; with labels, pairs across components, of those lists that have several."""
 
     def members(batches):
@@ -600,7 +601,7 @@ def _list_pairs(lists: DataFrame, profile: DataFrame, labels: DataFrame | None,
         flat = flat.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
         unsettled = flat.groupBy("list_id").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("list_id")
         flat = flat.join(unsettled, "list_id", "left_semi")
-    stars, full = labels is None, flat.join(_maps(profile), "cid")
+    stars, full = labels is None, flat.join(maps, "cid")
     grouped = full.groupBy("list_id").agg(F.sort_array(F.collect_list(F.struct("n", "cid", "label", "bits"))).alias("m"))
 
     def run(batches):
@@ -642,15 +643,16 @@ def link(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     found = _candidates(_index(docs, *_frequent(profile), buckets))
     pairs = materialize(found.where("list_id IS NULL").select("a", "b").distinct(), "pairs")
     lists = materialize(found.where("list_id IS NOT NULL").select("list_id", "cids").dropDuplicates(["list_id"]), "lists")
-    # first each class with its likeliest partner; then what is still apart, one pair for two components of a list; then all else
-    possible = _possible(profile, pairs)
-    likely = possible.unionAll(_list_pairs(lists, profile, None, True))
+    # first each class with its likeliest partner; then what is still apart, the nearest across components; then all else
+    maps = _maps(profile)
+    possible = _possible(maps, pairs)
+    likely = possible.unionAll(_list_pairs(lists, maps, None, True))
     tried = likely.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("least")).select(F.col("least.a").alias("a"), "b")
     tried = materialize(tried, "tried")
     links = _verify(docs, classes, tried)
     labels = connected(links, "a", "b")
     for best_only in (True, False):
-        rest = _list_pairs(lists, profile, labels, best_only)
+        rest = _list_pairs(lists, maps, labels, best_only)
         if best_only:
             rest = rest.unionAll(_differing(possible, labels))
         rest = materialize(rest.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "rest")

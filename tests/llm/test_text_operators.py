@@ -67,6 +67,20 @@ def test_join_of_odd_tables(spark):
     assert sorted(map(str, map(tuple, rows))) == sorted(map(str, [(4, 4, 4), (4, 4, 4), (None, 4, 4), (None, 0, None), (9, 0, 9), (7, 4, 4)]))
 
 
+def test_components_over_many_tasks(spark, monkeypatch):
+    from intervalis.llm import components as c
+
+    r = random.Random(6)
+    edges = [(r.randrange(400), r.randrange(400)) for _ in range(250)] + [(i, i + 1) for i in range(1000, 1060)]
+    expected = c.union(edges)
+    df = spark.createDataFrame(edges, "a bigint, b bigint").repartition(7)
+    for limit in (1_000_000, 20):
+        monkeypatch.setattr(c, "LOCAL_EDGES", limit)
+        got = {r.node: r.label for r in c.connected(df, "a", "b").collect()}
+        assert {k: v for k, v in expected.items() if got.get(k, k) != v} == {} and set(got) <= set(expected)
+    assert c.connected(df.limit(0), "a", "b").collect() == []
+
+
 def test_signatures_meet(docs):
     """Any two sets that are similar enough share a signature, whichever shingles count as frequent."""
     r = random.Random(3)
