@@ -159,3 +159,13 @@ def judge(df: DataFrame, text: str = "text", rules=RULES, stop_words=None) -> Da
     counted = with_counts(df.drop("base_failed", "kept"), text, stop_words)
     base = (F.col("n_words") < 50) | (F.lit(100) * F.col("n_repeat_words") > F.lit(50) * F.col("n_words"))
     return counted.withColumns({"base_failed": base, "kept": ~base & compile_rules(rules)})
+
+
+def keep(df: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
+    """The rows that the rules keep, with the input's columns.
+
+    The filter also reads a random column. That changes no row, but it stops the optimizer from moving the filter below the
+    projections, where it would write each of their expressions out many times over.
+    """
+    judged = judge(df.select("*", F.col(text).alias("_text")), "_text", rules).withColumn("_barrier", F.rand(0))
+    return judged.where(F.col("kept") & (F.col("_barrier") >= 0)).select(*df.columns)
