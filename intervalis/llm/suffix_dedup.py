@@ -36,9 +36,9 @@ GRAM = 32
 PIECE = 1 << 19
 FILTER_BITS = 1 << 26
 LARGE = 2000
-CHUNK = 1 << 21
-FLUSH_BYTES = 16 << 20
-FLUSH_GRAMS = 2_000_000
+CHUNK = 1 << 20
+FLUSH_BYTES = 4 << 20
+FLUSH_GRAMS = 500_000
 DOCS_PER_BUCKET = 4096
 
 _BASE = 0x9E3779B97F4A7C15
