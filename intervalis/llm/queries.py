@@ -64,9 +64,8 @@ def piece_model() -> str:
 
 
 def op9_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sampled segmentations serve fine-tuning on dialogue: all turns of ``conversations``, three samples each."""
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    return sp_sampling.sample(turns, piece_model(), ["conv_id", "turn"])
+    """Three sampled segmentations of every document."""
+    return sp_sampling.sample(table(spark, sf_dir, "documents").select("doc_id", "text"), piece_model(), ["doc_id"])
 
 
 def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -229,6 +229,16 @@ def test_sampling_rows(spark):
     assert sp_sampling.sample(spark.createDataFrame([], "k bigint, text string"), piece_model(), ["k"]).collect() == []
 
 
+@needs_data
+def test_sampling_covers_all_documents(spark):
+    small = DATA.replace("sf0.01", "sf0.001")
+    texts = {r.doc_id: r.text for r in table(spark, small, "documents").select("doc_id", "text").collect()}
+    out = QUERIES["op9_sentencepiece_sampling"](spark, small).collect()
+    assert {r.doc_id for r in out} == set(texts) and all(r.round_trip for r in out)
+    ranks = Counter(r.doc_id for r in out)
+    assert all(ranks[i] == 3 for i, t in texts.items() if t and len(t) > 20)
+
+
 # -- HTML
 
 PAGE = """<html><head><title>T, t.</title><style>p{}</style></head><body><header><h1>Site</h1><p>Tag line, here.</p></header>
