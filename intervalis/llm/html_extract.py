@@ -3,9 +3,10 @@
 A tolerant scanner cuts the page into blocks of text, each with its root-to-leaf path of block elements. For every path the
 text length and the punctuation of its blocks are summed and divided by the number of blocks. Both ratios are laid out in
 page order, smoothed with a Gaussian, multiplied, and compared with a threshold on their spread: blocks on paths above it are
-content. Paths that pass through elements which name themselves boilerplate (menus, footers, adverts, forms, comments ...)
-never are. Within the smallest element that holds the content, blocks that share a parent with content and are not mostly
-links belong to it too, so headings and one-word paragraphs of an article stay.
+content, inside <article> and <main> and outside alike. Paths that are mostly links, or pass through elements which name
+themselves boilerplate (menus, footers, adverts, forms, comments ...), never are. Headings and text elements without a name of
+their own that stand beside content and are not mostly links belong to it too, so headings and one-word paragraphs stay; inside
+<article> and <main>, beside any element that holds content.
 
 Defined results: a null or empty html gives an empty text. A page without any path above the threshold gives all blocks
 outside boilerplate. Damaged markup (unclosed tags, comments or scripts, stray end tags) never raises. Repeated rows give
@@ -45,6 +46,9 @@ CLOSES = {
 #: An implied end tag does not reach beyond these.
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}}
 BARRIERS = set("article main section div body td th li blockquote".split())
+#: Looked through to find what a heading or a list item stands beside; what is not taken in by its neighbours.
+WRAPPERS = frozenset("header hgroup ul ol dl table thead tbody tfoot tr li dd blockquote figure".split())
+CONTAINERS = frozenset("div section article main body".split())
 BLOCKS_THAT_CLOSE_P = set("address article aside blockquote details div dl fieldset figure footer form header hr main nav ol pre section table ul".split() + HEADINGS)
 PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？¿¡\"'()«»„“”–—-]")
 SIGMA, RADIUS, SPREAD = 1.0, 2, 0.5
@@ -189,26 +193,40 @@ def extract(page: str | None) -> str:
     scores = path_scores(found)
     allowed = np.array([_allowed(b) for b in found])
     chosen = allowed & (scores > 0) & (scores >= SPREAD * scores.std())
-    # a path counts as a whole: it is content if most of its text is
+    # a path counts as a whole: it is content if most of its text is, and most is not links
     weight: dict[str, list[int]] = {}
     for b, c in zip(found, chosen, strict=True):
-        weight.setdefault(b.element.label, [0, 0])[int(c)] += len(b.text)
-    chosen = np.array([a and weight[b.element.label][1] > weight[b.element.label][0] for a, b in zip(allowed, found, strict=True)])
+        own = weight.setdefault(b.element.label, [0, 0, 0])
+        own[int(c)] += len(b.text)
+        own[2] += b.linked
+    content = {path for path, (out, into, linked) in weight.items() if into > out and linked * 2 <= out + into}
+    chosen = np.array([a and b.element.label in content for a, b in zip(allowed, found, strict=True)])
     if not chosen.any():
         return "\n".join(b.text for b, a in zip(found, allowed, strict=True) if a)
-    articles = [b.element.article for b, c in zip(found, chosen, strict=True) if c]
-    within_article = sum(articles) * 2 > len(articles)
-    parents = {id(b.element.parent) for b, c in zip(found, chosen, strict=True) if c} | {id(b.element) for b, c in zip(found, chosen, strict=True) if c}
+    near: set[int] = set()
+    for b, c in zip(found, chosen, strict=True):
+        if c:
+            near |= {id(b.element), id(b.element.parent)}
+            node = b.element.parent
+            while node is not None and node.article:
+                near.add(id(node))
+                node = node.parent
 
-    def belongs(block: Block, is_chosen: bool, is_allowed: bool) -> bool:
-        if not is_allowed:
+    def belongs(block: Block) -> bool:
+        """Whether a block below the threshold stands beside content."""
+        element = block.element
+        if block.linked * 2 > len(block.text):
+            return False
+        if id(element) in near:
+            return True
+        beside = element.parent
+        while beside is not None and beside.tag in WRAPPERS and id(beside) not in near:
+            beside = beside.parent
+        if beside is None or id(beside) not in near:
             return False
-        if within_article:
-            return block.element.article
-        near = id(block.element.parent) in parents or id(block.element) in parents
-        return is_chosen or (near and block.linked * 2 <= len(block.text))
+        return element.tag in HEADINGS or (element.tag not in CONTAINERS and "." not in element.label[len(beside.label) :])
 
-    return "\n".join(b.text for b, c, a in zip(found, chosen, allowed, strict=True) if belongs(b, c, a))
+    return "\n".join(b.text for b, c, a in zip(found, chosen, allowed, strict=True) if c or (a and belongs(b)))
 
 
 def with_main_text(df: DataFrame, html: str = "html", text: str = "text") -> DataFrame:

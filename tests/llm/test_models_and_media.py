@@ -254,6 +254,18 @@ def test_main_text(wrap):
     assert html_extract.extract(PAGE % (wrap % BODY)) == TEXT
 
 
+def test_path_scores_decide_inside_and_outside_article():
+    para = "<p>" + "A long sentence, with some marks; it goes on, and on. " * 4 + "</p>"
+    story, line = f"<div class=story><h1>Head</h1>{para * 5}<p>Ok.</p></div>", para[3:-4].strip()
+    rail = "<div class=rail><h3>More</h3><ul>" + "<li><a href=x>Some link title</a></li>" * 8 + "</ul></div>"
+    deal = "<div class=deal><div>Buy it</div><div>Cheap</div><div>Only today</div></div>"
+    cards = "<article class=card><h2><a href=x>Teaser title</a></h2><div>Read it</div></article>" * 12
+    expected = "\n".join(["Head", *[line] * 5, "Ok."])
+    for page in (f"<main>{story}{rail}{deal}</main>", f"<article>{story}{rail}{deal}</article>", story + cards):
+        assert html_extract.extract(f"<body>{page}</body>") == expected
+    assert html_extract.extract(f"<article><h1>Head</h1><div>{para * 5}<ul><li>Item</li></ul></div></article>").split("\n")[::6] == ["Head", "Item"]
+
+
 def test_damaged_pages():
     assert html_extract.extract(None) == html_extract.extract("") == html_extract.extract("<script>never closed") == ""
     assert html_extract.extract("plain text only") == "plain text only"
