@@ -302,6 +302,25 @@ def order_string_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return query.ordered().limit(50).select("c_name", K.group_of(K.StringKey, F.col(K.ID)).alias(K.GROUP))
 
 
+@_add("rank_int_key", "SELECT n_nationkey, n_name, n_nationkey + 2147483648 AS k_group, row_number() OVER (ORDER BY n_nationkey) AS k_rank FROM nation")
+def rank_int_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key order of all rows, as a column."""
+    query = _keyed(spark, sf_dir, "nation", "n_nationkey", K.IntegerKey)
+    return query.ranked().select("n_nationkey", "n_name", K.group_of(K.IntegerKey, F.col(K.ID)).alias(K.GROUP), "k_rank")
+
+
+@_add("rank_long_key", "SELECT o_orderkey, o_orderkey // 2 + 4611686018427387904 AS k_group, row_number() OVER (ORDER BY o_orderkey) AS k_rank FROM orders")
+def rank_long_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    query = _keyed(spark, sf_dir, "orders", "o_orderkey", K.LongKey)
+    return query.ranked().select("o_orderkey", K.group_of(K.LongKey, F.col(K.ID)).alias(K.GROUP), "k_rank")
+
+
+@_add("rank_string_hash", f"SELECT c_name, k_group, row_number() OVER (ORDER BY k_group, c_name) AS k_rank FROM (SELECT c_name, {_GROUP} AS k_group FROM customer)")
+def rank_string_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    query = _keyed(spark, sf_dir, "customer", "c_name", K.StringKey)
+    return query.ranked().select("c_name", K.group_of(K.StringKey, F.col(K.ID)).alias(K.GROUP), "k_rank")
+
+
 @_add("string_hash", f"SELECT c_custkey, CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END AS hash FROM (SELECT c_custkey, {_HASH} AS h FROM customer)")
 def string_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "customer").select("c_custkey", hashing.string_hash(F.col("c_name")).alias("hash"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
@@ -148,6 +148,24 @@ class Query:
     def ordered(self) -> DataFrame:
         return self.rows().orderBy(*self.order())
 
+    def ranked(self, parts: int = 64) -> DataFrame:
+        """All matching rows and k_rank, their place in key order from 1. Rows are dealt into ranges of the leading order column,
+        numbered within each range, and moved up by the sizes of the ranges before; no task gets all rows."""
+        lead, *rest = self.order()
+        keyed = self.rows().withColumn("_lead", lead)
+        cuts = keyed.agg(F.percentile_approx("_lead", [i / parts for i in range(1, parts)])).first()[0] or []
+        part = F.lit(0)
+        for cut in sorted(set(cuts)):
+            part = part + F.coalesce((F.col("_lead") >= F.lit(cut)).cast("int"), F.lit(0))
+        keyed = keyed.withColumn("_part", part)
+        before, offsets = 0, [F.lit(0), F.lit(0).cast("bigint")]
+        for row in sorted(keyed.groupBy("_part").count().collect()):
+            offsets += [F.lit(row["_part"]), F.lit(before).cast("bigint")]
+            before += row["count"]
+        place = F.row_number().over(Window.partitionBy("_part").orderBy("_lead", *rest))
+        ranks = F.create_map(*offsets[2:] or offsets)
+        return keyed.withColumn("k_rank", place + ranks[F.col("_part")]).drop("_lead", "_part")
+
     def _values(self, rows: DataFrame) -> DataFrame:
         return rows.select(*[c for c in rows.columns if not c.startswith("k_")])
 

@@ -1,5 +1,6 @@
 """Interval queries over six frames, active and completed keys, key sets and index conditions."""
 
+import os
 import uuid
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from intervalis.errors import CursorClosedError, UnsupportedConditionError
 from intervalis.functions import keys as K
 from intervalis.operators.cursor import Cursor
+from intervalis.plans import catalogue
 from intervalis.plans.conditions import Index, NoMatch
 from intervalis.plans.query import Query
 
@@ -155,3 +157,18 @@ def test_cursor(six):
         cursor.peek()
     with pytest.raises(CursorClosedError):
         six.iterator(0).has_next()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the test tables are not here")
+@pytest.mark.parametrize(("name", "table", "key"), [("int_key", "nation", "n_nationkey"), ("long_key", "orders", "o_orderkey"), ("string_hash", "customer", "c_name")])
+def test_key_order_of_all_rows(spark, name, table, key):
+    stored = sorted(r[0] for r in spark.read.parquet(f"/root/testdata/sf0.001/{table}.parquet").select(key).collect())
+    out = sorted(catalogue.QUERIES[f"rank_{name}"](spark, "/root/testdata/sf0.001").collect(), key=lambda r: r.k_rank)
+    assert [r.k_rank for r in out] == list(range(1, len(stored) + 1)) and sorted(r[key] for r in out) == stored
+    assert out == sorted(out, key=lambda r: (r.k_group, r[key]))
+    first = catalogue.QUERIES[f"order_{name}"](spark, "/root/testdata/sf0.001").collect()
+    assert [r[key] for r in first] == [r[key] for r in out[: len(first)]]
+
+
+def test_ranks_of_no_rows(spark):
+    assert Query(spark.createDataFrame([], "k_id bigint"), K.LongKey, K.LongKey).ranked().collect() == []
