@@ -454,8 +454,9 @@ def _sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
                 yield _arrow(zip(*rows, strict=True), schema)
 
     schema = T.StructType([T.StructField("doc_id", T.LongType()), *_SETS.fields])
-    sets = docs.where("doc_id IS NOT NULL").select("doc_id", "text", *places).mapInArrow(run, schema)
-    return materialize(sets.join(first, ["cid", "doc_id"]).select("cid", "shingles").dropDuplicates(["cid"]), "sets")
+    sets = docs.select("doc_id", "text", *places).mapInArrow(run, schema)
+    of = first.withColumnRenamed("doc_id", "of")  # null for a class without any doc_id
+    return materialize(sets.join(of, "cid").where(F.col("doc_id").eqNullSafe(F.col("of"))).select("cid", "shingles").dropDuplicates(["cid"]), "sets")
 
 
 _LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])

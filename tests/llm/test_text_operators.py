@@ -67,6 +67,15 @@ def test_join_of_odd_tables(spark):
     assert sorted(map(str, map(tuple, rows))) == sorted(map(str, [(4, 4, 4), (4, 4, 4), (None, 4, 4), (None, 0, None), (9, 0, 9), (7, 4, 4)]))
 
 
+def test_join_through_a_null_id(spark):
+    """A near copy without an id links two documents that are not near each other."""
+    base = invented(21, 100)
+    texts = [" ".join(invented(22, 100)[:n] + base[n:]) for n in (0, 8, 16)]
+    assert set(components(list(enumerate(texts)))[0].values()) == {0} and set(components([(0, texts[0]), (2, texts[2])])[0].values()) == {0, 2}
+    rows = ngram_join.link(frame(spark, [(5, texts[0]), (None, texts[1]), (8, texts[2]), (None, " ".join(invented(23, 60)))])).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in rows) == [(0, 0), (0, 5), (5, 5), (8, 5)]
+
+
 def test_components_over_many_tasks(spark, monkeypatch):
     from intervalis.llm import components as c
 
