@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: What separates words: the six ASCII white-space characters, nothing else.
 WORD = r"[^\x20\x09-\x0D]+"
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,11 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Arrow batches are counted in rows; texts may be long, so few rows a batch bound a worker's memory.
+    """Few rows and few bytes an Arrow batch, since texts may be long: that bounds a worker's memory.
 
     Workers also get this package's place on their path, for sessions that were started elsewhere.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
     if root not in paths:
@@ -48,7 +53,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.written_to = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what materialize wrote, once nothing reads it any more; other tables stay."""
+    for df in tables:
+        if path := getattr(df, "written_to", None):
+            spark = df.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def crc_remainder(key: Column, modulus: int) -> Column:
@@ -56,12 +72,95 @@ def crc_remainder(key: Column, modulus: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % F.lit(modulus)
 
 
-def first_by_hash(df: DataFrame, key: str, n: int, total: int) -> DataFrame:
-    """The n rows with the smallest hash of the key, of about total rows.
+def low_hashes(key: str, n: int, total: int) -> Column:
+    """A condition that holds for little more than the n rows with the smallest hash of the key, of about total rows.
 
-    Hashes are even, so a threshold leaves little more than n rows before the sort: the last task reads a bounded number of
-    rows however many partitions there are.
+    Hashes are even, so that many rows are left however many partitions there are.
     """
     share = min(1.0, (2 * n + 100) / max(1, total))
-    h = F.xxhash64(key)
-    return df.where(F.shiftrightunsigned(h, 1) <= F.lit(min(2**63 - 1, int(share * 2**63)))).orderBy(h, key).limit(n)
+    return F.shiftrightunsigned(F.xxhash64(key), 1) <= F.lit(min(2**63 - 1, int(share * 2**63)))
+
+
+def first_by_hash(df: DataFrame, key: str, n: int, total: int) -> DataFrame:
+    """The n rows with the smallest hash of the key, of about total rows."""
+    return df.where(low_hashes(key, n, total)).orderBy(F.xxhash64(key), key).limit(n)
+
+
+# The parameters of glibc's mallopt for the size from which memory is mapped, and for trimming.
+_MMAP_THRESHOLD, _TRIM_THRESHOLD = -3, -1
+_libc = None
+
+
+def _lean_memory() -> None:
+    """Once in a worker: large arrays are mapped and so given back when freed, and Arrow takes its memory from malloc too."""
+    global _libc
+    if _libc is None:
+        import pyarrow as pa
+
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            _libc = ctypes.CDLL(None)
+            _libc.mallopt(_MMAP_THRESHOLD, 4 << 20)
+            _libc.mallopt(_TRIM_THRESHOLD, 8 << 20)
+            _libc.malloc_trim.argtypes = [ctypes.c_size_t]
+        except (OSError, AttributeError):  # another C library: its own rules hold
+            _libc = False
+
+
+def _return_memory() -> None:
+    if _libc:
+        _libc.malloc_trim(0)
+
+
+def lean(run):
+    """A function for mapInArrow whose worker gives free memory back to the system when a task ends."""
+
+    def task(batches):
+        _lean_memory()
+        try:
+            yield from run(batches)
+        finally:
+            _return_memory()
+
+    return task
+
+
+def lean_group(run):
+    """The same for a function of key and rows for applyInArrow, after each group."""
+
+    def group(key, rows):
+        _lean_memory()
+        try:
+            return run(key, rows)
+        finally:
+            _return_memory()
+
+    return group
+
+
+_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijective scrambling of 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(30))) * _M1
+    x = (x ^ (x >> np.uint64(27))) * _M2
+    return x ^ (x >> np.uint64(31))
+
+
+def arrow_batch(columns, schema: T.StructType):
+    import pyarrow as pa
+
+    kinds = {"bigint": pa.int64(), "binary": pa.binary(), "int": pa.int32(), "string": pa.string()}
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[f.dataType.simpleString()]) for c, f in zip(columns, schema.fields, strict=True)], names=schema.names)
+
+
+def runs_of(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal values begins, and where it ends."""
+    first = np.flatnonzero(np.concatenate([[True], sorted_values[1:] != sorted_values[:-1]])) if len(sorted_values) else np.zeros(0, dtype=np.int64)
+    return first, np.append(first[1:], len(sorted_values))[: len(first)]
+
+
+def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Indices of all items of runs, one run after the other."""
+    return np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(int(lengths.sum()))

@@ -74,3 +74,57 @@ def places(rows):
             at += length
         assert at <= 4096
     return documents
+
+
+def flac_samples(media):
+    """A plain FLAC reader, bit by bit: the signed samples of each frame of a file with one channel of 8 bits, and where each frame begins."""
+    assert media[:4] == b"fLaC"
+    at, last = 4, False
+    while not last:
+        last, size = bool(media[at] & 0x80), int.from_bytes(media[at + 1 : at + 4], "big")
+        at += 4 + size
+    first, frames = at, []
+    while at < len(media):
+        begin, bits, place = at, "".join(f"{b:08b}" for b in media[at : at + 4000]), 0
+
+        def take(n):
+            nonlocal place
+            place += n
+            return int(bits[place - n : place], 2) if n else 0
+
+        def signed(n):
+            value = take(n)
+            return value - (1 << n) if n and value >> (n - 1) else value
+
+        assert take(14) == 0b11111111111110
+        take(2)
+        assert take(4) == 2 and take(4) == 4 and take(8) == 0x02  # 576 samples, 8 kHz, mono of 8 bits
+        lead = f"{take(8):08b}"
+        take(8 * max(0, lead.index("0") - 1))  # the rest of the frame number
+        take(8)
+        assert take(1) == 0
+        kind = take(6)
+        assert take(1) == 0
+        if kind == 0:
+            out = [signed(8)] * 576
+        elif kind == 1:
+            out = [signed(8) for _ in range(576)]
+        else:
+            order = kind - 8 if kind < 32 else kind - 31
+            out = [signed(8) for _ in range(order)]
+            shift, weights = 0, [(), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1)][order] if kind < 32 else ()
+            if kind >= 32:
+                precision, shift = take(4) + 1, signed(5)
+                weights = [signed(precision) for _ in range(order)]
+            width, parts = (4, 5)[take(2)], 1 << take(4)
+            for part in range(parts):
+                k = take(width)
+                for _ in range(576 // parts - (order if part == 0 else 0)):
+                    q = bits.index("1", place) - place
+                    place += q + 1
+                    u = (q << k) | take(k)
+                    out.append((u >> 1 if u % 2 == 0 else -(u + 1) // 2) + (sum(w * out[-1 - j] for j, w in enumerate(weights)) >> shift))
+        place += -place % 8 + 16
+        at += place // 8
+        frames.append((begin - first, out))
+    return frames

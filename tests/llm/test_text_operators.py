@@ -76,6 +76,26 @@ def test_join_through_a_null_id(spark):
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in rows) == [(0, 0), (0, 5), (5, 5), (8, 5)]
 
 
+def test_join_with_colliding_fingerprints(spark, docs, monkeypatch):
+    """Different sets may have one 64-bit fingerprint: with fingerprints of 3 bits the result is the same."""
+    whole = ngram_join.set_key
+    monkeypatch.setattr(ngram_join, "set_key", lambda own: (whole(own)[0] & 7, whole(own)[1]))
+    component, sizes = components(docs)
+    rows = ngram_join.link(frame(spark, docs)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == {i: (sizes[i], component[i]) for i, _ in docs}
+
+
+@pytest.mark.parametrize("part", [3, 40])
+def test_join_of_lists_in_parts(spark, docs, monkeypatch, part):
+    """Long lists are dealt into parts, whose leaders meet again; no link is lost."""
+    monkeypatch.setattr(ngram_join, "LIST_PART", part)
+    base, r = invented(31, 90), random.Random(9)
+    near = [(1000 + i, " ".join("w%d" % i if r.random() < 0.008 else w for w in base)) for i in range(150)]
+    component, _ = components(docs + near)
+    rows = ngram_join.link(frame(spark, docs + near)).collect()
+    assert {r.doc_id: r.component_id for r in rows} == component and len({component[i] for i, _ in near}) < 30
+
+
 def test_components_over_many_tasks(spark, monkeypatch):
     from intervalis.llm import components as c
 
@@ -117,7 +137,7 @@ def test_repeats_against_brute_force(spark, docs):
         assert r.text == (text if not gone else left.decode("utf-8", "ignore")) and r.kept == "clash" and r.source == "s"
 
 
-@pytest.mark.parametrize(("name", "value"), [("LARGE", 1), ("CHUNK", 500), ("PIECE", 450), ("FILTER_BITS", 1 << 12)])
+@pytest.mark.parametrize(("name", "value"), [("HOT", 2), ("TOGETHER", 3), ("PIECE", 450), ("FILTER_BITS", (1 << 10, 1 << 12)), ("FLUSH_BYTES", 2000), ("REMEMBERED", 2)])
 def test_repeats_do_not_depend_on_limits(spark, docs, monkeypatch, name, value):
     monkeypatch.setattr(suffix_dedup, name, value)
     some = docs[::2] + docs[61:100:2]
@@ -149,6 +169,15 @@ def test_packing(spark, docs):
         assert at == len(ids) // 4
 
 
+def test_packing_spreads_equal_rows(spark, monkeypatch):
+    """Rows that are equal in all columns go to different shards."""
+    monkeypatch.setattr(packing, "SHARD_DOCS", 100)
+    rows = packing.pack(frame(spark, [(None, "")] * 1000), word_tokenizer()).collect()
+    shards = [r.sequence_id >> 40 for r in rows]
+    assert len(rows) == 1000 and len(set(shards)) == 10 and max(map(shards.count, set(shards))) < 200
+    places(rows)
+
+
 def test_packing_of_odd_tables_and_whole_sequences(spark):
     assert packing.pack(frame(spark, []), word_tokenizer()).collect() == []
     packed = packing.pack(frame(spark, [(1, "a b"), (1, "a b"), (None, "c"), (2, None)]), word_tokenizer(), capacity=4, keep_ids=True)
