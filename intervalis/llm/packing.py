@@ -21,14 +21,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import lean, lean_group, small_batches
 
 CAPACITY = 4096
 SHARD_DOCS = 4096
 END_ID = 2
 #: Parts of words whose ids a worker remembers; rarer ones are encoded again.
-CACHE_PARTS = 800_000
-CHUNK_CHARS = 4_000_000
+CACHE_PARTS = 200_000
+CHUNK_CHARS = 1_000_000
+#: Rows of which a task remembers how often it has met them.
+REMEMBERED = 200_000
 
 PIECES = T.StructType(
     [
@@ -39,6 +41,7 @@ PIECES = T.StructType(
         T.StructField("doc_tokens", T.LongType()),
     ]
 )
+_SALT = T.StructField("salt", T.LongType())
 _caches: dict[str, tuple] = {}
 #: A word of Latin letters with ASCII punctuation behind it. The tokenizer cuts between the two and lowers the letters itself.
 _PLAIN = "^(?P<letters>[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)(?P<marks>[!-&(-/:-@\\[-`{-~]*)$"
@@ -68,7 +71,9 @@ def _gather(flat: np.ndarray, lengths: np.ndarray, index: np.ndarray) -> tuple[n
 def _part_ids(parts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
     tokenizer, known = _encoder(path)
     new = [p for p in parts if p not in known]
-    known.update((p, np.array(e.ids, dtype="<u4").tobytes()) for p, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True))
+    for at in range(0, len(new), 4096):  # few at a time: the tokenizer's results are large
+        some = new[at : at + 4096]
+        known.update((p, np.array(e.ids, dtype="<u4").tobytes()) for p, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True))
     found = list(map(known.__getitem__, parts))
     for p in new[max(0, CACHE_PARTS - len(known) + len(new)) :]:
         del known[p]
@@ -118,26 +123,35 @@ def _token_bytes_by_chunk(texts: list[str | None], path: str, end_id: int):
 
 
 def cut(df: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
-    """One row for each piece: full windows of long documents, and what is left; with the ids themselves if keep_ids."""
+    """One row for each piece: full windows of long documents, and what is left; with the ids themselves if keep_ids.
+
+    The column salt counts the pieces of a task that are equal in all the other columns.
+    """
     import pyarrow as pa
 
     small_batches(df.sparkSession, 1024)
-    schema = T.StructType([*PIECES.fields, *([T.StructField("ids", T.BinaryType())] if keep_ids else [])])
+    schema = T.StructType([*PIECES.fields, _SALT, *([T.StructField("ids", T.BinaryType())] if keep_ids else [])])
 
     def run(batches):
+        met: dict[tuple, int] = {}
         for batch in batches:
+            if len(met) > REMEMBERED:
+                met.clear()
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             rows = []
             for doc_id, ids in zip(doc_ids, _token_bytes_by_chunk(texts, tokenizer_path, end_id), strict=True):
                 total = len(ids) // 4
                 for start in range(0, total, capacity):
                     part = ids[4 * start : 4 * (start + capacity)]
-                    rows.append((doc_id, start, len(part) // 4, zlib.crc32(part), total, *([part] if keep_ids else [])))
+                    crc = zlib.crc32(part)
+                    key = doc_id, start, crc
+                    met[key] = salt = met.get(key, -1) + 1
+                    rows.append((doc_id, start, len(part) // 4, crc, total, salt, *([part] if keep_ids else [])))
             columns = list(zip(*rows, strict=True)) if rows else [[] for _ in schema.fields]
-            types = [pa.int64()] * 5 + [pa.binary()] * keep_ids
+            types = [pa.int64()] * 6 + [pa.binary()] * keep_ids
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=schema.names)
 
-    return df.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return df.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), schema)
 
 
 class CapacityTree:
@@ -192,20 +206,23 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[
 
 
 def place(pieces: DataFrame, shards: int, capacity: int = CAPACITY) -> DataFrame:
-    """Adds sequence_id and offset to pieces. A sequence's id has its shard in the high bits."""
+    """Adds sequence_id and offset to pieces and drops salt. A sequence's id has its shard in the high bits.
+
+    Equal rows, of which one may be a third of all, go to different shards by their salt.
+    """
     import pyarrow as pa
 
-    schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    schema = T.StructType([*(f for f in pieces.schema.fields if f != _SALT), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def pack(key, rows):
         order = [("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")]
-        rows = rows.drop_columns(["shard"]).sort_by(order)
+        rows = rows.drop_columns(["shard", "salt"]).sort_by(order)
         windows, offsets = best_fit_decreasing(rows["length"].to_numpy(), capacity)
         ids = (key[0].as_py() << 40) + windows
         return rows.append_column("sequence_id", pa.array(ids, pa.int64())).append_column("offset", pa.array(offsets, pa.int64()))
 
-    shard = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(shards))
-    return pieces.withColumn("shard", shard).groupBy("shard").applyInArrow(pack, schema)
+    shard = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "salt"), F.lit(shards))
+    return pieces.withColumn("shard", shard).groupBy("shard").applyInArrow(lean_group(pack), schema)
 
 
 def pack(df: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:

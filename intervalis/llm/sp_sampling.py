@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import lean, mix, small_batches
 
 SAMPLES = 3
 ALPHA = 1 / 4000
@@ -38,15 +38,9 @@ _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
-
-
 def _uniform(x: np.ndarray) -> np.ndarray:
     """Numbers in (0, 1) from hashes."""
-    return ((_mix(x) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+    return ((mix(x) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
 class Vocabulary:
@@ -78,7 +72,7 @@ class Vocabulary:
         h = np.zeros(1, dtype=np.uint64)
         for c in piece:
             h = h * _BASE + np.uint64(ord(c) + 1)
-        return int(_mix(h + np.uint64(len(piece)))[0])
+        return int(mix(h + np.uint64(len(piece)))[0])
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Piece ids, -1 where there is none."""
@@ -132,7 +126,7 @@ class Lattice:
             inside = np.flatnonzero(left[:live] >= n)
             if not len(inside):
                 break
-            found = vocab.find(_mix(rolled[inside] + np.uint64(n)))
+            found = vocab.find(mix(rolled[inside] + np.uint64(n)))
             hit = found >= 0
             at = inside[hit]
             if n == 1:
@@ -378,4 +372,4 @@ def sample(df: DataFrame, path: str, keys: list[str], text: str = "text", k: int
                 first, size = i + 1, 0
 
     seeded = df.select(*names, F.col(text).cast("string").alias("_text"), F.xxhash64(*keys, F.lit(seed)).alias("_seed"))
-    return seeded.mapInArrow(run, schema)
+    return seeded.mapInArrow(lean(run), schema)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_remainder, first_by_hash, small_batches
+from .common import crc_remainder, first_by_hash, lean, small_batches
 
 BUCKETS = 1 << 18
 GRAMS = (3, 4, 5, 6)
@@ -31,7 +31,7 @@ DIM = 8
 SEGMENT = 16
 TOXIC_DOCS, CLEAN_DOCS = 1500, 2500
 THRESHOLD = 0.3
-_CACHE_WORDS = 300_000
+_CACHE_WORDS = 150_000
 _CHUNK = 20_000
 
 
@@ -239,4 +239,4 @@ def score(df: DataFrame, model: Model, text: str = "text", threshold: float = TH
             made = [pa.array(scores, pa.float64()), pa.array((scores >= threshold).astype(np.int32), pa.int32())]
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + made, names=[*names, "score", "predicted"])
 
-    return df.select(*dict.fromkeys([*names, text])).mapInArrow(run, schema)
+    return df.select(*dict.fromkeys([*names, text])).mapInArrow(lean(run), schema)
