@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import discard, materialize
 
 #: Edges that one task unites in its memory.
 LOCAL_EDGES = 100_000
+SALTS = 32
 _LABELS = T.StructType([T.StructField("node", T.LongType()), T.StructField("label", T.LongType())])
 
 
@@ -40,6 +41,13 @@ def _local_stars(batches):
         yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.int64())], names=_LABELS.names)
 
 
+def by_label(rows: DataFrame, table: DataFrame, spread_by: str, how: str = "inner") -> DataFrame:
+    """Joins rows with a table of one row for each label. A label that very many rows have is spread over SALTS tasks."""
+    salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int"))
+    return dealt.join(salted, ["label", "_salt"], how).drop("_salt")
+
+
 def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
     """node and label (the smallest node of its component) of all nodes that have an edge.
 
@@ -55,16 +63,18 @@ def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
         return stars
     one_way = stars.select("node", F.col("label").alias("other")).where("node <> other")
     both = materialize(one_way.union(one_way.select(F.col("other"), F.col("node"))).distinct(), "edges")
+    discard(stars)
     labels = materialize(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("label")), "labels")
     while True:
         around = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("label").alias("near"))
         lower = labels.join(around, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("was"))
-        lower = materialize(lower, "labels")
+        lower, before = materialize(lower, "labels"), labels
         # the label of the label; a label is itself a node
         targets = lower.select(F.col("node").alias("label"), F.col("label").alias("next"))
         hops = lower.select("label").distinct().join(targets, "label")
-        jumped = lower.join(hops, "label").select("node", F.least("label", "next").alias("label"), "was")
+        jumped = by_label(lower, hops, "node").select("node", F.least("label", "next").alias("label"), "was")
         labels = materialize(jumped, "labels")
+        discard(lower, before)
         if labels.where("label <> was").isEmpty():
+            discard(both)
             return labels.select("node", "label")
-        labels = labels.select("node", "label")

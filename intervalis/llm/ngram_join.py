@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, small_batches
-from .components import connected
+from .common import arrow_batch, discard, lean, lean_group, materialize, mix, runs_of, small_batches
+from .components import by_label, connected
 
 SHINGLE = 5
 #: Similarity threshold as a fraction: intersection / union >= NUMERATOR / DENOMINATOR.
@@ -44,6 +44,8 @@ DOCS_PER_BUCKET = 4096
 FLUSH_ENTRIES = 1_000_000
 COUNT_SHINGLES = 2_000_000
 BLOOM_WORDS = 1 << 18
+#: Members of a list that are compared in one task at first.
+LIST_PART = 1000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15
@@ -54,12 +56,6 @@ _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _powers = np.ones(1, dtype=np.uint64)
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
-
-
 def _power(n: int) -> np.ndarray:
     global _powers
     if len(_powers) < n:
@@ -121,6 +117,11 @@ def set_key(own: np.ndarray) -> tuple[int, int]:
     return int(a.view(np.int64)[0]), int(np.array([b], dtype=np.uint64).view(np.int64)[0])
 
 
+def class_id(key: tuple[int, int], collided: frozenset[int]) -> int:
+    """The set's class: its first fingerprint, mixed with the second where different sets have the first in common."""
+    return key[0] ^ key[1] if key[0] in collided else key[0]
+
+
 def bitmap(own: np.ndarray) -> bytes:
     """The parities of how many shingles fall on each bit; at least one bit for each shingle, a power of two in all."""
     bits = 1 << max(6, len(own).bit_length())
@@ -190,13 +191,6 @@ def signatures(own: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.nd
     return np.concatenate(out)
 
 
-def _arrow(columns, schema: T.StructType):
-    import pyarrow as pa
-
-    kinds = {"bigint": pa.int64(), "binary": pa.binary(), "int": pa.int32()}
-    return pa.RecordBatch.from_arrays([pa.array(c, kinds[f.dataType.simpleString()]) for c, f in zip(columns, schema.fields, strict=True)], names=schema.names)
-
-
 def _batch_sets(batch, text: str):
     texts = batch.column(text).to_pylist()
     first, size = 0, 0
@@ -236,7 +230,7 @@ def _profile(docs: DataFrame) -> DataFrame:
             for b in np.unique(bucket).tolist():
                 mine = bucket == b
                 rows.append((None, None, None, None, b, None, tokens[mine].tobytes() + counts[mine].astype(np.int64).tobytes()))
-            return _arrow(zip(*rows, strict=True), _PROFILE) if rows else None
+            return arrow_batch(zip(*rows, strict=True), _PROFILE) if rows else None
 
         for batch in batches:
             ids, rows = batch.column("doc_id").to_pylist(), []
@@ -248,13 +242,13 @@ def _profile(docs: DataFrame) -> DataFrame:
                     sets.append(own)
                     held += len(own)
             if rows:
-                yield _arrow(zip(*rows, strict=True), _PROFILE)
+                yield arrow_batch(zip(*rows, strict=True), _PROFILE)
             if held > COUNT_SHINGLES and (counted := flush()) is not None:
                 yield counted
         if (counted := flush()) is not None:
             yield counted
 
-    return materialize(docs.mapInArrow(run, _PROFILE), "shingle-profile")
+    return materialize(docs.mapInArrow(lean(run), _PROFILE), "shingle-profile")
 
 
 _SUMS = T.StructType([T.StructField("n", T.LongType()), T.StructField("least", T.LongType()), T.StructField("blob", T.BinaryType())])
@@ -281,9 +275,9 @@ def _frequent(profile: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 break
             least *= 2
         columns = list(zip(*out, strict=True)) or [[], [], []]
-        return pa.Table.from_batches([_arrow(columns, _SUMS)])
+        return pa.Table.from_batches([arrow_batch(columns, _SUMS)])
 
-    sums = materialize(profile.where("bucket IS NOT NULL").select("bucket", "blob").groupBy("bucket").applyInArrow(add, _SUMS), "shingle-counts")
+    sums = materialize(profile.where("bucket IS NOT NULL").select("bucket", "blob").groupBy("bucket").applyInArrow(lean_group(add), _SUMS), "shingle-counts")
     room, least = FREQUENT_MAX, None
     for row in sums.groupBy("least").agg(F.sum("n").alias("n")).orderBy(F.desc("least")).collect():  # one row for each power of two
         if row.n > room:
@@ -309,7 +303,7 @@ _CANDIDATES = T.StructType(
 )
 
 
-def _index(docs: DataFrame, frequent: np.ndarray, rank: np.ndarray, buckets: int) -> DataFrame:
+def _index(docs: DataFrame, frequent: np.ndarray, rank: np.ndarray, buckets: int, collided: frozenset[int]) -> DataFrame:
     """Signatures of all documents, as packed arrays for each bucket."""
     shared = docs.sparkSession.sparkContext.broadcast((frequent, rank))
 
@@ -334,18 +328,16 @@ def _index(docs: DataFrame, frequent: np.ndarray, rank: np.ndarray, buckets: int
             held = 0
             bucket = ((sig >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
             at = np.argsort(bucket, kind="stable")
-            borders = np.searchsorted(bucket[at], np.arange(buckets + 1))
             low = sig.astype(np.uint32)
             rows = []
-            for b in range(buckets):
-                mine = at[borders[b] : borders[b + 1]]
-                if len(mine):
-                    rows.append((b, low[mine].tobytes() + size[mine].tobytes() + cid[mine].tobytes()))
-            return _arrow(zip(*rows, strict=True), _ENTRIES)
+            for first, end in zip(*(x.tolist() for x in runs_of(bucket[at])), strict=True):
+                mine = at[first:end]
+                rows.append((int(bucket[mine[0]]), low[mine].tobytes() + size[mine].tobytes() + cid[mine].tobytes()))
+            return arrow_batch(zip(*rows, strict=True), _ENTRIES)
 
         for batch in batches:
             for _, own in _batch_sets(batch, "text"):
-                cid, _ = set_key(own)
+                cid = class_id(set_key(own), collided)
                 if not len(own) or cid in seen:
                     continue
                 seen.add(cid)
@@ -358,7 +350,7 @@ def _index(docs: DataFrame, frequent: np.ndarray, rank: np.ndarray, buckets: int
         if found:
             yield flush()
 
-    return docs.mapInArrow(run, _ENTRIES)
+    return docs.mapInArrow(lean(run), _ENTRIES)
 
 
 def _near_size(small: np.ndarray, large: np.ndarray) -> np.ndarray:
@@ -410,9 +402,9 @@ def _candidates(entries: DataFrame) -> DataFrame:
             [None] * len(unique) + [x[0] for x in lists],
             [None] * len(unique) + [x[1] for x in lists],
         ]
-        return pa.Table.from_batches([_arrow(columns, _CANDIDATES)])
+        return pa.Table.from_batches([arrow_batch(columns, _CANDIDATES)])
 
-    return materialize(entries.groupBy("bucket").applyInArrow(match, _CANDIDATES), "candidates")
+    return materialize(entries.groupBy("bucket").applyInArrow(lean_group(match), _CANDIDATES), "candidates")
 
 
 def _bloom(ids: DataFrame) -> np.ndarray:
@@ -428,7 +420,7 @@ def _bloom(ids: DataFrame) -> np.ndarray:
 _SETS = T.StructType([T.StructField("cid", T.LongType()), T.StructField("shingles", T.BinaryType())])
 
 
-def _sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, collided: frozenset[int]) -> DataFrame:
     """The whole sets of all classes in pairs. A filter of bounded size drops most other documents before any shuffle."""
     wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
     first = materialize(classes.join(wanted, "cid").select("cid", "doc_id"), "compared")
@@ -446,17 +438,19 @@ def _sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
             batch = batch.filter(pa.array(keep))
             ids, rows = batch.column("doc_id"), []
             for j, own in _batch_sets(batch, "text"):
-                rows.append((ids[j].as_py(), set_key(own)[0], own.tobytes()))
+                rows.append((ids[j].as_py(), class_id(set_key(own), collided), own.tobytes()))
                 if sum(len(r[2]) for r in rows[-64:]) > 1 << 23:
-                    yield _arrow(zip(*rows, strict=True), schema)
+                    yield arrow_batch(zip(*rows, strict=True), schema)
                     rows = []
             if rows:
-                yield _arrow(zip(*rows, strict=True), schema)
+                yield arrow_batch(zip(*rows, strict=True), schema)
 
     schema = T.StructType([T.StructField("doc_id", T.LongType()), *_SETS.fields])
-    sets = docs.select("doc_id", "text", *places).mapInArrow(run, schema)
+    sets = docs.select("doc_id", "text", *places).mapInArrow(lean(run), schema)
     of = first.withColumnRenamed("doc_id", "of")  # null for a class without any doc_id
-    return materialize(sets.join(of, "cid").where(F.col("doc_id").eqNullSafe(F.col("of"))).select("cid", "shingles").dropDuplicates(["cid"]), "sets")
+    found = materialize(sets.join(of, "cid").where(F.col("doc_id").eqNullSafe(F.col("of"))).select("cid", "shingles").dropDuplicates(["cid"]), "sets")
+    discard(first)
+    return found
 
 
 _LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
@@ -482,15 +476,15 @@ def _possible(maps: DataFrame, pairs: DataFrame) -> DataFrame:
                 if _fits(n, m, apart := bits_apart(x, y)):
                     kept.append((a, b, apart))
             if kept:
-                yield _arrow(zip(*kept, strict=True), _NEAR)
+                yield arrow_batch(zip(*kept, strict=True), _NEAR)
 
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "xa", "xb")
-    return materialize(joined.mapInArrow(run, _NEAR), "possible")
+    return materialize(joined.mapInArrow(lean(run), _NEAR), "possible")
 
 
-def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, collided: frozenset[int]) -> DataFrame:
     """The pairs whose whole sets are similar enough. Large stars are split by the join's skew handling."""
-    sets = _sets(docs, classes, pairs)
+    sets = _sets(docs, classes, pairs, collided)
     left = sets.select(F.col("cid").alias("b"), F.col("shingles").alias("sb"))
     right = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("sa"))
 
@@ -505,10 +499,12 @@ def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
                 if DENOMINATOR * shared >= NUMERATOR * (len(x) + len(y) - shared):
                     links.append((a, b))
             if links:
-                yield _arrow(zip(*links, strict=True), _LINKS)
+                yield arrow_batch(zip(*links, strict=True), _LINKS)
 
     joined = pairs.join(left, "b").join(right, "a").select("a", "b", "sa", "sb")
-    return materialize(joined.mapInArrow(run, _LINKS), "links")
+    links = materialize(joined.mapInArrow(lean(run), _LINKS), "links")
+    discard(sets)
+    return links
 
 
 class _Leaders:
@@ -527,10 +523,10 @@ class _Leaders:
         return np.bitwise_count(self.stack[: len(self.rows)] ^ bits).sum(1, dtype=np.int64)
 
 
-def leader_pairs(n: np.ndarray, cid: np.ndarray, bits: list[bytes]):
+def leader_pairs(n: np.ndarray, cid: np.ndarray, label: np.ndarray, bits: list[bytes]):
     """At most one pair for each member of a list sorted by size: with the leader whose bitmap differs least, if one fits.
 
-    A member that no leader fits becomes one, so near copies gather around few leaders.
+    A member that no leader fits becomes one, so near copies gather around few leaders. Leaders come as pairs with themselves.
     """
     leaders: dict[int, _Leaders] = {}
     for j in range(len(n)):
@@ -548,6 +544,7 @@ def leader_pairs(n: np.ndarray, cid: np.ndarray, bits: list[bytes]):
             yield best[1], int(cid[j]), best[0]
         else:
             leaders.setdefault(len(own), _Leaders(len(own))).add(j, own)
+            yield int(cid[j]), int(cid[j]), 0
 
 
 def cross_pairs(n: np.ndarray, cid: np.ndarray, label: np.ndarray, bits: list[bytes], best_only: bool):
@@ -581,45 +578,70 @@ def cross_pairs(n: np.ndarray, cid: np.ndarray, label: np.ndarray, bits: list[by
             yield int(cid[smaller[j]]), int(cid[j]), int(nearest[j])
 
 
-_MEMBERS = T.StructType([T.StructField(c, T.LongType()) for c in ("list_id", "cid")])
+_MEMBERS = T.StructType([T.StructField(c, T.LongType()) for c in ("list_id", "size", "cid")])
+_FOUND = T.StructType([T.StructField("list_id", T.LongType()), *_NEAR.fields])
 
 
-def _list_pairs(lists: DataFrame, maps: DataFrame, labels: DataFrame | None, best_only: bool) -> DataFrame:
-    """Without labels, the leader pairs of each list; with labels, pairs across components, of those lists that have several."""
+def _members(lists: DataFrame) -> DataFrame:
+    """list_id, size and cid of every member of every list."""
 
-    def members(batches):
+    def run(batches):
         for batch in batches:
-            rows = []
             for i, cids in zip(batch.column("list_id").to_pylist(), batch.column("cids").to_pylist(), strict=True):
-                rows += [(i, c) for c in np.frombuffer(cids, dtype=np.int64).tolist()]
-            if rows:
-                yield _arrow(zip(*rows, strict=True), _MEMBERS)
+                own = np.frombuffer(cids, dtype=np.int64)
+                yield arrow_batch([np.full(len(own), i), np.full(len(own), len(own)), own], _MEMBERS)
+
+    return lists.select("list_id", "cids").mapInArrow(lean(run), _MEMBERS)
 
-    flat = lists.select("list_id", "cids").mapInArrow(members, _MEMBERS)
-    if labels is None:
-        flat = flat.withColumn("label", F.col("cid"))
-    else:
-        flat = flat.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-        unsettled = flat.groupBy("list_id").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("list_id")
-        flat = flat.join(unsettled, "list_id", "left_semi")
-    stars, full = labels is None, flat.join(maps, "cid")
-    grouped = full.groupBy("list_id").agg(F.sort_array(F.collect_list(F.struct("n", "cid", "label", "bits"))).alias("m"))
+
+def _grouped(flat: DataFrame, maps: DataFrame, keys: list[str], method) -> DataFrame:
+    """method's pairs of each group of keys, whose members are sorted by size; list_id comes with them."""
+    full = flat.join(maps, "cid")
+    grouped = full.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("n", "cid", "label", "bits"))).alias("m"))
 
     def run(batches):
         for batch in batches:
             columns = [batch.column(c) for c in ("n", "cid", "label", "bits")]
             for i in range(batch.num_rows):
                 n, cid, label = (np.array(c[i].as_py(), dtype=np.int64) for c in columns[:3])
-                bits, rows = columns[3][i].as_py(), []
-                for pair in leader_pairs(n, cid, bits) if stars else cross_pairs(n, cid, label, bits, best_only):
-                    rows.append(pair)
+                list_id, rows = batch.column("list_id")[i].as_py(), []
+                for pair in method(n, cid, label, columns[3][i].as_py()):
+                    rows.append((list_id, *pair))
                     if len(rows) == 100_000:
-                        yield _arrow(zip(*rows, strict=True), _NEAR)
+                        yield arrow_batch(zip(*rows, strict=True), _FOUND)
                         rows = []
                 if rows:
-                    yield _arrow(zip(*rows, strict=True), _NEAR)
+                    yield arrow_batch(zip(*rows, strict=True), _FOUND)
+
+    return grouped.select("list_id", "m.n", "m.cid", "m.label", "m.bits").mapInArrow(lean(run), _FOUND)
 
-    return grouped.select("m.n", "m.cid", "m.label", "m.bits").mapInArrow(run, _NEAR)
+
+def _list_stars(lists: DataFrame, maps: DataFrame) -> list[DataFrame]:
+    """The leader pairs of each list, in one or more tables.
+
+    A list of more than LIST_PART members is dealt into parts by a hash, each with leaders of its own; those meet again as a
+    list, until it fits one part or stops shrinking.
+    """
+    flat, made = _members(lists).withColumn("label", F.col("cid")), []
+    while True:
+        parts = F.ceil(F.col("size") / F.lit(LIST_PART))
+        dealt = flat.withColumn("part", F.pmod(F.xxhash64("cid", "size"), parts))
+        made.append(materialize(_grouped(dealt, maps, ["list_id", "part"], leader_pairs), "stars"))
+        # lists of several parts whose leaders are less than half of their members
+        sizes = flat.where(F.col("size") > LIST_PART).groupBy("list_id").agg(F.first("size").alias("was"))
+        leaders = made[-1].where("a = b").select("list_id", F.col("a").alias("cid"))
+        sizes = leaders.join(sizes, "list_id").groupBy("list_id", "was").agg(F.count(F.lit(1)).alias("size")).where("2 * size < was")
+        flat = materialize(leaders.join(sizes.drop("was"), "list_id").withColumn("label", F.col("cid")), "leaders")
+        if flat.isEmpty():
+            return made
+
+
+def _list_rest(lists: DataFrame, maps: DataFrame, labels: DataFrame, best_only: bool) -> DataFrame:
+    """Pairs across components, of those lists that have several."""
+    flat = _members(lists).join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    unsettled = flat.groupBy("list_id").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("list_id")
+    flat = flat.join(unsettled, "list_id", "left_semi")
+    return _grouped(flat, maps, ["list_id"], lambda n, cid, label, bits: cross_pairs(n, cid, label, bits, best_only)).select(*_NEAR.names)
 
 
 def _differing(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -633,37 +655,52 @@ def link(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     """doc_id, n_shingles and component_id of every document: the smallest doc_id reachable by links, itself included."""
     small_batches(documents.sparkSession)
     docs = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    profile = _profile(docs)
-    own = profile.where("cid IS NOT NULL").select("doc_id", "cid", "proof", "n")
-    classes = own.groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.min("proof").alias("lo"), F.max("proof").alias("hi"), F.max("n").alias("n"), F.count(F.lit(1)).alias("rows"))
-    classes = materialize(classes, "classes")
-    if not classes.where("lo <> hi").isEmpty():
-        raise ValueError("two different sets have one 64-bit fingerprint; change the seed of set_key")
+    profile, collided = _profile(docs), frozenset()
+    while True:
+        own = profile.where("cid IS NOT NULL").select("doc_id", "cid", "proof", "n")
+        classes = own.groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.min("proof").alias("lo"), F.max("proof").alias("hi"), F.max("n").alias("n"), F.count(F.lit(1)).alias("rows"))
+        classes = materialize(classes, "classes")
+        # hash collisions only: of n different sets about n * n / 2**65
+        shared = [r.cid for r in classes.where("lo <> hi").select("cid").toLocalIterator()]
+        if not shared or collided:
+            break
+        collided = frozenset(shared)
+        rekeyed = F.when(F.col("cid").isin(shared), F.col("cid").bitwiseXOR(F.col("proof"))).otherwise(F.col("cid"))
+        profile = materialize(profile.withColumn("cid", rekeyed), "shingle-profile")
     total = classes.agg(F.sum("rows")).first()[0] or 0
     buckets = max(64, -(-total // DOCS_PER_BUCKET))
-    found = _candidates(_index(docs, *_frequent(profile), buckets))
+    found = _candidates(_index(docs, *_frequent(profile), buckets, collided))
     pairs = materialize(found.where("list_id IS NULL").select("a", "b").distinct(), "pairs")
     lists = materialize(found.where("list_id IS NOT NULL").select("list_id", "cids").dropDuplicates(["list_id"]), "lists")
+    discard(found)
     # first each class with its likeliest partner; then what is still apart, the nearest across components; then all else
     maps = _maps(profile)
     possible = _possible(maps, pairs)
-    likely = possible.unionAll(_list_pairs(lists, maps, None, True))
+    discard(pairs)
+    likely, stars = possible, _list_stars(lists, maps)
+    for some in stars:
+        likely = likely.unionAll(some.where("a <> b").select(*_NEAR.names))
     tried = likely.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("least")).select(F.col("least.a").alias("a"), "b")
     tried = materialize(tried, "tried")
-    links = _verify(docs, classes, tried)
+    discard(*stars)
+    links, done = _verify(docs, classes, tried, collided), [tried]
     labels = connected(links, "a", "b")
     for best_only in (True, False):
-        rest = _list_pairs(lists, maps, labels, best_only)
+        rest = _list_rest(lists, maps, labels, best_only)
         if best_only:
             rest = rest.unionAll(_differing(possible, labels))
         rest = materialize(rest.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "rest")
+        done.append(rest)
         if rest.isEmpty():
             continue
-        links, tried = links.unionAll(_verify(docs, classes, rest)), tried.unionAll(rest)
+        links, tried = links.unionAll(_verify(docs, classes, rest, collided)), tried.unionAll(rest)
         labels = connected(links, "a", "b")
-    named = classes.where("n > 0").select(F.col("cid").alias("node"), "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    of_class = named.join(smallest, "label").select(F.col("node").alias("cid"), "component_id")
+    discard(maps, lists, possible, *done)
+    named = classes.where("n > 0").select(F.col("cid").alias("node"), "doc_id").join(labels, "node", "left")
+    smallest = named.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    # a class without links has a label of its own, which no component has
+    found = by_label(named.withColumn("label", F.coalesce("label", "node")), smallest, "node", "left")
+    of_class = found.select(F.col("node").alias("cid"), F.coalesce("component_id", "doc_id").alias("component_id"))
     result = own.join(of_class, "cid", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return result.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
