@@ -9,20 +9,23 @@ their own that stand beside content and are not mostly links belong to it too, s
 <article> and <main>, beside any element that holds content.
 
 Defined results: a null or empty html gives an empty text. A page without any path above the threshold gives all blocks
-outside boilerplate. Damaged markup (unclosed tags, comments or scripts, stray end tags) never raises. Repeated rows give
-repeated results. Extra columns pass through; result columns replace columns of the same name.
+outside boilerplate. Damaged markup (unclosed tags, comments or scripts, stray end tags) never raises; a tag that the page
+never closes swallows the rest, as in browsers. Very long pages and deep nesting take time in proportion to their length.
+Repeated rows give repeated results. Extra columns pass through; result columns replace columns of the same name. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import lean, small_batches
 
 # Element names of the HTML standard, by how the scanner treats them.
 RAW = "script style template noscript textarea title iframe svg math object select".split()
@@ -68,9 +71,11 @@ _NAMES, _TAGS = frozenset(BOILERPLATE_NAMES), frozenset(BOILERPLATE_TAGS)
 
 
 class _Element:
-    __slots__ = ("article", "bad", "label", "parent", "tag", "top")
+    """path: the number of the root-to-leaf path; label: the last step of it."""
 
-    def __init__(self, parent: _Element | None, tag: str, attrs: str):
+    __slots__ = ("article", "bad", "label", "parent", "path", "tag", "top")
+
+    def __init__(self, parent: _Element | None, tag: str, attrs: str, paths: dict[tuple[int, str], int]):
         label, bad, self.top = tag, tag in _TAGS, False
         self.article = bool(parent and parent.article) or tag in ("article", "main")
         if attrs:
@@ -89,7 +94,8 @@ class _Element:
         self.bad = bool(parent and parent.bad) or (bad and tag not in ("html", "body", "article", "main")) or (self.top and not inside)
         self.top = (self.top and inside) or bool(parent and parent.top)
         self.tag, self.parent = tag, parent
-        self.label = f"{parent.label}/{label}" if parent else label
+        self.label = label
+        self.path = paths.setdefault((parent.path if parent else -1, label), len(paths))
 
 
 class Block:
@@ -103,8 +109,10 @@ class Block:
 
 def blocks(page: str) -> list[Block]:
     """Blocks in page order, entities decoded and white space turned into single spaces; blank ones left out."""
-    root = _Element(None, "#", "")
+    paths: dict[tuple[int, str], int] = {}
+    root = _Element(None, "#", "", paths)
     here, depth_of_link, found = root, 0, []
+    open_tags: Counter[str] = Counter()
     pieces: list[str] = []
     linked = 0
 
@@ -117,8 +125,14 @@ def blocks(page: str) -> list[Block]:
             pieces.clear()
         linked = 0
 
+    def leave(to: _Element) -> None:
+        nonlocal here
+        while here is not to:
+            open_tags[here.tag] -= 1
+            here = here.parent
+
     at = 0
-    for token in _TOKEN.finditer(page):
+    for token in _TOKEN.finditer(page + ">"):  # so that each tag has an end, and is scanned once
         start, end = token.span()
         if start > at:
             pieces.append(page[at:start])
@@ -141,23 +155,24 @@ def blocks(page: str) -> list[Block]:
             continue
         close_block()
         if closing:
-            node = here
-            while node is not root and node.tag != tag:
-                node = node.parent
-            if node is not root:
-                here = node.parent
+            if open_tags[tag]:
+                node = here
+                while node.tag != tag:
+                    node = node.parent
+                leave(node.parent)
             continue
         implied = CLOSES.get(tag) or ({"p"} if tag in BLOCKS_THAT_CLOSE_P else None)
-        if implied:
-            node, scope = here, SCOPES.get(tag, BARRIERS)
+        if implied and any(open_tags[t] for t in implied):
+            node, scope, to = here, SCOPES.get(tag, BARRIERS), here
             while node is not root and node.tag not in scope:
                 if node.tag in implied:
-                    here = node.parent
+                    to = node.parent
                 node = node.parent
+            leave(to)
         attrs = token["attrs"] or token["attrs2"] or ""
-        here = _Element(here, tag, attrs)
-        if attrs.endswith("/") and tag not in ("p", "div"):
-            here = here.parent
+        if not (attrs.endswith("/") and tag not in ("p", "div")):
+            here = _Element(here, tag, attrs, paths)
+            open_tags[tag] += 1
     pieces.append(page[at:])
     close_block()
     return found
@@ -176,8 +191,8 @@ def _allowed(block: Block) -> bool:
 
 def path_scores(found: list[Block]) -> np.ndarray:
     """Each block's fused score: smoothed text ratio times smoothed punctuation ratio of its path."""
-    number: dict[str, int] = {}
-    path = np.array([number.setdefault(b.element.label, len(number)) for b in found])
+    number: dict[int, int] = {}
+    path = np.array([number.setdefault(b.element.path, len(number)) for b in found])
     free = np.array([0 if b.element.bad else max(0, len(b.text) - b.linked) for b in found], dtype=float)
     marks = np.array([0 if b.element.bad else len(PUNCTUATION.findall(b.text)) for b in found], dtype=float)
     nodes = np.bincount(path)
@@ -194,23 +209,36 @@ def extract(page: str | None) -> str:
     allowed = np.array([_allowed(b) for b in found])
     chosen = allowed & (scores > 0) & (scores >= SPREAD * scores.std())
     # a path counts as a whole: it is content if most of its text is, and most is not links
-    weight: dict[str, list[int]] = {}
+    weight: dict[int, list[int]] = {}
     for b, c in zip(found, chosen, strict=True):
-        own = weight.setdefault(b.element.label, [0, 0, 0])
+        own = weight.setdefault(b.element.path, [0, 0, 0])
         own[int(c)] += len(b.text)
         own[2] += b.linked
     content = {path for path, (out, into, linked) in weight.items() if into > out and linked * 2 <= out + into}
-    chosen = np.array([a and b.element.label in content for a, b in zip(allowed, found, strict=True)])
+    chosen = np.array([a and b.element.path in content for a, b in zip(allowed, found, strict=True)])
     if not chosen.any():
         return "\n".join(b.text for b, a in zip(found, allowed, strict=True) if a)
     near: set[int] = set()
+    lined: set[int] = set()
     for b, c in zip(found, chosen, strict=True):
         if c:
             near |= {id(b.element), id(b.element.parent)}
             node = b.element.parent
-            while node is not None and node.article:
-                near.add(id(node))
+            while node is not None and node.article and id(node) not in lined:
+                lined.add(id(node))
                 node = node.parent
+    near |= lined
+    anchors: dict[int, _Element | None] = {}
+
+    def anchor(element: _Element) -> _Element | None:
+        """The nearest element above that stands beside content or is no mere wrapper."""
+        passed, node = [], element.parent
+        while node is not None and id(node) not in anchors and node.tag in WRAPPERS and id(node) not in near:
+            passed.append(id(node))
+            node = node.parent
+        found = anchors.get(id(node), node)
+        anchors.update((i, found) for i in passed)
+        return found
 
     def belongs(block: Block) -> bool:
         """Whether a block below the threshold stands beside content."""
@@ -219,12 +247,14 @@ def extract(page: str | None) -> str:
             return False
         if id(element) in near:
             return True
-        beside = element.parent
-        while beside is not None and beside.tag in WRAPPERS and id(beside) not in near:
-            beside = beside.parent
+        beside = anchor(element)
         if beside is None or id(beside) not in near:
             return False
-        return element.tag in HEADINGS or (element.tag not in CONTAINERS and "." not in element.label[len(beside.label) :])
+        if element.tag in HEADINGS:
+            return True
+        while element is not beside and "." not in element.label:
+            element = element.parent
+        return element is beside and block.element.tag not in CONTAINERS
 
     return "\n".join(b.text for b, c, a in zip(found, chosen, allowed, strict=True) if c or (a and belongs(b)))
 
@@ -245,4 +275,4 @@ def with_main_text(df: DataFrame, html: str = "html", text: str = "text") -> Dat
             columns = [batch.column(n) for n in names] + [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, text, "n_chars"])
 
-    return df.select(*names, html).mapInArrow(run, schema)
+    return df.select(*names, html).mapInArrow(lean(run), schema)

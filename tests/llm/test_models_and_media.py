@@ -15,6 +15,8 @@ from intervalis.llm import flac_media, html_extract, language_id, sp_sampling, t
 from intervalis.llm.common import table
 from intervalis.llm.queries import QUERIES, piece_model
 
+from .helpers import flac_samples
+
 DATA = "/root/testdata/sf0.01"
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="the test tables are not here")
 
@@ -161,11 +163,45 @@ def test_flac_columns(spark):
         padded = raw + b"\xff" * ((-len(raw)) % 576 or (0 if raw else 576))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-32:]))
     assert out[0][1:] == out[1][1:] and out[2] == out[3]
-    blocks = flac_media.pcm_blocks(stored.where("doc_id = 2"), block_frames=2).collect()
+    blocks = flac_media.pcm_blocks(stored.where("doc_id = 2")).collect()
     assert [(b.block, b.sample_offset, b.n_samples) for b in blocks] == [(0, 0, 576)] and set(blocks[0].pcm) == {0x7F}
     assert flac_media.with_media(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
 
 
+def test_flac_digests_against_a_plain_reader(spark):
+    """Every contract column from the stored file, read bit by bit; blocks begin where the seek table says."""
+    rng = random.Random(3)
+    texts = ["", "short", "".join(rng.choice("abc déf,. ") for _ in range(70 * 576)), "".join(chr(rng.randrange(32, 0x2FFF)) for _ in range(900))]
+    stored = flac_media.with_media(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    files = {r.doc_id: bytes(r.media) for r in stored.collect()}
+    blocks = {}
+    for b in flac_media.pcm_blocks(stored).collect():
+        blocks.setdefault(b.doc_id, []).append((b.sample_offset, b.n_samples, bytes(b.pcm)))
+    for r in flac_media.media_digests(stored).collect():
+        frames = flac_samples(files[r.doc_id])
+        x = [v for _, own in frames for v in own]
+        payload = bytes(v + 128 for v in x)
+        assert payload[: r.n_bytes] == texts[r.doc_id].encode() and set(payload[r.n_bytes :]) <= {255}
+        assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        assert (r.media_bytes, r.media_sha256) == (len(files[r.doc_id]), hashlib.sha256(files[r.doc_id]).hexdigest())
+        crossings = sum((a < 0) != (b < 0) for a, b in zip(x, x[1:], strict=False))
+        assert r.feature == f"mean={sum(x) * 100 // len(x)};power={sum(v * v for v in x) * 100 // len(x)};crossings={crossings};low={min(x)};high={max(x)}"
+        points = flac_media.seek_points(files[r.doc_id])
+        assert [(s // 576, o) for s, o in points] == [(i, frames[i][0]) for i in range(0, len(frames), flac_media.SEEK_EVERY)] and r.n_blocks == len(points)
+        own = sorted(blocks[r.doc_id])
+        assert [s for s, _, _ in own] == [s for s, _ in points] and b"".join(p for _, _, p in own) == bytes(v & 255 for v in x)
+
+
+def test_flac_damaged_seek_table_is_found():
+    media = bytearray(flac_media.encode(payloads()[3:4])[0])
+    at = media.index(b"\x83") + 4 + 18  # the second point: its sample, then its offset
+    for place in (at + 7, at + 15):
+        damaged = bytearray(media)
+        damaged[place] ^= 1
+        with pytest.raises(ValueError):
+            flac_media.read_blocks([bytes(damaged)])
+
+
 # -- sampled segmentations
 
 
@@ -276,6 +312,58 @@ def test_damaged_pages():
         html_extract.extract("".join(rng.choice(["<p", ">", "<div class='ad\">", "</p>", "<!--", "-->", "text, ", "<a href=\"", "'", "&#xD800;", "&amp", "<script>", "</", "<br/>", "\n"]) for _ in range(30)))
 
 
+def test_path_scores_cannot_be_replaced(monkeypatch):
+    """With constant or random scores other text comes out: the ratios decide, not the names of elements."""
+    para = "<p>" + "A long sentence, with some marks; it goes on, and on. " * 4 + "</p>"
+    page = "<body>%s</body>" % ("<div class=story>" + para * 5 + "</div><div class=zz9><div>Buy it</div><div>Cheap</div></div><div class=qq7><span>Word</span></div>")
+    for wrap in ("%s", "<main>%s</main>", "<article>%s</article>"):
+        right = html_extract.extract(wrap % page)
+        assert right == "\n".join([para[3:-4].strip()] * 5)
+        for scores in (lambda f: np.ones(len(f)), lambda f: np.zeros(len(f)), lambda f: np.random.default_rng(1).random(len(f))):
+            with monkeypatch.context() as m:
+                m.setattr(html_extract, "path_scores", scores)
+                assert html_extract.extract(wrap % page) != right
+
+
+def test_path_ratios_against_brute_force():
+    """Sums by path, smoothing and product, written out block by block."""
+    rng = random.Random(8)
+    for _ in range(40):
+        parts = [rng.choice(["<div>%s</div>", "<p>%s</p>", "<ul><li>%s</li></ul>", "<section><p>%s</p></section>", "<div class=x><a href=y>%s</a></div>", "<nav>%s</nav>"]) for _ in range(rng.randint(1, 30))]
+        page = "".join(p % " ".join(rng.choice(["word", "more, text.", "and; so!"]) for _ in range(rng.randint(1, 30))) for p in parts)
+        found = html_extract.blocks(page)
+
+        def path(block):
+            node, steps = block.element, []
+            while node is not None:
+                steps.append(node.label)
+                node = node.parent
+            return "/".join(reversed(steps))
+
+        def ratio(count):
+            def of(block):
+                same = [b for b in found if path(b) == path(block)]
+                return np.log1p(sum(0 if b.element.bad else count(b) for b in same) / len(same))
+
+            raw = [of(b) for b in found]
+            weights = [np.exp(-0.5 * k * k) for k in (-2, -1, 0, 1, 2)]
+            return [sum(w * raw[min(max(i + k, 0), len(raw) - 1)] for k, w in zip((-2, -1, 0, 1, 2), weights, strict=True)) / sum(weights) for i in range(len(raw))]
+
+        text = ratio(lambda b: max(0, len(b.text) - b.linked))
+        marks = ratio(lambda b: sum(c in ".,;:!?…。、，；：！？¿¡\"'()«»„“”–—-" for c in b.text))
+        assert np.allclose(html_extract.path_scores(found), np.array(text) * np.array(marks))
+
+
+def test_huge_damaged_pages_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    for unit in ("<a ", "<div>", "<div><p>x", "</x>", "<ul><li>y", "<script '", "<!-", "<p class='a>"):
+        html_extract.extract(unit * (1_000_000 // len(unit)))
+    html_extract.extract("<ul>" * 100_000 + "<b>x</b><li>y" * 50_000 + "</q>" * 100_000)
+    assert time.perf_counter() - began < 60
+
+
 def test_html_rows(spark):
     rows = [(1, "u", None, "x"), (2, "u", "&#xD800;<p>é</p>", "x"), (2, "u", "<p>é</p>", "x"), (3, None, "<p>" + "w, " * 50_000 + "</p>", "x")]
     out = html_extract.with_main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")).collect()
@@ -298,7 +386,7 @@ def test_archives(spark, tmp_path):
     rows += [(100 + i, f"http://site.com/{i}", f"page {i}") for i in range(50)]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").selectExpr("*", "'x' AS digest")
     captures, directory, folder = warc_index.archive(pages, str(tmp_path / "warc"), 3)
-    out = warc_index.read_back(directory, folder).collect()
+    out = warc_index.look_up(pages, directory, folder).collect()
     expected = []
     for i, _, html in rows:
         data = (html or "").encode()
@@ -306,14 +394,19 @@ def test_archives(spark, tmp_path):
         expected.append((i, len(data), hashlib.sha1(data).hexdigest(), "revisit" if revisit else "response", 5 if revisit else None))
     assert sorted(map(str, map(tuple, out))) == sorted(map(str, expected))
     small = warc_index.build_index(captures, str(tmp_path / "warc"), 2, block_lines=4)
-    index = warc_index.Index(small, folder)
-    assert len(index.entries) > 12
+    assert sorted(map(str, map(tuple, warc_index.look_up(pages, small, folder).collect()))) == sorted(map(str, expected))
+    index = warc_index.Index(warc_index.index_parts(small), folder)
+    assert small.count() > 12 and len(index.parts) == 2
     for i, url, html in rows[7:] + rows[:1]:
         lines = [x for x in index.captures(url) if x[1] == str(i)]
-        assert len(lines) == 1 and index.fetch(lines[0]) == (b"" if i == 1 else html.encode())
+        assert len(lines) == 1 and index.fetch(lines[0])[2] == (b"" if i == 1 else html.encode())
     assert sorted(x[1] for x in index.captures("http://a.com/x")) == ["1", "3"] and index.captures("http://none.com/") == []
     _, empty, folder = warc_index.archive(pages.limit(0), str(tmp_path / "none"), 2)
-    assert warc_index.read_back(empty, folder).collect() == []
+    assert warc_index.look_up(pages.limit(0), empty, folder).collect() == [] and warc_index.look_up(pages, empty, folder).collect() == []
+    many = spark.createDataFrame([(i if i % 3 else None, None if i % 2 else "http://hot/", f"p{i // 2}") for i in range(300)], "page_id bigint, url string, html string")
+    _, directory, folder = warc_index.archive(many, str(tmp_path / "hot"), 4)
+    out = warc_index.look_up(many, directory, folder).collect()
+    assert Counter((r.page_id, r.payload_digest) for r in out) == Counter((r.page_id, hashlib.sha1(r.html.encode()).hexdigest()) for r in many.collect())
 
 
 def test_a_repeated_write_gives_the_same_archives(spark, tmp_path):
