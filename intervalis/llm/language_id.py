@@ -7,8 +7,10 @@ The log-probabilities of a text's windows are averaged by the bytes they hold, s
 Training reads at most ``DOCS_PER_LANGUAGE`` documents of each language (the first by a hash of doc_id) and of each one
 passage of ``PASSAGE`` characters at a place given by that hash: a bounded sample for the classifier only.
 
-Defined results: a null text or one without a letter is ``und`` with score 0. Equal texts give equal results. If no language
-was learned every text is ``und``. Extra columns pass through; result columns replace columns of the same name.
+Defined results: a null text or one without a letter is ``und`` with score 0. Equal texts give equal results, in repeated rows
+too. A null doc_id is never learned from. If no language was learned every text is ``und``. A very long text is many windows,
+worked off a few at a time, and all of them count. An empty table gives an empty result. Extra columns pass through; result
+columns replace columns of the same name.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_remainder, first_by_hash, small_batches
+from .common import crc_remainder, lean, low_hashes, small_batches
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -146,17 +148,20 @@ def predict(network: Network, texts: list[str | None]) -> tuple[list[str], list[
 def fit(documents: DataFrame, folds: int = 3, held_out: int = 1) -> Network:
     """Learns lang from text of documents outside the held-out fold of crc32(doc_id as text)."""
     known = documents.where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").where(crc_remainder(F.col("doc_id"), folds) != held_out)
-    place, picked = F.xxhash64("doc_id"), None
+    place = F.xxhash64("doc_id")
     room = F.greatest(F.length("text") - PASSAGE, F.lit(0)) + 1
     passage = F.substring(F.col("text"), (F.pmod(place, room) + 1).cast("int"), F.lit(PASSAGE))
     totals = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}  # as many rows as there are languages
+    if not totals:
+        return train([], [])
+    few = F.lit(False)
     for name, total in sorted(totals.items()):
-        own = first_by_hash(known.where(F.col("lang") == name), "doc_id", DOCS_PER_LANGUAGE, total)
-        own = own.select("lang", passage.alias("passage"), place.alias("h"))
-        picked = own if picked is None else picked.unionAll(own)
-    rows = picked.collect() if picked is not None else []
-    rows = sorted((r.lang, r.h, r.passage) for r in rows)
-    return train([r[2] for r in rows], [r[0] for r in rows])
+        few = few | ((F.col("lang") == name) & low_hashes("doc_id", DOCS_PER_LANGUAGE, total))
+    picked: dict[str, list] = {}
+    for r in known.where(few).select("lang", passage.alias("passage"), place.alias("h")).toLocalIterator():  # one scan; a bounded number of rows
+        picked.setdefault(r.lang, []).append((r.h, r.passage))
+    rows = [(name, text) for name in sorted(picked) for _, text in sorted(picked[name])[:DOCS_PER_LANGUAGE]]
+    return train([text for _, text in rows], [name for name, _ in rows])
 
 
 def identify(df: DataFrame, network: Network, text: str = "text", keep_text: bool = False) -> DataFrame:
@@ -176,4 +181,4 @@ def identify(df: DataFrame, network: Network, text: str = "text", keep_text: boo
             columns = [batch.column(n) for n in names] + [pa.array(found, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, *own])
 
-    return df.select(*dict.fromkeys([*names, text])).mapInArrow(run, schema)
+    return df.select(*dict.fromkeys([*names, text])).mapInArrow(lean(run), schema)
