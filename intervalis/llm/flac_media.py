@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import lean, small_batches
 
 BLOCK = 576
 FRAMES = 4096
@@ -81,7 +81,7 @@ _HEADERS: dict[int, bytes] = {}
 def _header(n: int) -> bytes:
     """Sync code, 576 samples at 8 kHz, one channel of 8 bits, frame number, CRC-8."""
     if n not in _HEADERS:
-        if len(_HEADERS) > 100_000:
+        if len(_HEADERS) > 20_000:
             _HEADERS.clear()
         head = b"\xff\xf8\x24\x02" + _number(n)
         _HEADERS[n] = head + bytes([_crc8(head)])
@@ -235,16 +235,16 @@ def _metadata(media: bytes) -> tuple[int, int, bytes]:
     return at, total, digest
 
 
-def _split(buffer: np.ndarray, start: int, end: int) -> list[int]:
-    """Starts of the frames: sync codes whose header is the next frame's, CRC-8 included."""
+def _split(buffer: np.ndarray, start: int, end: int, number: int) -> list[int]:
+    """Starts of the frames from a number on: sync codes whose header is the next frame's, CRC-8 included."""
     found = start + np.flatnonzero((buffer[start : end - 3] == 0xFF) & (buffer[start + 1 : end - 2] == 0xF8) & (buffer[start + 2 : end - 1] == 0x24) & (buffer[start + 3 : end] == 0x02))
     starts: list[int] = []
     for at in found.tolist():
-        head = _header(len(starts))
+        head = _header(number + len(starts))
         if buffer[at : at + len(head)].tobytes() == head:
             starts.append(at)
     if not starts or starts[0] != start:
-        raise ValueError("the first frame header is damaged")
+        raise ValueError("a block's first frame header is damaged")
     return starts
 
 
@@ -369,14 +369,38 @@ def _decode_frames(buffer: np.ndarray, start: np.ndarray, length: np.ndarray, le
     return out.T
 
 
-def decode(media: list[bytes]) -> list[bytes]:
-    """The payloads of FLAC files with one 8-bit channel and blocks of 576 samples; raises ValueError on damage."""
-    pieces, starts, lengths, leads, counts, heads = [], [], [], [], [], []
+def seek_points(media: bytes) -> list[tuple[int, int]]:
+    """Sample offset and byte offset (behind the metadata) of each seek point; none if the file has no seek table."""
+    at, last = 4, False
+    while not last:
+        kind, size = media[at], int.from_bytes(media[at + 1 : at + 4], "big")
+        last = bool(kind & 0x80)
+        if kind & 0x7F == 3:
+            points = (struct.unpack(">QQH", media[i : i + 18]) for i in range(at + 4, at + 4 + size, 18))
+            return [(sample, offset) for sample, offset, _ in points if sample != (1 << 64) - 1]
+        at += 4 + size
+    return []
+
+
+def read_blocks(media: list[bytes]) -> list[list[tuple[int, bytes]]]:
+    """The PCM blocks of FLAC files with one 8-bit channel and frames of 576 samples: sample offset and signed samples.
+
+    A block is what lies between two seek points, found by its offset in the file. Frames of all blocks are decoded in
+    lockstep. Raises ValueError on damage: a seek point that misses its frame, missing frames, a checksum, the samples' MD5.
+    """
+    starts, lengths, leads, counts, heads, cuts = [], [], [], [], [], []
     base = 0
     for m in media:
         first, total, digest = _metadata(m)
+        points = seek_points(m) or [(0, 0)]
+        if points[0] != (0, 0) or total % BLOCK:
+            raise ValueError("the seek table or the number of samples is damaged")
         buffer = np.frombuffer(m, dtype=np.uint8)
-        own = _split(buffer, first, len(m))
+        own: list[int] = []
+        for (sample, offset), (_, end) in zip(points, [*points[1:], (total, len(m) - first)], strict=True):
+            if sample != len(own) * BLOCK:
+                raise ValueError("a seek point misses its frame")
+            own += _split(buffer, first + offset, first + end, len(own))
         if len(own) * BLOCK != total:
             raise ValueError("frames are missing or headers damaged")
         starts.append(np.array(own) + base)
@@ -384,35 +408,44 @@ def decode(media: list[bytes]) -> list[bytes]:
         leads.append(np.array([len(_header(i)) for i in range(len(own))]))
         counts.append(len(own))
         heads.append(digest)
-        pieces.append(m)
+        cuts.append([sample for sample, _ in points] + [total])
         base += len(m)
     if not media:
         return []
     start, length, lead = np.concatenate(starts), np.concatenate(lengths), np.concatenate(leads)
-    buffer = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+    buffer = np.frombuffer(b"".join(media), dtype=np.uint8)
     decoded = []
     for i in range(0, len(start), FRAMES):
         lo, hi = int(start[i]), int(start[min(i + FRAMES, len(start)) - 1] + length[min(i + FRAMES, len(start)) - 1])
         decoded.append(_decode_frames(buffer[lo:hi], start[i : i + FRAMES] - lo, length[i : i + FRAMES], lead[i : i + FRAMES]).astype(np.int8))
     samples, out, at = np.concatenate(decoded), [], 0
-    for count, digest in zip(counts, heads, strict=True):
+    for count, digest, cut in zip(counts, heads, cuts, strict=True):
         signed = samples[at : at + count].tobytes()
         if hashlib.md5(signed).digest() != digest:
             raise ValueError("the samples' MD5 does not match")
-        out.append((np.frombuffer(signed, dtype=np.uint8) ^ 0x80).tobytes())
+        out.append([(a, signed[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)])
         at += count
     return out
 
 
+def unsigned(pcm: bytes) -> bytes:
+    """The stored bytes of signed samples."""
+    return (np.frombuffer(pcm, dtype=np.uint8) ^ 0x80).tobytes()
+
+
+def decode(media: list[bytes]) -> list[bytes]:
+    """The payloads of FLAC files, put together from their PCM blocks."""
+    return [unsigned(b"".join(pcm for _, pcm in sorted(blocks))) for blocks in read_blocks(media)]
+
+
 def read_samples(media: bytes, first: int, count: int) -> bytes:
     """Seeks: payload bytes first..first+count, decoding only the frames from the nearest seek point that hold them."""
     at, total, _ = _metadata(media)
     count = max(0, min(count, total - first))
     if not count:
         return b""
-    size = int.from_bytes(media[43:46], "big")
-    points = [struct.unpack(">QQH", media[46 + i : 64 + i]) for i in range(0, size, 18)]
-    sample, offset, _ = [p for p in points if p[0] <= first][-1]
+    points = seek_points(media) or [(0, 0)]
+    sample, offset = [p for p in points if p[0] <= first][-1]
     later = [p for p in points if p[0] >= first + count]
     buffer = np.frombuffer(media, dtype=np.uint8)[at + offset : at + later[0][1] if later else len(media)]
     number, starts, leads, i = sample // BLOCK, [], [], 0
@@ -466,41 +499,41 @@ def with_media(df: DataFrame, text: str = "text", media: str = "media") -> DataF
                 columns = [batch.column(n)[a:b] for n in names] + [pa.array([len((t or "").encode()) for t in texts[a:b]], pa.int64()), pa.array(files, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, "n_bytes", media])
 
-    return df.select(*names, text).mapInArrow(run, schema)
+    return df.select(*names, text).mapInArrow(lean(run), schema)
 
 
-def pcm_blocks(df: DataFrame, media: str = "media", block_frames: int = 64) -> DataFrame:
-    """One row for each block of a file's samples: block, sample_offset, n_samples (long) and pcm (signed 8-bit, binary)."""
+def pcm_blocks(df: DataFrame, media: str = "media") -> DataFrame:
+    """One row for each block between two seek points: block, sample_offset, n_samples (long) and pcm (signed 8-bit, binary)."""
     import pyarrow as pa
 
     own = ("block", "sample_offset", "n_samples", "pcm")
     keep = [f for f in df.schema.fields if f.name not in (media, *own)]
     names = [f.name for f in keep]
     schema = T.StructType([*keep, *(T.StructField(c, T.LongType()) for c in own[:3]), T.StructField("pcm", T.BinaryType())])
-    step = block_frames * BLOCK
 
     def run(batches):
         for batch in batches:
             files = batch.column(media).to_pylist()
             for a, b in _groups(files):
                 rows, parts = [], []
-                for i, payload in zip(range(a, b), decode(files[a:b]), strict=True):
-                    for block, at in enumerate(range(0, len(payload), step)):
+                for i, blocks in zip(range(a, b), read_blocks(files[a:b]), strict=True):
+                    for block, (at, pcm) in enumerate(blocks):
                         rows.append(i)
-                        parts.append((block, at, payload[at : at + step]))
+                        parts.append((block, at, len(pcm), pcm))
                 taken = batch.take(pa.array(rows, pa.int64()))
-                pcm = [(np.frombuffer(p, dtype=np.uint8) ^ 0x80).tobytes() for _, _, p in parts]
-                columns = [taken.column(n) for n in names] + [pa.array([p[0] for p in parts], pa.int64()), pa.array([p[1] for p in parts], pa.int64()), pa.array([len(p[2]) for p in parts], pa.int64()), pa.array(pcm, pa.binary())]
+                made = zip(*parts, strict=True) if parts else [[]] * 4
+                columns = [taken.column(n) for n in names] + [pa.array(c, k) for c, k in zip(made, [pa.int64()] * 3 + [pa.binary()], strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, *own])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def media_digests(df: DataFrame, media: str = "media") -> DataFrame:
-    """Reads each file back: payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256 and feature."""
+    """Reads each file's PCM blocks back by their seek points: payload_bytes, payload_sha256, tail_crc32, media_bytes,
+    media_sha256, feature, and n_blocks."""
     import pyarrow as pa
 
-    own = [("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType())]
+    own = [("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType()), ("n_blocks", T.LongType())]
     keep = [f for f in df.schema.fields if f.name not in (media, *(n for n, _ in own))]
     names = [f.name for f in keep]
     schema = T.StructType([*keep, *(T.StructField(n, t) for n, t in own)])
@@ -509,7 +542,8 @@ def media_digests(df: DataFrame, media: str = "media") -> DataFrame:
         for batch in batches:
             files = batch.column(media).to_pylist()
             for a, b in _groups(files):
-                payloads = decode(files[a:b])
+                blocks = read_blocks(files[a:b])
+                payloads = [unsigned(b"".join(pcm for _, pcm in own)) for own in blocks]
                 made = [
                     pa.array([len(p) for p in payloads], pa.int64()),
                     pa.array([hashlib.sha256(p).hexdigest() for p in payloads]),
@@ -517,7 +551,8 @@ def media_digests(df: DataFrame, media: str = "media") -> DataFrame:
                     pa.array([len(m) for m in files[a:b]], pa.int64()),
                     pa.array([hashlib.sha256(m).hexdigest() for m in files[a:b]]),
                     pa.array([features(p) for p in payloads]),
+                    pa.array([len(own) for own in blocks], pa.int64()),
                 ]
                 yield pa.RecordBatch.from_arrays([batch.column(n)[a:b] for n in names] + made, names=[*names, *(n for n, _ in own)])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
