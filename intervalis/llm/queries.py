@@ -69,8 +69,9 @@ def op9_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, directory, folder = warc_index.archive(table(spark, sf_dir, "pages"))
-    return warc_index.read_back(directory, folder)
+    pages = table(spark, sf_dir, "pages")
+    _, directory, folder = warc_index.archive(pages)
+    return warc_index.look_up(pages.select("url", "page_id"), directory, folder)
 
 
 QUERIES = {
