@@ -6,6 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 class KeyRing:
@@ -26,12 +27,12 @@ class KeyRing:
 
 def seal(df: DataFrame, ring: KeyRing, columns: list[str], payload: str = "payload") -> DataFrame:
     """Replaces columns by one encrypted payload and its key version; without a current key the payload is plain JSON."""
-    text = F.to_json(F.struct(*columns))
+    text = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}) if columns else F.lit("{}")
     body: Column = F.aes_encrypt(text, F.lit(ring.keys[ring.current])) if ring.enabled else text.cast("binary")
     return df.withColumns({payload: body, f"{payload}_key": F.lit(ring.current)}).drop(*columns)
 
 
-def unseal(df: DataFrame, ring: KeyRing, schema: str, payload: str = "payload") -> DataFrame:
+def unseal(df: DataFrame, ring: KeyRing, schema: str | T.StructType, payload: str = "payload") -> DataFrame:
     """Gives the columns back, whichever key of the ring wrote them."""
     text = F.when(F.col(f"{payload}_key").isNull(), F.col(payload).cast("string"))
     for name, key in ring.keys.items():

@@ -20,6 +20,11 @@ def last_of_each(changes: DataFrame, key_type: type, order: str | None = None) -
     return ranked.where("_rank = 1").drop("_rank", order)
 
 
+def repeated(rows: DataFrame, key_type: type) -> DataFrame:
+    """Keys that rows have more than once."""
+    return rows.groupBy(*K.identity(key_type)).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+
+
 def duplicates(stored: DataFrame, new: DataFrame, key_type: type) -> DataFrame:
     """New rows whose key is stored already."""
     return new.join(stored.select(*K.identity(key_type)), K.identity(key_type), "left_semi")

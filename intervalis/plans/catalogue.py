@@ -13,7 +13,6 @@ from pyspark.sql import types as T
 from ..functions import hashing, segments
 from ..functions import keys as K
 from ..operators import indexes, mutations
-from ..sources.backup import time_slice
 from .conditions import Index
 from .query import Query
 
@@ -128,9 +127,12 @@ def key_in_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_add("get_by_key", f"{EV}{_ALL} WHERE k_id = 42")
 def get_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frame = events_frame(spark, sf_dir)
-    start = frame.where(F.col(K.ID) == 42).select(K.ID, K.START)
-    return events(spark, sf_dir).where_key_in(start).rows()
+    """One key, as literals that reach the scan."""
+    return events(spark, sf_dir).where_key_in([_key_of(spark, sf_dir, 42)]).rows()
+
+
+def _key_of(spark: SparkSession, sf_dir: str, event: int) -> K.TimeKey:
+    return K.TimeKey(event, events_frame(spark, sf_dir).where(F.col(K.ID) == event).first()[K.START])
 
 
 @_add("contains_key", "SELECT count(*) > 0 AS found FROM orders WHERE o_orderkey = 7")
@@ -212,6 +214,9 @@ _on_part("index_int_equal_twice", "p_size = 8", lambda c: c.is_equal_to(15).is_e
 _on_orders("index_long_eq", "o_custkey = 17", lambda: CUSTOMER.long_condition().is_equal_to(17))
 _on_orders("index_long_range", "o_custkey BETWEEN 20 AND 60", lambda: CUSTOMER.long_condition().is_in_range(20, 60))
 _on_orders("index_long_bounds", "o_custkey > 30 AND o_custkey < 40", lambda: CUSTOMER.long_condition().is_greater_than(30).is_less_than(40))
+_on_orders("index_long_le", "o_custkey <= 12", lambda: CUSTOMER.long_condition().is_at_most(12))
+_on_orders("index_long_ge", "o_custkey >= 90", lambda: CUSTOMER.long_condition().is_at_least(90))
+_on_orders("index_long_in", "o_custkey IN (3, 17, 88)", lambda: CUSTOMER.long_condition().is_in({3, 17, 88}))
 _on_orders("index_string_eq", "o_orderpriority = '1-URGENT'", lambda: PRIORITY.string_condition().is_equal_to("1-URGENT"))
 _on_orders("index_string_in", "o_orderpriority IN ('1-URGENT', '5-LOW')", lambda: PRIORITY.string_condition().is_in(["1-URGENT", "5-LOW"]))
 _on_orders("index_string_meets", "o_orderpriority LIKE '%E%'", lambda: PRIORITY.string_condition().meets(lambda v: v.like("%E%")))
@@ -227,6 +232,23 @@ def index_uuid_eq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Query(found.frame, K.LongKey, K.LongKey, "event_rows").where(EVENT_UUID.uuid_condition().is_equal_to(wanted)).rows().select("event_id")
 
 
+@_add("index_uuid_in", "SELECT event_id FROM events WHERE event_id IN (7, 99, 1234)")
+def index_uuid_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import hashlib
+    import uuid
+
+    wanted = [uuid.UUID(hashlib.md5(str(i).encode()).hexdigest()) for i in (7, 99, 1234)]
+    frame = _keyed(spark, sf_dir, "events", "event_id", K.LongKey).frame
+    return Query(frame, K.LongKey, K.LongKey, "event_rows").where(EVENT_UUID.uuid_condition().is_in(wanted)).rows().select("event_id")
+
+
+@_add("index_in_frame", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
+def index_in_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A value set of any size is a semi-join."""
+    wanted = _table(spark, sf_dir, "customer").where("c_acctbal < 0").select("c_custkey")
+    return _keyed(spark, sf_dir, "orders", "o_orderkey", K.LongKey).where_index_in(CUSTOMER, wanted).rows().select("o_orderkey", "o_custkey")
+
+
 @_add("index_last_key", "SELECT max(o_custkey) AS index_key FROM orders")
 def index_last_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indexes.last_index_key(_keyed(spark, sf_dir, "orders", "o_orderkey", K.LongKey).frame, CUSTOMER, K.LongKey)
@@ -279,29 +301,10 @@ def create_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- order and placement
 
 
-@_add("order_int_key", "SELECT n_nationkey, n_name, n_nationkey + 2147483648 AS k_group FROM nation ORDER BY n_nationkey LIMIT 10")
-def order_int_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    query = _keyed(spark, sf_dir, "nation", "n_nationkey", K.IntegerKey)
-    return query.ordered().limit(10).select("n_nationkey", "n_name", K.group_of(K.IntegerKey, F.col(K.ID)).alias(K.GROUP))
-
-
-@_add("order_long_key", "SELECT o_orderkey, o_orderkey // 2 + 4611686018427387904 AS k_group FROM orders ORDER BY o_orderkey LIMIT 100")
-def order_long_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    query = _keyed(spark, sf_dir, "orders", "o_orderkey", K.LongKey)
-    return query.ordered().limit(100).select("o_orderkey", K.group_of(K.LongKey, F.col(K.ID)).alias(K.GROUP))
-
-
 _HASH = "list_reduce(list_prepend(0::BIGINT, list_transform(string_split(c_name, ''), lambda c: unicode(c)::BIGINT)), lambda a, c: (a * 31 + c) % 4294967296)"
 _GROUP = f"((31 + {_HASH}) + 2147483648) % 4294967296"
 
 
-@_add("order_string_hash", f"SELECT c_name, {_GROUP} AS k_group FROM customer ORDER BY k_group, c_name LIMIT 50")
-def order_string_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """String keys iterate in the order of their hash."""
-    query = _keyed(spark, sf_dir, "customer", "c_name", K.StringKey)
-    return query.ordered().limit(50).select("c_name", K.group_of(K.StringKey, F.col(K.ID)).alias(K.GROUP))
-
-
 @_add("rank_int_key", "SELECT n_nationkey, n_name, n_nationkey + 2147483648 AS k_group, row_number() OVER (ORDER BY n_nationkey) AS k_rank FROM nation")
 def rank_int_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The key order of all rows, as a column."""
@@ -417,26 +420,185 @@ def delete_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- storage: the same rows come back
 
 
-def _stored(spark: SparkSession, sf_dir: str):
+def _stored(spark: SparkSession, sf_dir: str, sealed: bool = False, empty: bool = False, **options):
     """Events in a collection of a fresh database in the shared folder."""
     from ..sources.database import open_database
     from ..sources.scratch import scratch_folder
 
     frame = events_frame(spark, sf_dir)
     values = T.StructType([f for f in frame.schema.fields if not f.name.startswith("k_")])
-    database = open_database(spark, scratch_folder(spark, "events"))
-    collection = database.collection_builder("events", K.TimeKey, values, K.LongKey).with_segment_size("TIME_1_DAY").with_version(2).build()
-    collection.batch_upsert(frame)
+    database = open_database(spark, scratch_folder(spark, "events"), **options)
+    builder = database.collection_builder("events", K.TimeKey, values, K.LongKey).with_segment_size("TIME_1_DAY").with_version(2)
+    collection = (builder.with_encryption() if sealed else builder).build()
+    if not empty:
+        collection.batch_upsert(frame)
     return database, collection
 
 
 @_add("stored_overlap", f"{EV}{_ALL} WHERE {_OVERLAP}")
 def stored_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The overlap over a partitioned collection: partition filters and file statistics do the pruning."""
+    """The overlap over a partitioned collection: only segments that can hold matches are listed and read."""
     _, collection = _stored(spark, sf_dir)
     return collection.query().after_or_at(A).before(B).rows().select(*_COLUMNS)
 
 
+@_add("stored_after", f"{EV}{_ALL} WHERE k_active OR k_end >= {B}")
+def stored_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lower bound alone: of earlier segments only the active rows are read."""
+    _, collection = _stored(spark, sf_dir)
+    return collection.query().after_or_at(B).rows().select(*_COLUMNS)
+
+
+@_add("stored_not_active", f"{EV}{_ALL} WHERE {_OVERLAP} AND NOT k_active")
+def stored_not_active(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, collection = _stored(spark, sf_dir)
+    return collection.query().after_or_at(A).before(B).key_is_not_active().rows().select(*_COLUMNS)
+
+
+@_add("stored_get", f"{EV}{_ALL} WHERE k_id = 42")
+def stored_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lookup reads one segment."""
+    _, collection = _stored(spark, sf_dir)
+    return collection.query().where_key_in([_key_of(spark, sf_dir, 42)]).rows().select(*_COLUMNS)
+
+
+@_add("stored_read_only", f"{EV}{_ALL} WHERE k_start < {B}")
+def stored_read_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.database import open_database
+
+    database, _ = _stored(spark, sf_dir)
+    return open_database(spark, database.root, read_only=True).get_time_collection("events").query().before(B).rows().select(*_COLUMNS)
+
+
+@_add("stored_missing_collection", f"{EV}{_ALL} WHERE false")
+def stored_missing_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A read-only database shows a collection that is not there yet as an empty one."""
+    from ..sources.database import open_database
+
+    database, collection = _stored(spark, sf_dir)
+    reader = open_database(spark, database.root, read_only=True)
+    return reader.get_time_collection("later", collection.meta["values"]).query().after(A).rows().select(*_COLUMNS)
+
+
+@_add("stored_index", f"{EV}{_ALL} WHERE event_type = 'click' AND {_OVERLAP}")
+def stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index that is created once and fetched by name."""
+    _, collection = _stored(spark, sf_dir)
+    collection.create_index("kind", K.StringKey, "event_type")
+    condition = collection.get_index("kind", K.StringKey).string_condition().is_equal_to("click")
+    return collection.query().where(condition).after_or_at(A).before(B).rows().select(*_COLUMNS)
+
+
+@_add("stored_missing_index", f"{EV}{_ALL} WHERE false")
+def stored_missing_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, collection = _stored(spark, sf_dir)
+    return collection.query().where(collection.index_condition("none", K.LongKey).is_equal_to(1)).rows().select(*_COLUMNS)
+
+
+@_add("stored_plain_keys", "SELECT o_orderkey AS k_id, o_custkey, o_totalprice FROM orders WHERE o_totalprice > 1000")
+def stored_plain_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A collection without times, with long keys."""
+    from ..sources.database import open_database
+    from ..sources.scratch import scratch_folder
+
+    frame = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias(K.ID), "o_custkey", "o_totalprice")
+    database = open_database(spark, scratch_folder(spark, "orders"))
+    orders = database.collection_builder("orders", K.LongKey, T.StructType(frame.schema.fields[1:])).build()
+    orders.insert_all(frame)
+    return orders.query().where(F.col("o_totalprice") > 1000).rows().select(K.ID, "o_custkey", "o_totalprice")
+
+
+def _by_key(name: str, change, columns: str) -> None:
+    """Registers a change of event 42; columns: the SQL of end, active, user, type and value of that event afterwards."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        _, collection = _stored(spark, sf_dir)
+        change(collection, _key_of(spark, sf_dir, 42))
+        return collection.frame().select(*_COLUMNS)
+
+    QUERIES[name] = query
+    changed = f" UNION ALL SELECT k_id, k_start, {columns} FROM ev WHERE k_id = 42" if columns else ""
+    ORACLE[name] = f"{EV}{_ALL} WHERE k_id <> 42{changed}"
+
+
+def _bump(value: dict) -> None:
+    value["value"] = -2.0
+
+
+_by_key("stored_update_one", lambda c, k: c.update(k, _bump), "k_end, k_active, user_id, event_type, -2.0::DOUBLE")
+_by_key("stored_replace_one", lambda c, k: c.replace(k, lambda v: {"event_type": "new"}), "k_end, k_active, NULL, 'new', NULL")
+_by_key("stored_update_key_and_value_one", lambda c, k: c.update_key_and_value(k, lambda v: _bump(v) or K.ActiveTimeKey(k.id, k.start)), "NULL, true, user_id, event_type, -2.0::DOUBLE")
+_by_key("stored_replace_key_and_value_one", lambda c, k: c.replace_key_and_value(k, lambda v: (K.TimeFrameKey(k.id, k.start, k.start + 9), v | {"value": 1.5})), "k_start + 9, false, user_id, event_type, 1.5::DOUBLE")
+_by_key("stored_delete_one", lambda c, k: c.delete(k), "")
+
+
+@_add("stored_insert", f"{EV}{_ALL} UNION ALL SELECT k_id + 1000000000, k_start, k_end, k_active, user_id, event_type, value FROM ev WHERE k_id % 10 = 0")
+def stored_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, collection = _stored(spark, sf_dir)
+    collection.insert_all(events_frame(spark, sf_dir).where(F.col(K.ID) % 10 == 0).withColumn(K.ID, F.col(K.ID) + 1_000_000_000))
+    return collection.frame().select(*_COLUMNS)
+
+
+@_add("stored_update_each", f"{EV}SELECT k_id, k_start, k_end, k_active, user_id, event_type, CASE WHEN {_OVERLAP} THEN -2.0 ELSE value END AS value FROM ev")
+def stored_update_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mass update by a Python function."""
+    _, collection = _stored(spark, sf_dir)
+    collection.update_each(collection.query().after_or_at(A).before(B), _bump)
+    return collection.frame().select(*_COLUMNS)
+
+
+@_add("stored_replace_each", f"{EV}SELECT k_id, k_start, k_end, k_active, user_id, CASE WHEN {_OVERLAP} THEN 'new' ELSE event_type END AS event_type, value FROM ev WHERE NOT coalesce({_OVERLAP} AND value > 100, false)")
+def stored_replace_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mass replacement by a Python function, which may delete."""
+    _, collection = _stored(spark, sf_dir)
+    collection.replace_each(collection.query().after_or_at(A).before(B), lambda v: None if v["value"] is not None and v["value"] > 100 else v | {"event_type": "new"})
+    return collection.frame().select(*_COLUMNS)
+
+
+@_add(
+    "stored_update_each_key_and_value",
+    f"{EV}SELECT k_id, k_start, CASE WHEN {_OVERLAP} AND k_active THEN 1705000000000 ELSE k_end END AS k_end, k_active AND NOT coalesce({_OVERLAP}, false) AS k_active, user_id, event_type, CASE WHEN {_OVERLAP} AND k_active THEN -2.0 ELSE value END AS value FROM ev",
+)
+def stored_update_each_key_and_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Active events become frames by a Python function that sees their keys."""
+    _, collection = _stored(spark, sf_dir)
+    collection.update_each_key_and_value(collection.query().after_or_at(A).before(B).key_is_active(), lambda key, v: _bump(v) or K.TimeFrameKey(key.id, key.start, B))
+    return collection.frame().select(*_COLUMNS)
+
+
+@_add("stored_encrypted", f"{EV}{_ALL} WHERE {_OVERLAP}")
+def stored_encrypted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values are stored encrypted and come back."""
+    from ..functions.encryption import KeyRing
+
+    _, collection = _stored(spark, sf_dir, sealed=True, ring=KeyRing({"first": b"0123456789abcdef"}, "first"))
+    return collection.query().after_or_at(A).before(B).rows().select(*_COLUMNS)
+
+
+@_add("stored_corrupt_file", f"{EV}{_ALL} WHERE {_OVERLAP}")
+def stored_corrupt_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file that is no Parquet file among a segment's files is left out."""
+    _, collection = _stored(spark, sf_dir, skip_corrupt=True)
+    segment, (write, _, _) = sorted(collection.table.manifest()[1]["segments"].items())[0]
+    collection.table.files.write_new(f"data/w={write}/{K.ACTIVE}=false/{K.SEGMENT}={segment}/part-damaged.parquet", "no parquet file")
+    return collection.query().after_or_at(A).before(B).rows().select(*_COLUMNS)
+
+
+@_add("stream_upsert", f"{EV}{_ALL}")
+def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of events, upserted batch by batch."""
+    from ..sources.scratch import scratch_folder
+    from ..streaming.ingest import upsert_stream
+
+    _, collection = _stored(spark, sf_dir, empty=True)
+    frame = events_frame(spark, sf_dir)
+    folder = scratch_folder(spark, "stream")
+    frame.repartition(3).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    upsert_stream(stream, collection, f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return collection.frame().select(*_COLUMNS)
+
+
 @_add("stored_update", f"{EV}SELECT k_id, k_start, k_end, k_active, user_id, event_type, CASE WHEN {_OVERLAP} THEN -value ELSE value END AS value FROM ev")
 def stored_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A mass update rewrites the segments with matches only."""
@@ -454,8 +616,14 @@ def compact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_add("backup_time_frame", f"{EV}{_ALL} WHERE {_OVERLAP.replace('<', '<=')}")
 def backup_time_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a backup of a time frame holds of a time collection."""
-    return time_slice(events_frame(spark, sf_dir), A, B, K.TimeKey).select(*_COLUMNS)
+    """A backup of a time frame, opened as a database."""
+    from ..sources.database import open_database
+    from ..sources.scratch import scratch_folder
+
+    database, _ = _stored(spark, sf_dir)
+    target = scratch_folder(spark, "backup")
+    database.backup(target, A, B)
+    return open_database(spark, target, read_only=True).get_collection("events").frame().select(*_COLUMNS)
 
 
 @_add("backup_restored", f"{EV}{_ALL}")

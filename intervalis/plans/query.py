@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys as K
 from ..functions import segments
-from .conditions import IndexCondition
+from .conditions import Index, IndexCondition
 
 #: Key sets up to this size become literals, which prune files; larger ones are joined.
 LITERAL_KEYS = 200
@@ -36,7 +36,10 @@ class Query:
     start_only: bool = False
     active: bool | None = None
     wheres: tuple[Column, ...] = ()
+    #: Reads what the conditions allow of a stored collection; frame then only has its columns.
+    scan: Callable[[Query], DataFrame] | None = None
     key_sets: tuple[DataFrame, ...] = ()
+    value_sets: tuple[tuple[Index, DataFrame], ...] = ()
 
     # -- conditions
 
@@ -73,6 +76,12 @@ class Query:
         schema = ", ".join(f"{c} {self.frame.schema[c].dataType.simpleString()}" for c in own)
         return replace(self, key_sets=(*self.key_sets, self.frame.sparkSession.createDataFrame(rows, schema)))
 
+    def where_index_in(self, index: Index, values: DataFrame) -> Query:
+        """Rows with a value of the index in the only column of ``values``, which may be of any size: a semi-join."""
+        if index.collection != self.name:
+            raise ValueError(f"the index belongs to collection {index.collection}")
+        return replace(self, value_sets=(*self.value_sets, (index, values)))
+
     def _time(self) -> None:
         if not K.is_time(self.key_type):
             raise TypeError("only time collections have time conditions")
@@ -137,9 +146,16 @@ class Query:
 
     def rows(self) -> DataFrame:
         """Matching rows with their keys, in no order."""
-        found = self.frame.where(self.predicate())
+        found = (self.scan(self) if self.scan else self.frame).where(self.predicate())
         for keys in self.key_sets:
             found = found.join(keys.distinct(), K.identity(self.key_type), "left_semi")
+        for index, values in self.value_sets:
+            wanted = values.toDF("_wanted").distinct()
+            if index.multi:
+                met = found.select(*K.identity(self.key_type), F.explode(index.values()).alias("_value")).join(wanted, F.col("_value") == F.col("_wanted"), "left_semi")
+                found = found.join(met.select(*K.identity(self.key_type)).distinct(), K.identity(self.key_type), "left_semi")
+            else:
+                found = found.withColumn("_value", F.expr(index.sql)).join(wanted, F.col("_value") == F.col("_wanted"), "left_semi").drop("_value")
         return found
 
     def order(self) -> list[Column]:

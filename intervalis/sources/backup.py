@@ -18,15 +18,14 @@ def time_slice(frame: DataFrame, low: int | None, high: int | None, key_type: ty
 def backup(database, target: str, low: int | None = None, high: int | None = None) -> None:
     """Writes every collection, its description and its indexes to a database folder at target."""
     for name in database.names():
-        source, copy = Table(database.spark, database.root, name), Table(database.spark, target, name)
+        source, copy = database.table(name), Table(database.spark, target, name, database.ring)
         meta = source.meta()
-        copy.create(meta["key_type"], meta["id_type"], meta["values"], meta["size"], meta["version"])
+        copy.create(meta["key_type"], meta["id_type"], meta["values"], meta["size"], meta["version"], meta["sealed"])
         for index in source.files.names("indexes"):
             source.files.copy(f"indexes/{index}", f"{copy.path}/indexes/{index}")
-        version, manifest = source.manifest()
-        query_rows = time_slice(source.rows(version), low, high, meta["key_type"])
-        touched = [r[0] for r in query_rows.select(K.SEGMENT).distinct().collect()]
-        copy.commit(query_rows, touched, manifest["span"])
+        bounded = K.is_time(meta["key_type"]) and (low is not None or high is not None)
+        rows = time_slice(source.overlapping(low, high), low, high, meta["key_type"]) if bounded else source.rows()
+        copy.commit(rows, [r[0] for r in rows.select(K.SEGMENT).distinct().collect()])  # as many rows as segments
 
 
 def zip_folder(folder: str, archive: str) -> str:

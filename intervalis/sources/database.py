@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import threading
+import time
 from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -13,6 +15,7 @@ from pyspark.sql import types as T
 from ..errors import DuplicateKeyError, MissingKeyError, NoSuchCollectionError, NoSuchIndexError, StoreError
 from ..functions import keys as K
 from ..functions import segments
+from ..functions.encryption import KeyRing
 from ..operators import indexes, mutations
 from ..plans.conditions import Index, NoMatch
 from ..plans.query import Query
@@ -41,7 +44,7 @@ class ReadCollection:
     def meta(self) -> dict:
         if self.table.exists():
             return self.table.meta()
-        return {"key_type": self._key_type, "id_type": self._id_type, "values": self._values or T.StructType(), "width": None, "version": V2}
+        return {"key_type": self._key_type, "id_type": self._id_type, "values": self._values or T.StructType(), "width": None, "version": V2, "sealed": False}
 
     key_type = property(lambda self: self.meta["key_type"])
     id_type = property(lambda self: self.meta["id_type"])
@@ -50,10 +53,16 @@ class ReadCollection:
         return self.table.rows() if self.table.exists() else self.spark.createDataFrame([], self.table.schema(self.meta))
 
     def query(self) -> Query:
-        meta = self.meta
-        span = self.table.manifest()[1]["span"] if self.table.exists() else 0
-        active_works = meta["version"] == V2
-        return Query(self.frame(), meta["key_type"], meta["id_type"], self.name, meta["width"], span, active_works)
+        """A query over the rows of the moment in which it runs."""
+        meta, empty = self.meta, self.spark.createDataFrame([], self.table.schema(self.meta))
+        if not self.table.exists():
+            return Query(empty, meta["key_type"], meta["id_type"], self.name)
+        active_works, timed = meta["version"] == V2, K.is_time(meta["key_type"])
+
+        def scan(query: Query) -> DataFrame:
+            return self.table.overlapping(query.low, query.high, query.start_only, query.active if active_works else None) if timed else self.table.rows()
+
+        return Query(empty, meta["key_type"], meta["id_type"], self.name, meta["width"], self.table.longest_span(), active_works, scan=scan)
 
     def _check(self, key: K.Key) -> None:
         """A collection takes its key type and what derives from it: time keys of all shapes are time keys."""
@@ -62,9 +71,8 @@ class ReadCollection:
 
     def _at(self, key: K.Key) -> DataFrame:
         self._check(key)
-        found = self.frame().where(K.matches(key))
         width = self.meta["width"]
-        return found.where(F.col(K.SEGMENT) == F.lit(segments.floor(key.group(), width))) if width else found
+        return (self.table.rows(only=[segments.floor(key.group(), width)]) if width else self.frame()).where(K.matches(key))
 
     def _row(self, key: K.Key) -> Row | None:
         return next(iter(self._at(key).limit(1).collect()), None)
@@ -118,9 +126,48 @@ class ReadCollection:
         return indexes.in_order(found, condition.index, self.key_type, self.id_type)
 
 
+class Configuration:
+    """Settings that a caller's function gives, asked again after ``POLL`` seconds.
+
+    ``validate`` (true by default): rows of a DataFrame must have the collection's key and value columns with their types, and
+    no null in its key. Where the function fails, the last settings stay.
+    """
+
+    POLL = 60.0
+
+    def __init__(self, source: Callable[[], Mapping] | None = None):
+        self._source, self._settings, self._asked = source, {}, None
+
+    def get(self, name: str, default=None):
+        now = time.monotonic()
+        if self._source is not None and (self._asked is None or now - self._asked >= self.POLL):
+            with contextlib.suppress(Exception):
+                self._settings = dict(self._source())
+            self._asked = now
+        return self._settings.get(name, default)
+
+
 class Collection(ReadCollection):
     """A collection for reading and writing."""
 
+    def __init__(self, table: Table, key_type: type, configuration: Configuration | None = None):
+        super().__init__(table, key_type)
+        self.configuration = configuration or Configuration()
+
+    def _validate(self, rows: DataFrame) -> None:
+        if not self.configuration.get("validate", True):
+            return
+        own = K.identity(self.key_type)
+        missing = [f.name for f in self.table.schema(self.meta).fields if f.name not in (*rows.columns, K.SEGMENT)]
+        if missing:
+            raise StoreError(f"columns are missing: {missing}")
+        for field in self.meta["values"].fields:
+            if rows.schema[field.name].dataType != field.dataType:
+                raise StoreError(f"{field.name} is {rows.schema[field.name].dataType.simpleString()}, not {field.dataType.simpleString()}")
+        nullable = [c for c in own if rows.schema[c].nullable]
+        if nullable and not rows.where(" OR ".join(f"{c} IS NULL" for c in nullable)).isEmpty():
+            raise StoreError("a key has a null")
+
     def _rows(self, pairs: Iterable[tuple[K.Key, Mapping]]) -> DataFrame:
         """Keys and values as rows; the last of equal keys counts."""
         meta, rows = self.meta, {}
@@ -136,27 +183,27 @@ class Collection(ReadCollection):
         return self.spark.createDataFrame(list(rows.values()), schema)
 
     def _merge(self, changes: DataFrame, combine: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
-        """Rewrites the segments that changes touch."""
+        """Rewrites the segments that changes touch. Changes are evaluated once."""
         with _lock(self.table.path):
-            placed = self.table.placed(changes)
-            found = placed.agg(F.max(F.col(K.END) - F.col(K.START)).alias("span")).first() if K.is_time(self.key_type) else None
-            touched = [r[0] for r in placed.select(K.SEGMENT).distinct().collect()]  # as many rows as segments
-            if touched:
-                stored = self.table.rows(only=touched)
-                self.table.commit(combine(stored, placed), touched, (found and found.span) or 0)
-
-    def _rewrite(self, query: Query, change: Callable[[DataFrame, Column], DataFrame], span: int = 0) -> None:
-        """Rewrites the segments that hold matches of a query."""
+            placed, staged = self.table.stage(self.table.placed(changes))
+            try:
+                touched = [r[0] for r in placed.select(K.SEGMENT).distinct().collect()]  # as many rows as segments
+                if touched:
+                    self.table.commit(combine(self.table.rows(only=touched), placed), touched)
+            finally:
+                self.table.files.delete(staged)
+
+    def _rewrite(self, query: Query, change: Callable[[DataFrame, Column], DataFrame]) -> None:
+        """Rewrites the segments that hold matches of a query. The query is evaluated once."""
         with _lock(self.table.path):
-            touched = [r[0] for r in query.rows().select(K.SEGMENT).distinct().collect()]
-            if not touched:
-                return
-            stored, matched = self.table.rows(only=touched), query.rows().select(*K.identity(self.key_type), F.lit(True).alias("_met"))
-            joined = stored.join(matched, K.identity(self.key_type), "left")
-            changed = change(joined, F.col("_met")).drop("_met")
-            if K.is_time(self.key_type):
-                span = changed.agg(F.max(F.col(K.END) - F.col(K.START)).alias("s")).first().s or 0
-            self.table.commit(changed, touched, span)
+            matched, staged = self.table.stage(query.rows().select(*K.identity(self.key_type), K.SEGMENT, F.lit(True).alias("_met")))
+            try:
+                touched = [r[0] for r in matched.select(K.SEGMENT).distinct().collect()]
+                if touched:
+                    joined = self.table.rows(only=touched).join(matched.drop(K.SEGMENT), K.identity(self.key_type), "left")
+                    self.table.commit(change(joined, F.col("_met")).drop("_met"), touched)
+            finally:
+                self.table.files.delete(staged)
 
     # -- by key
 
@@ -167,17 +214,24 @@ class Collection(ReadCollection):
             self._merge(self._rows([(key, value)]), lambda stored, new: stored.unionByName(new))
 
     def insert_all(self, rows: DataFrame) -> None:
-        """Inserts key and value columns; if any key is stored, nothing is."""
-        with _lock(self.table.path):
-            placed = self.table.placed(rows)
-            if not mutations.duplicates(self.table.rows(), placed, self.key_type).isEmpty():
+        """Inserts key and value columns; if any key is stored already or comes twice, nothing is."""
+        self._validate(rows)
+
+        def combine(stored: DataFrame, new: DataFrame) -> DataFrame:
+            if not mutations.repeated(new, self.key_type).isEmpty():
+                raise DuplicateKeyError("a key comes twice")
+            if not mutations.duplicates(stored, new, self.key_type).isEmpty():
                 raise DuplicateKeyError("a key is stored already")
-            self._merge(rows, lambda stored, new: stored.unionByName(new))
+            return stored.unionByName(new)
+
+        self._merge(rows, combine)
 
-    def batch_upsert(self, changes: Mapping | Iterable[tuple[K.Key, Mapping]] | DataFrame, replace_keys: bool = False) -> None:
-        """Inserts or overwrites. A DataFrame has key and value columns and may be of any size."""
+    def batch_upsert(self, changes: Mapping | Iterable[tuple[K.Key, Mapping]] | DataFrame, replace_keys: bool = False, order: str | None = None) -> None:
+        """Inserts or overwrites. A DataFrame has key and value columns and may be of any size; of its rows with equal keys the
+        last by the column ``order`` counts, and without one any of them."""
         if isinstance(changes, DataFrame):
-            rows = mutations.last_of_each(changes, self.key_type)
+            self._validate(changes)
+            rows = mutations.last_of_each(changes, self.key_type, order)
         else:
             rows = self._rows(changes.items() if isinstance(changes, Mapping) else changes)
         self._merge(rows, lambda stored, new: mutations.upsert(stored, new, self.key_type, replace_keys))
@@ -232,6 +286,72 @@ class Collection(ReadCollection):
 
     # -- by query
 
+    def _by_function(self, query: Query, function: Callable[[dict], object], returns: str) -> None:
+        """Rewrites matches by a Python function over batches of rows; keys stay as they are unless it returns new ones."""
+        meta = self.meta
+        values = meta["values"]
+        timed = K.is_time(meta["key_type"])
+        made = T.StructType([T.StructField("gone", T.BooleanType()), T.StructField("end", T.LongType()), T.StructField("active", T.BooleanType()), T.StructField("value", values)])
+
+        def run(ids, starts, ends, actives, rows):
+            out = []
+            for i in range(len(ids)):
+                value = dict(rows[i])
+                end, active = (ends[i], actives[i]) if timed else (None, None)
+                if returns in ("key", "both"):
+                    row = Row(**{K.ID: ids[i], K.START: starts[i], K.END: end, K.ACTIVE: active})
+                    old = K.key_from_row(row, K.TimeKey if timed else meta["key_type"], meta["id_type"])
+                    result = function(old, value)
+                    new, result = (result, value) if returns == "key" else result
+                    if new != old:
+                        raise StoreError("the new key must equal the old one")
+                    own = K.key_row(new)
+                    end, active = own.get(K.END), own.get(K.ACTIVE)
+                else:
+                    result = function(value)
+                    result = value if returns == "nothing" else result
+                out.append((result is None, end, active, None if result is None else tuple(result.get(f) for f in values.names)))
+            return out
+
+        def batches(frames):
+            import pandas as pd
+
+            for frame in frames:
+                records = frame["value"].tolist()
+                plain = [r.asDict(True) if hasattr(r, "asDict") else dict(r) for r in records]
+                lists = [frame[c].astype(object).where(frame[c].notna(), None).tolist() if c in frame else [None] * len(frame) for c in (K.ID, K.START, K.END, K.ACTIVE)]
+                done = run(*lists, plain)
+                own = frame.drop(columns=["value"])
+                own["made"] = pd.Series([dict(zip(made.names, d, strict=True)) | {"value": None if d[3] is None else dict(zip(values.names, d[3], strict=True))} for d in done], index=own.index, dtype=object)
+                yield own
+
+        def change(rows: DataFrame, met: Column) -> DataFrame:
+            names = [c for c in rows.columns if c not in values.names]
+            packed = rows.where(F.coalesce(met, F.lit(False))).select(*names, F.struct(*values.names).alias("value"))
+            schema = T.StructType([*(f for f in packed.schema.fields if f.name != "value"), T.StructField("made", made)])
+            done = packed.mapInPandas(batches, schema).where(~F.col("made.gone"))
+            new = {K.END: F.col("made.end"), K.ACTIVE: F.col("made.active")} if timed else {}
+            done = done.select(*[new.get(c, F.col(c)).alias(c) for c in names], "made.value.*").select(*rows.columns)
+            return rows.where(~F.coalesce(met, F.lit(False))).unionByName(done)
+
+        self._rewrite(query, change)
+
+    def update_each(self, query: Query, updater: Callable[[dict], None]) -> None:
+        """For each match the updater changes a copy of the value. Runs on the executors, in batches."""
+        self._by_function(query, updater, "nothing")
+
+    def replace_each(self, query: Query, mapper: Callable[[dict], Mapping | None]) -> None:
+        """For each match the mapper returns the new value; None deletes."""
+        self._by_function(query, mapper, "value")
+
+    def update_each_key_and_value(self, query: Query, updater: Callable[[K.Key, dict], K.Key]) -> None:
+        """For each match the updater gets its key, changes a copy of the value and returns an equal key of any shape."""
+        self._by_function(query, updater, "key")
+
+    def replace_each_key_and_value(self, query: Query, mapper: Callable[[K.Key, dict], tuple[K.Key, Mapping]]) -> None:
+        """For each match the mapper gets its key and value and returns an equal key of any shape and the new value."""
+        self._by_function(query, mapper, "both")
+
     def delete_matches(self, query: Query) -> None:
         self._rewrite(query, lambda rows, met: mutations.delete_where(rows, met))
 
@@ -280,7 +400,7 @@ class CollectionBuilder:
     def __init__(self, database: Database, name: str, key_type: type, values: T.StructType, id_type: type | None = None):
         self._database, self._name, self._key_type, self._values = database, name, key_type, values
         self._id_type = id_type or (key_type if not K.is_time(key_type) else K.LongKey)
-        self._size, self._version = None, V1
+        self._size, self._version, self._sealed = None, V1, False
 
     def with_segment_size(self, size: str) -> CollectionBuilder:
         segments.check_size(size, self._key_type if K.is_time(self._key_type) else self._id_type)
@@ -294,25 +414,36 @@ class CollectionBuilder:
         self._version = version
         return self
 
+    def with_encryption(self) -> CollectionBuilder:
+        """Values are stored encrypted, with the current key of the database's ring; keys stay readable for pruning."""
+        if self._database.ring is None:
+            raise ValueError("the database was opened without keys")
+        self._sealed = True
+        return self
+
     def build(self) -> Collection:
-        table = Table(self._database.spark, self._database.root, self._name)
+        table = self._database.table(self._name)
         if not table.exists():
             size = self._size or segments.default_size(self._key_type if K.is_time(self._key_type) else self._id_type)
-            table.create(self._key_type, self._id_type, self._values, size, self._version)
+            table.create(self._key_type, self._id_type, self._values, size, self._version, self._sealed)
         meta = table.meta()
         if not issubclass(meta["key_type"], self._key_type) or meta["id_type"] is not self._id_type:
             raise StoreError(f"{self._name} has {meta['key_type'].__name__} keys")
         if meta["values"] != self._values:
             raise StoreError(f"{self._name} has other values")
-        table.recover()
-        return Collection(table, self._key_type)
+        return Collection(table, self._key_type, configuration=self._database.configuration)
 
 
 class Database:
     """A folder of collections."""
 
-    def __init__(self, spark: SparkSession, root: str = "./intervalis-data", read_only: bool = False):
+    def __init__(self, spark: SparkSession, root: str = "./intervalis-data", read_only: bool = False, ring: KeyRing | None = None, configuration: Callable[[], Mapping] | None = None, skip_corrupt: bool = False):
+        """ring: keys of encrypted collections. configuration: see ``Configuration``. skip_corrupt: damaged files are left out."""
         self.spark, self.root, self.read_only, self._open = spark, root.rstrip("/"), read_only, True
+        self.ring, self.configuration, self.skip_corrupt = ring, Configuration(configuration), skip_corrupt
+
+    def table(self, name: str) -> Table:
+        return Table(self.spark, self.root, name, self.ring, self.skip_corrupt)
 
     def _writable(self) -> None:
         if self.read_only:
@@ -332,13 +463,13 @@ class Database:
 
     def get_collection(self, name: str, key_type: type = K.Key, values: T.StructType | None = None):
         """Read-write: the collection, or None. Read-only: always an object, empty until the collection exists."""
-        table = Table(self.spark, self.root, name)
+        table = self.table(name)
         if not table.exists():
             return ReadCollection(table, key_type, values=values) if self.read_only else None
         meta = table.meta()
         if key_type is not K.Key and not issubclass(meta["key_type"], key_type):
             raise StoreError(f"{name} has {meta['key_type'].__name__} keys")
-        return (ReadCollection if self.read_only else Collection)(table, meta["key_type"])
+        return ReadCollection(table, meta["key_type"]) if self.read_only else Collection(table, meta["key_type"], configuration=self.configuration)
 
     def get_time_collection(self, name: str, values: T.StructType | None = None):
         found = self.get_collection(name, K.TimeKey, values)
@@ -367,5 +498,5 @@ class Database:
         return not self._open
 
 
-def open_database(spark: SparkSession, root: str = "./intervalis-data", read_only: bool = False) -> Database:
-    return Database(spark, root, read_only)
+def open_database(spark: SparkSession, root: str = "./intervalis-data", read_only: bool = False, **options) -> Database:
+    return Database(spark, root, read_only, **options)

@@ -220,11 +220,11 @@ def test_versions_and_recovery(database):
     table = collection.table
     assert table.rows(1).count() == 1 and table.rows().count() == 4
     table.rows().write.parquet(f"{table.path}/data/w=orphan")
-    assert table.recover() == ["orphan"] and table.rows().count() == 4
+    assert table.recover() == [] and table.recover(grace=0) == ["orphan"] and table.rows().count() == 4
     table.clean(keep=1)
     assert table.versions() == [4] and collection.query().count() == 4
     version, manifest = table.manifest()
-    table.files.write_new(f"versions/{version + 1:08d}.json", '{"segments": {}, "span": 0}')
+    table.files.write_new(f"versions/{version + 1:08d}.json", '{"segments": {}}')
     assert not table.files.write_new(f"versions/{version + 1:08d}.json", "{}")
 
 
@@ -270,3 +270,154 @@ def test_completed_pairs(spark):
     events = spark.createDataFrame([(1, 10, "on"), (1, 20, "off"), (1, 30, "on"), (2, 5, "on")], f"{K.ID} int, time bigint, kind string")
     rows = completed(events, "off").select(K.ID, K.START, K.END, K.ACTIVE).orderBy(K.ID, K.START).collect()
     assert [tuple(r) for r in rows] == [(1, 10, 20, False), (1, 30, None, True), (2, 5, None, True)]
+
+
+def test_time_bounds_prune_segments_with_active_rows_apart(database):
+    """A lower bound reads active rows of earlier segments, completed ones only where a frame reaches it."""
+    collection = people(database)
+    day = 24 * H
+    start = NOW - NOW % day
+    rows = {K.TimeFrameKey(i, start + i * day, start + i * day + H): value(f"d{i}") for i in range(20)}
+    rows[K.ActiveTimeKey(100, start + 2 * day)] = value("active")
+    rows[K.TimeFrameKey(101, start + 3 * day, start + 15 * day)] = value("long")
+    collection.batch_upsert(rows)
+    query = collection.query().after_or_at(start + 14 * day + 2 * H).before(start + 16 * day)
+    assert names(query) == ["active", "long", "d15"]
+    files = sorted({f.split("/data/")[1].rsplit("/", 1)[0].split("/", 1)[1] for f in query.rows().inputFiles()})
+    flat = lambda i, active: f"{K.ACTIVE}={active}/{K.SEGMENT}={start + i * day}"
+    assert set(files) <= {flat(2, "true"), flat(3, "false"), flat(14, "false"), flat(15, "false")} and flat(15, "false") in files
+    listed = collection.table.overlapping(query.low, query.high)._jdf.queryExecution().toString().count("w=")
+    assert listed < 30
+    database.spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
+    filters = query.rows()._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("PushedFilters")[0]
+    database.spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert f"{K.SEGMENT}" in filters and "<=" in filters and ">=" in filters and K.ACTIVE in filters
+    assert names(collection.query().after_or_at(start + 18 * day + 2 * H).key_is_not_active()) == ["d19"]
+    assert names(collection.query().before(start)) == [] and len(collection.query().before(start).rows().inputFiles()) == 0
+
+
+def test_insert_all_refuses_repeated_keys_and_wrong_rows(database, spark):
+    collection = people(database)
+    schema = f"{K.ID} bigint, {K.START} bigint, {K.END} bigint, {K.ACTIVE} boolean, name string, cupcakes int"
+    twice = spark.createDataFrame([(100, 5, 5, False, "a", 1), (100, 5, 6, False, "b", 2)], schema)
+    with pytest.raises(DuplicateKeyError):
+        collection.insert_all(twice)
+    with pytest.raises(StoreError):
+        collection.insert_all(twice.limit(1).withColumn("cupcakes", F.lit("x")))
+    with pytest.raises(StoreError):
+        collection.insert_all(twice.limit(1).drop("name"))
+    with pytest.raises(StoreError):
+        collection.insert_all(twice.limit(1).withColumn(K.ID, F.lit(None).cast("bigint")))
+    assert collection.query().count() == 0 and not collection.table.files.names("staging")
+    collection.batch_upsert(twice.withColumn("seq", F.col("cupcakes")), order="seq")
+    assert names(collection.query()) == ["b"]
+
+
+def test_a_change_evaluates_its_rows_once(database, spark):
+    collection = people(database)
+    noisy = spark.range(50).select(F.col("id").alias(K.ID), (F.rand() * 1e12).cast("bigint").alias(K.START)).select(
+        K.ID, K.START, F.col(K.START).alias(K.END), F.lit(False).alias(K.ACTIVE), F.lit("n").alias("name"), F.lit(1).alias("cupcakes")
+    )
+    collection.batch_upsert(noisy)
+    assert collection.query().count() == 50 and all(r[K.START] - r[K.START] % (24 * H) == r[K.SEGMENT] for r in collection.frame().collect())
+
+
+def test_two_sessions(database, spark):
+    """A second session neither removes a write that is under way nor overwrites a version."""
+    collection = people(database)
+    collection.insert(K.TimeKey(1, NOW), value("a"))
+    table = collection.table
+    version, _ = table.manifest()
+    table.rows().write.parquet(f"{table.path}/data/w=underway")
+    other = open_database(spark, database.root)
+    people(other).insert(K.TimeKey(2, NOW), value("b"))
+    assert "w=underway" in table.files.names("data")
+    assert not table.files.write_new(f"versions/{version + 1:08d}.json", "{}") and names(collection.query()) == ["a", "b"]
+
+
+def test_versions_are_dropped_by_later_commits(database):
+    table = people(database).table
+    collection = people(database)
+    for i in range(5):
+        collection.insert(K.TimeKey(i, NOW), value(str(i)))
+    table.commit(table.rows(), [int(s) for s in table.manifest()[1]["segments"]], keep=2)
+    assert table.versions() == [5, 6] and len(table.files.names("data")) == 2 and collection.query().count() == 5
+
+
+def test_mass_changes_by_functions(database):
+    collection = people(database)
+    collection.batch_upsert({K.TimeFrameKey(i, NOW + i * H, NOW + i * H + 5): value(f"p{i}", i) for i in range(30)} | {K.ActiveTimeKey(99, NOW): value("active", 50)})
+    collection.update_each(collection.query().where(F.col("cupcakes") < 5), lambda v: v.update(cupcakes=v["cupcakes"] + 100))
+    assert collection.get(K.TimeKey(3, NOW + 3 * H)).cupcakes == 103
+    collection.replace_each(collection.query().where(F.col("cupcakes") >= 100), lambda v: None if v["cupcakes"] == 104 else {"name": "r"})
+    assert collection.query().where(F.col("name") == "r").count() == 4 and not collection.contains(K.TimeKey(4, NOW + 4 * H))
+    collection.update_each_key_and_value(collection.query().key_is_active(), lambda key, v: v.update(name="done") or K.TimeFrameKey(key.id, key.start, NOW + H))
+    assert names(collection.query().key_is_active()) == [] and collection.get(K.TimeKey(99, NOW)).name == "done"
+    collection.replace_each_key_and_value(collection.query().where(F.col("name") == "p7"), lambda key, v: (K.ActiveTimeKey(key.id, key.start), v | {"cupcakes": None}))
+    assert names(collection.query().key_is_active()) == ["p7"] and collection.get(K.TimeKey(7, NOW + 7 * H)).cupcakes is None
+    with pytest.raises(Exception, match="new key"):
+        collection.update_each_key_and_value(collection.query(), lambda key, v: K.TimeKey(12345, key.start))
+    texts = database.collection_builder("texts", K.StringKey, VALUE).build()
+    texts.batch_upsert({K.StringKey("a"): value("x", 1), K.StringKey("b"): value("y", 2)})
+    texts.replace_each_key_and_value(texts.query(), lambda key, v: (key, v | {"name": key.id * 2}))
+    assert sorted(names(texts.query())) == ["aa", "bb"]
+
+
+def test_encrypted_collection(spark, tmp_path):
+    ring = KeyRing({"one": b"0" * 16}, "one")
+    database = open_database(spark, str(tmp_path / "db"), ring=ring)
+    collection = database.time_collection_builder("people", K.TimeKey, VALUE, K.LongKey).with_encryption().build()
+    collection.batch_upsert({K.TimeKey(1, NOW): value("secret", 3), K.TimeKey(2, NOW): {}})
+    collection.update(K.TimeKey(1, NOW), lambda v: v.update(cupcakes=4))
+    raw = spark.read.parquet(f"{collection.table.path}/data")
+    assert "name" not in raw.columns and all(b"secret" not in bytes(r.payload) for r in raw.collect())
+    assert sorted(map(tuple, collection.query().values().collect()), key=str) == [("secret", 4), (None, None)]
+    newer = open_database(spark, database.root, ring=KeyRing({"one": b"0" * 16, "two": b"1" * 32}, "two"))
+    newer.get_collection("people").insert(K.TimeKey(3, NOW + 1), value("later"))
+    assert newer.get_collection("people").query().count() == 3
+    newer.backup(str(tmp_path / "copy"))
+    assert open_database(spark, str(tmp_path / "copy"), read_only=True, ring=newer.ring).get_collection("people").query().count() == 3
+    with pytest.raises(StoreError):
+        open_database(spark, database.root).get_collection("people").frame()
+    with pytest.raises(ValueError):
+        open_database(spark, database.root).collection_builder("x", K.LongKey, VALUE).with_encryption()
+
+
+def test_damaged_files_are_skipped_on_demand(database, spark):
+    collection = people(database)
+    collection.batch_upsert({K.TimeKey(i, NOW): value(str(i)) for i in range(3)})
+    segment, (write, _, _) = next(iter(collection.table.manifest()[1]["segments"].items()))
+    collection.table.files.write_new(f"data/w={write}/{K.ACTIVE}=false/{K.SEGMENT}={segment}/part-bad.parquet", "damaged")
+    with pytest.raises(Exception, match="part-bad"):
+        collection.query().list()
+    assert sorted(names(open_database(spark, database.root, skip_corrupt=True).get_collection("people").query())) == ["0", "1", "2"]
+
+
+def test_configuration_is_polled(database, spark, monkeypatch):
+    from intervalis.sources import database as d
+
+    asked = []
+    settings = d.Configuration(lambda: asked.append(1) or ({"validate": False} if len(asked) == 1 else 1 / 0))
+    assert settings.get("validate", True) is False and settings.get("other", 5) == 5 and len(asked) == 1
+    monkeypatch.setattr(d.Configuration, "POLL", 0.0)
+    assert settings.get("validate", True) is False and len(asked) == 2  # a failing source keeps the last settings
+    loose = open_database(spark, database.root, configuration=lambda: {"validate": False})
+    collection = people(loose)
+    schema = f"{K.ID} bigint, {K.START} bigint, {K.END} bigint, {K.ACTIVE} boolean, name string, cupcakes string"
+    collection.insert_all(spark.createDataFrame([(1, 5, 5, False, "a", "7")], schema))
+    assert collection.get(K.TimeKey(1, 5)).cupcakes == 7
+
+
+def test_scratch_folders_are_shared(spark, monkeypatch):
+    from intervalis.sources import scratch
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getConf = staticmethod(lambda: {})
+
+    with pytest.raises(ValueError):
+        scratch.scratch_folder(Cluster, "x")
