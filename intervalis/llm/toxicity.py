@@ -5,13 +5,18 @@ embedding rows. A segment of ``SEGMENT`` words is the mean of its words' vectors
 jointly in numpy. A misspelling that was never seen shares most n-gram rows with the word it imitates. The odds of a text
 are the sum of its segments' odds, so a short insult in a long text is not averaged away.
 
+Every embedding row of the training texts is trained. Its trust, from how unevenly its texts are labelled, is the width of its
+prior: rows that chance explains stay near zero, so a few thousand labels do not teach what hundreds of thousands of chance
+n-grams mean.
+
 Training reads at most ``TOXIC_DOCS`` + ``CLEAN_DOCS`` labelled documents, the first ones by a hash of doc_id; that bound is
 the only sample. What goes to the executors is one float for each bucket, a fixed size.
 
 Defined results: null and empty texts have no words and score the prior. Rows with equal texts score equal. A null doc_id
-is scored, never learned from, and counted as held out only if its crc32 remainder says so (null gives false). Without
-labels of both classes every text scores the share of toxic labels. Extra columns pass through ``score``; result columns
-replace columns of the same name.
+is scored, never learned from, and counted as held out only if its crc32 remainder says so (null gives false). A doc_id that
+has several texts teaches the least of them, one with both labels counts as toxic. Without labels of both classes every text
+scores the share of toxic labels. A very long text counts as a whole: each of its segments is scored. An empty table gives an
+empty result. Extra columns pass through ``score``; result columns replace columns of the same name.
 """
 
 from __future__ import annotations
@@ -29,6 +34,7 @@ BUCKETS = 1 << 18
 GRAMS = (3, 4, 5, 6)
 DIM = 8
 SEGMENT = 16
+TRUST_POWER = 3
 TOXIC_DOCS, CLEAN_DOCS = 1500, 2500
 THRESHOLD = 0.3
 _CACHE_WORDS = 150_000
@@ -120,29 +126,33 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int
     return float(w[0]), float(w[1])
 
 
-def _telling(docs: np.ndarray, ids: list[np.ndarray], y: np.ndarray, buckets: np.ndarray, counts: np.ndarray, evidence: float) -> np.ndarray:
-    """Which embedding rows are trained: those whose presence in toxic and clean texts differs by a log-likelihood ratio of
-    ``evidence`` nats or more. The others stay zero, since a few labels cannot teach what thousands of chance n-grams mean."""
+def _trust(docs: np.ndarray, ids: list[np.ndarray], y: np.ndarray, gram: np.ndarray, counts: np.ndarray, rows: int) -> np.ndarray:
+    """How freely each embedding row may move, from 0 to 1: the prior width that its texts allow.
+
+    The log-likelihood ratio of its presence in toxic and clean texts is set against the log of the number of texts, which is
+    what chance reaches for one of very many rows; below that, a row is held back by a power of the share.
+    """
     starts = np.concatenate([[0], np.cumsum(counts)])
-    seen = np.zeros((2, BUCKETS))
+    seen = np.zeros((2, rows))
     for d in docs:
         own = np.unique(ids[d])
         spans = counts[own]
         at = np.repeat(starts[own] - np.cumsum(spans) + spans, spans) + np.arange(spans.sum())
-        seen[int(y[d]), np.unique(buckets[at])] += 1
+        seen[int(y[d]), np.unique(gram[at])] += 1
     total = seen.sum(0)
     share = max(1e-9, (y[docs] > 0).mean())
     with np.errstate(divide="ignore", invalid="ignore"):
         ratio = np.nan_to_num(seen[1] * np.log(seen[1] / (total * share))) + np.nan_to_num(seen[0] * np.log(seen[0] / (total * (1 - share))))
-    return (total >= 3) & (ratio >= evidence)
+    return (np.clip(ratio / np.log(max(3, len(docs))), 0, 1) ** TRUST_POWER * np.minimum(1, total / 3)).astype(np.float32)
 
 
-def train(texts: list[str], labels: list[int], epochs: int = 150, rate: float = 0.05, evidence: float | None = None, seed: int = 7) -> Model:
-    """Joint gradient descent on embeddings and softmax weights.
+def train(texts: list[str], labels: list[int], epochs: int = 150, rate: float = 0.05, ridge: float = 0.02, seed: int = 7) -> Model:
+    """Joint gradient descent on the embeddings of all n-grams of the texts and on the softmax weights.
 
-    A text's odds are the sum of its segments' odds, so the gradient goes to the segments that look toxic. Every fifth text
-    is kept aside to scale the odds afterwards. The gradient of the embeddings has rank one, so each step costs a few passes
-    over segments x words and words x n-grams. evidence: see ``_telling``; by default it grows with the log of the texts.
+    A segment is the average of its words' vectors, read by the softmax; a text's odds are the sum of its segments' odds, so
+    the gradient goes to the segments that look toxic. Every row is trained; how far it moves and how hard ``ridge`` pulls it
+    back follows its trust. Every fifth text is kept aside to scale the odds afterwards. The gradient of the embeddings has rank
+    one, so each step costs a few passes over segments x words and words x n-grams.
     """
     y = np.array(labels, dtype=np.float64)
     share = float(np.clip(y.mean() if len(y) else 0.5, 0.001, 0.999))
@@ -156,29 +166,29 @@ def train(texts: list[str], labels: list[int], epochs: int = 150, rate: float =
     hashed = [_gram_hashes(words[i : i + _CHUNK]) for i in range(0, len(words), _CHUNK)]  # in chunks, to bound the driver's memory
     buckets, counts = np.concatenate([h[0].astype(np.int32) for h in hashed]), np.concatenate([h[1] for h in hashed])
     del hashed
-    owner = np.repeat(np.arange(len(words), dtype=np.int32), counts)
     held = np.arange(len(y)) % 5 == 4
     docs = np.flatnonzero(~held & np.array([len(i) > 0 for i in ids]))
-    used = _telling(docs, ids, y, buckets, counts, float(np.log(len(y))) if evidence is None else evidence)
-    slot = np.cumsum(used) - 1
-    live = used[buckets]
-    gram, word, part = slot[buckets[live]], owner[live], (1.0 / counts)[owner[live]]
+    if not len(docs) or y[docs].min() == y[docs].max():
+        return Model(np.zeros(BUCKETS, dtype=np.float32), prior, (1.0, 0.0))
+    used, gram = np.unique(buckets, return_inverse=True)
+    gram, word = gram.astype(np.int32), np.repeat(np.arange(len(words), dtype=np.int32), counts)
+    trust = _trust(docs, ids, y, gram, counts, len(used))[:, None]
+    part = (1.0 / counts)[word].astype(np.float32)
     term = np.concatenate([ids[d] for d in docs])
     lengths = np.array([len(ids[d]) for d in docs])
     segments = -(-lengths // SEGMENT)
     base = np.concatenate([[0], np.cumsum(segments)[:-1]])
     place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    segment = np.repeat(base, lengths) + place // SEGMENT
+    segment = (np.repeat(base, lengths) + place // SEGMENT).astype(np.int32)
     doc = np.repeat(np.arange(len(docs)), segments)
     share_of = 1.0 / np.bincount(segment)
     target, weight = y[docs], np.where(y[docs] > 0, 0.5 / share, 0.5 / (1 - share)) ** 0.5
     rng = np.random.default_rng(seed)
-    table, soft = rng.normal(0, 0.02, (int(used.sum()), DIM)).astype(np.float32), rng.normal(0, 1.0, DIM).astype(np.float32)
+    table, soft = trust * rng.normal(0, 0.02, (len(used), DIM)).astype(np.float32), rng.normal(0, 1.0, DIM).astype(np.float32)
     bias, gain = prior - float(np.log(np.median(segments))), 10.0
     moments = [np.zeros_like(table), np.zeros_like(table), np.zeros_like(soft), np.zeros_like(soft), 0.0, 0.0]
     for step in range(1, epochs + 1):
-        effect = table @ soft * gain
-        by_word = np.bincount(word, effect[gram] * part, minlength=len(words))
+        by_word = np.bincount(word, (table @ soft * gain)[gram] * part, minlength=len(words))
         z = np.bincount(segment, by_word[term]) * share_of
         odds = np.exp(np.clip(z + bias, -30, 30))
         total = np.bincount(doc, odds)
@@ -186,13 +196,14 @@ def train(texts: list[str], labels: list[int], epochs: int = 150, rate: float =
         back = (wrong / total)[doc] * odds
         on_word = np.bincount(term, (back * share_of)[segment], minlength=len(words))
         on_gram = (np.bincount(gram, on_word[word] * part, minlength=len(table)) * gain).astype(np.float32)
-        slopes = (on_gram[:, None] * soft + 1e-5 * table, on_gram @ table, float(wrong.sum()))
+        slopes = (on_gram[:, None] * soft, on_gram @ table, float(wrong.sum()))
         moved = []
         for i, g in enumerate(slopes):
             moments[2 * i] = 0.9 * moments[2 * i] + 0.1 * g
             moments[2 * i + 1] = 0.99 * moments[2 * i + 1] + 0.01 * g * g
             moved.append(rate * (moments[2 * i] / (1 - 0.9**step)) / (np.sqrt(moments[2 * i + 1] / (1 - 0.99**step)) + 1e-7))
-        table, soft, bias = table - moved[0], soft - moved[1], bias - float(moved[2])
+        table = table * (1 - ridge * (1 - trust)) - trust * moved[0]
+        soft, bias = soft - moved[1], bias - float(moved[2])
     weights = np.zeros(BUCKETS, dtype=np.float32)
     weights[used] = table @ soft * gain
     model = Model(weights, bias, (1.0, 0.0))
@@ -212,14 +223,18 @@ def fit(documents: DataFrame, labels: DataFrame, folds: int = 4, held_out: int =
     bounds = ((1, TOXIC_DOCS), (0, CLEAN_DOCS))
     toxic, clean = (first_by_hash(known.where(F.col("toxic") == v), "doc_id", n, totals.get(v, 0)) for v, n in bounds)
     picked = toxic.unionAll(clean)
-    chosen = {r.doc_id: r.toxic for r in picked.collect()}  # at most TOXIC_DOCS + CLEAN_DOCS ids
+    chosen: dict[int, int] = {}
+    for r in picked.collect():  # at most TOXIC_DOCS + CLEAN_DOCS ids
+        chosen[r.doc_id] = max(r.toxic, chosen.get(r.doc_id, 0))
     if not chosen:
         return train([], [])
     spark = documents.sparkSession
     ids = spark.createDataFrame([(i,) for i in sorted(chosen)], "doc_id bigint")
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id", "left_semi").toLocalIterator()
-    rows = sorted({r.doc_id: r.text or "" for r in rows}.items())
-    return train([t for _, t in rows], [chosen[i] for i, _ in rows])
+    least: dict[int, str] = {}
+    for r in rows:
+        least[r.doc_id] = min(r.text or "", least.get(r.doc_id, r.text or ""))
+    return train([least[i] for i in sorted(least)], [chosen[i] for i in sorted(least)])
 
 
 def score(df: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD, keep_text: bool = False) -> DataFrame:
