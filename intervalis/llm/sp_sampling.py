@@ -7,7 +7,7 @@ noise of a set's best member is drawn first, and the search follows it down the
 left on the frontier with noise cut off at the best member's, and the next sample starts at the frontier's highest node.
 
 Pieces never reach over the start of a word, so lattices are built once for each distinct word of a batch, and the paths of
-all words of all texts are drawn in lockstep with numpy. Random numbers are hashes of the row's key, the sample, the word and
+all words of all texts are drawn in lockstep with numpy; so are the branches of all texts of a round. Random numbers are hashes of the row's key, the sample, the word and
 the step: results depend neither on batches nor on partitions.
 
 Each sample has its log-probability, its perturbed value and its inclusion score, the probability 1 - exp(-exp(log p - kappa))
@@ -15,7 +15,9 @@ of being among the k, where kappa is the highest value left on the frontier.
 
 Defined results: a null or empty text has no pieces and one sample, the empty one, with score 1. A text with fewer than k
 segmentations has all of them, with score 1. Repeated rows get equal samples. Rows with a null key share the key's hash of
-null. Other columns than the key are dropped.
+null. A very long text is a batch of its own. A text with U+2581, the model's sign for a space, decodes to a space there, and
+its round_trip is false. An empty table gives an empty result. Other columns than the key are dropped; result columns replace
+key columns of the same name.
 """
 
 from __future__ import annotations
@@ -27,17 +29,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lean, mix, small_batches
+from .common import gather, lean, mix, small_batches
 
 SAMPLES = 3
 ALPHA = 1 / 4000
 SPACE = "▁"
 LEAST_SCORE = -40_000.0
-BATCH_CHARS = 2_000_000
+#: Probabilities and their logs are summed up as multiples of 1 / UNIT.
+UNIT = 2.0**36
+BATCH_CHARS = 400_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _fixed(x: np.ndarray) -> np.ndarray:
+    """Running sums of x from 0 on, as whole numbers, so that sums of a part do not depend on what lies before it."""
+    return np.concatenate([[0], np.cumsum(np.rint(x * UNIT).astype(np.int64))])
+
+
+def _running(x: np.ndarray, since: np.ndarray) -> np.ndarray:
+    """For each item the sum from the item number since up to and with it."""
+    total = _fixed(x)
+    return (total[1:] - total[since]) / UNIT
+
+
 def _uniform(x: np.ndarray) -> np.ndarray:
     """Numbers in (0, 1) from hashes."""
     return ((mix(x) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
@@ -58,6 +73,9 @@ class Vocabulary:
         self.bytes = [p.replace(SPACE, " ").encode() for p in pieces]
         for b, i in enumerate(self.byte_ids.tolist()):
             self.bytes[i] = bytes([b])
+        self.sizes = np.array([len(x) for x in self.bytes], dtype=np.int64)
+        self.places = np.cumsum(self.sizes) - self.sizes
+        self.content = np.frombuffer(b"".join(self.bytes), dtype=np.uint8)
         hashes = np.array([self._hash(pieces[i]) for i in plain], dtype=np.uint64)
         order = np.argsort(hashes)
         self.hashes, self.ids = hashes[order], np.array(plain, dtype=np.int64)[order]
@@ -94,9 +112,11 @@ def vocabulary(path: str) -> Vocabulary:
 
 def words(text: str) -> list[str]:
     """The text as the model sees it, cut before each run of spaces."""
-    marked = (" " + text).replace(" ", SPACE)
+    parts = text.replace(SPACE, " ").split(" ")
+    if "" not in parts:
+        return [SPACE + part for part in parts]
     out, first = [], 0
-    for part in marked.split(SPACE)[1:]:
+    for part in parts:
         first += 1
         if part:
             out.append(SPACE * first + part)
@@ -157,12 +177,10 @@ class Lattice:
         log = weight + rest[tail] - rest[head]
         order = np.lexsort((piece, -log, head))
         self.tail, self.piece, self.log = tail[order], piece[order], log[order]
-        head = head[order]
+        self.head = head = head[order]
         self.start = np.searchsorted(head, np.arange(places + 1))
         p = np.exp(self.log)
-        total = np.cumsum(p)
-        before = np.where(self.start[head] > 0, total[np.maximum(self.start[head] - 1, 0)], 0.0)
-        self.upto = np.maximum(total - before, p)
+        self.upto = np.maximum(_running(p, self.start[head]), p)
         self.upto[self.start[1:][np.diff(self.start) > 0] - 1] = 2.0  # rounding leaves no gap at the end
         self.end = self.base + lengths
 
@@ -181,24 +199,25 @@ class Lattice:
         return edge
 
 
-def _paths(lattice: Lattice, word: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A drawn path for each word: edges, the word's number in the list, and the step; in order of word and step."""
-    here, alive = lattice.base[word], np.arange(len(word))
-    end, step, edges, owners = lattice.end[word], 0, [], []
+def _walk(lattice: Lattice, here: np.ndarray, end: np.ndarray, seed: np.ndarray, step: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """A free path from each place to its end, all in lockstep: the edges of one after the other, and how many each has."""
+    here, counts, parts = here.copy(), np.zeros(len(here), dtype=np.int64), []
+    alive = np.flatnonzero(here < end)
     while len(alive):
         edge = lattice.draw(here[alive], _uniform(seed[alive] + np.uint64(step) * _M2))
-        edges.append(edge)
-        owners.append(alive)
+        parts.append((alive, edge))
+        counts[alive] += 1
         here[alive] = lattice.tail[edge]
         alive = alive[here[alive] < end[alive]]
         step += 1
-    if not edges:
-        none = np.zeros(0, dtype=np.int64)
-        return none, none, none
-    owner = np.concatenate(owners)
-    steps = np.repeat(np.arange(len(owners)), [len(o) for o in owners])
-    order = np.lexsort((steps, owner))
-    return np.concatenate(edges)[order], owner[order], steps[order]
+    start, out = np.cumsum(counts) - counts, np.empty(int(counts.sum()), dtype=np.int64)
+    for number, (own, edge) in enumerate(parts):
+        out[start[own] + number] = edge
+    return out, counts
+
+
+def _offsets(counts: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(counts)])
 
 
 def _cut_gumbel(location: np.ndarray, top: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -207,132 +226,203 @@ def _cut_gumbel(location: np.ndarray, top: np.ndarray, u: np.ndarray) -> np.ndar
         return -np.logaddexp(-top, np.log(-np.log(u)) - location)
 
 
-class Sample:
-    """One segmentation of one text: edges in order, what they sum up to, and its perturbed value."""
+class Round:
+    """The samples that one round has drawn, of several texts, one text after the other.
 
-    __slots__ = ("banned", "branch", "edges", "frontier", "log", "starts", "value")
+    texts: their numbers; edges and frontier (the perturbed value of what was left beside each edge) with offsets; starts: where
+    each word begins, absolute in edges, with word_offsets; branch (within the text's edges), banned edges there, -1 for none.
+    """
 
-    def __init__(self, edges, starts, value, branch, banned, log, frontier):
-        self.edges, self.starts, self.value, self.branch, self.banned, self.log, self.frontier = edges, starts, value, branch, banned, log, frontier
+    __slots__ = ("banned", "branch", "edges", "frontier", "log", "offsets", "starts", "texts", "value", "word_offsets")
 
-
-def sample_texts(vocab: Vocabulary, texts: list[str | None], seeds: np.ndarray, k: int = SAMPLES, alpha: float = ALPHA):
-    """For each text at most k samples (ids, log-probability, perturbed value, inclusion score), best value first."""
-    units: dict[str, int] = {}
-    own = [np.array([units.setdefault(w, len(units)) for w in words(t)], dtype=np.int64) if t else np.zeros(0, dtype=np.int64) for t in texts]
-    empty = (np.zeros(0, dtype=np.int64), 0.0, 0.0, 1.0)
-    if not units:
-        return [[empty] for _ in texts]
-    lattice = Lattice(vocab, list(units), alpha)
-    samples: list[list[Sample]] = [[] for _ in texts]
-    tops = -np.log(-np.log(_uniform(seeds ^ _M1)))
-    for number in range(k):
-        # where each text's next path leaves the old ones: the frontier's highest node
-        plans = []
-        for i, w in enumerate(own):
-            if not len(w) or len(samples[i]) < number:
-                continue
-            if number == 0:
-                plans.append((i, None, 0, tops[i]))
-                continue
-            best = max(range(number), key=lambda s: samples[i][s].frontier.max())
-            at = int(samples[i][best].frontier.argmax())
-            value = float(samples[i][best].frontier[at])
-            if value > -np.inf:
-                plans.append((i, best, at, value))
-        heads, rest_words, rest_seeds, rest_sizes, bans, branches = [], [], [], [], [], []
-        for i, best, at, _ in plans:
-            row = seeds[i] + np.uint64(number + 1) * np.uint64(0xD1342543DE82EF95)
-            with np.errstate(over="ignore"):
-                head, first, ban = np.zeros(0, dtype=np.int64), 0, ()
-                if best is not None:
-                    old = samples[i][best]
-                    first = int(np.searchsorted(old.starts, at, side="right"))  # the word after the branch
-                    ban = (*(old.banned if at == old.branch else ()), int(old.edges[at]))
-                    head = np.concatenate([old.edges[:at], _redraw(lattice, int(own[i][first - 1]), old, at, ban, row)])
-                heads.append(head)
-                bans.append(ban)
-                branches.append((at, first))
-                rest_words.append(own[i][first:])
-                rest_seeds.append(row + np.arange(first, len(own[i])).astype(np.uint64) * _M1)
-                rest_sizes.append(len(own[i]) - first)
-        if not plans:
-            break
-        edges, owner, _ = _paths(lattice, np.concatenate(rest_words), np.concatenate(rest_seeds))
-        limits = np.concatenate([[0], np.cumsum(rest_sizes)])
-        cuts = np.searchsorted(owner, limits)
-        for j, (i, best, at, value) in enumerate(plans):
-            a, b = cuts[j], cuts[j + 1]
-            path = np.concatenate([heads[j], edges[a:b]])
-            counts = np.bincount(owner[a:b] - limits[j], minlength=rest_sizes[j])
-            fresh = len(heads[j]) + np.cumsum(counts) - counts
-            starts = fresh if best is None else np.concatenate([samples[i][best].starts[: branches[j][1]], fresh])
-            log = lattice.log[path]
-            before = np.concatenate([[0.0], np.cumsum(log)[:-1]])
-            taken = np.exp(log)
-            if bans[j]:
-                taken[at] += np.exp(lattice.log[list(bans[j])]).sum()
-            # the other edges of each place from the branch on
-            with np.errstate(divide="ignore"):
-                location = before[at:] + np.log(np.maximum(1 - taken[at:], 0))
-            here = lattice.start[_heads(lattice, path[at:])]
-            degree = lattice.start[_heads(lattice, path[at:]) + 1] - here
-            used = 1 + (np.arange(len(path) - at) == 0) * len(bans[j])
-            location[degree <= used] = -np.inf
-            row = seeds[i] + np.uint64(number + 1) * np.uint64(0x9FB21C651E98DF25)
-            u = _uniform(row + np.arange(at, len(path)).astype(np.uint64) * _BASE)
-            frontier = np.full(len(path), -np.inf)
-            frontier[at:] = np.where(location > -np.inf, _cut_gumbel(location, np.float64(value), u), -np.inf)
-            samples[i].append(Sample(path, starts, value, at, bans[j], float(log.sum()), frontier))
-            if best is not None:
-                samples[i][best].frontier[at] = -np.inf
-    out = []
-    for found in samples:
-        if not found:
-            out.append([empty])
-            continue
-        kappa = max(float(s.frontier.max()) for s in found)
-        out.append([(_ids(vocab, lattice, s.edges), s.log, s.value, 1.0 if kappa == -np.inf else float(-np.expm1(-np.exp(min(s.log - kappa, 700.0))))) for s in found])
-    return out
-
-
-def _heads(lattice: Lattice, edges: np.ndarray) -> np.ndarray:
-    """The place that an edge leaves."""
-    return np.searchsorted(lattice.start, edges, side="right") - 1
+    def highest(self, count: int) -> np.ndarray:
+        """The highest value on the frontier of each of count texts; -inf without a sample."""
+        out = np.full(count, -np.inf)
+        out[self.texts] = np.maximum.reduceat(self.frontier, self.offsets[:-1])
+        return out
 
 
-def _redraw(lattice: Lattice, word: int, old: Sample, at: int, banned: tuple, row: np.uint64) -> np.ndarray:
-    """From the branch to the end of its word: first an edge other than the banned ones, then a free path."""
-    here = int(_heads(lattice, old.edges[at : at + 1])[0])
-    choices = [e for e in range(int(lattice.start[here]), int(lattice.start[here + 1])) if e not in banned]
-    p = np.exp(lattice.log[choices])
-    with np.errstate(over="ignore"):
-        u = float(_uniform(np.array([row ^ _M2]))[0])
-    total = np.cumsum(p)
-    out = [choices[min(int(np.searchsorted(total, u * total[-1])), len(choices) - 1)]]
-    here, step = int(lattice.tail[out[-1]]), 0
-    while here < lattice.end[word]:
-        step += 1
-        with np.errstate(over="ignore"):
-            u = _uniform(np.array([(row ^ _M2) + np.uint64(step) * _M2]))
-        out.append(int(lattice.draw(np.array([here]), u)[0]))
-        here = int(lattice.tail[out[-1]])
-    return np.array(out, dtype=np.int64)
+def _other_edges(lattice: Lattice, edge: np.ndarray, banned: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """An edge beside each given one, from the same place, that is not banned."""
+    here = lattice.head[edge]
+    counts = lattice.start[here + 1] - lattice.start[here]
+    flat, owner = gather(lattice.start[here], counts), np.repeat(np.arange(len(edge)), counts)
+    free = (flat[:, None] != banned[owner]).all(1)
+    p = np.where(free, np.exp(lattice.log[flat]), 0.0)
+    first = _offsets(counts)[:-1]
+    upto = _running(p, first[owner])
+    total = upto[first + counts - 1]
+    pick = first + np.bincount(owner, (upto < (u * total)[owner]).astype(np.float64), minlength=len(edge)).astype(np.int64)
+    last = np.maximum.reduceat(np.where(free, np.arange(len(flat)), -1), first)
+    pick = np.minimum(pick, last)
+    # rounding may stop at a banned edge: go on to the next free one
+    after = np.minimum.accumulate(np.where(free, np.arange(len(flat)), len(flat))[::-1])[::-1]
+    return flat[after[pick]]
+
+
+def _draw_rounds(lattice: Lattice, own: np.ndarray, word_offsets: np.ndarray, seeds: np.ndarray, k: int) -> list[Round]:
+    """The samples of all texts, a round for each rank. own: the words of all texts, of which each has at least one."""
+    count, rounds = len(word_offsets) - 1, []
+    sizes = np.diff(word_offsets)
+    texts, value = np.arange(count), -np.log(-np.log(_uniform(seeds ^ _M1)))
+    for number in range(k):
+        made = Round()
+        if number:
+            # where each text's next path leaves the old ones: the frontier's highest node
+            tops = np.stack([r.highest(count) for r in rounds])
+            best, value = tops.argmax(0), tops.max(0)
+            texts = np.flatnonzero(value > -np.inf)
+            if not len(texts):
+                break
+            best, value = best[texts], value[texts]
+            begin, at, words_at, banned = (np.zeros(len(texts), dtype=np.int64) for _ in range(4))
+            banned = np.full((len(texts), number), -1, dtype=np.int64)
+            base, word_base = _offsets([len(r.edges) for r in rounds]), _offsets([len(r.starts) for r in rounds])
+            all_edges = np.concatenate([r.edges for r in rounds])
+            all_starts = np.concatenate([r.starts + b for r, b in zip(rounds, base[:-1], strict=True)])
+            for which, r in enumerate(rounds):
+                mine = np.flatnonzero(best == which)
+                if not len(mine):
+                    continue
+                slot = np.searchsorted(r.texts, texts[mine])
+                top = np.full(len(r.texts), np.inf)
+                top[slot] = value[mine]
+                hits = np.flatnonzero(r.frontier == np.repeat(top, np.diff(r.offsets)))
+                owner, first = np.unique(np.searchsorted(r.offsets, hits, side="right") - 1, return_index=True)
+                place = np.empty(len(r.texts), dtype=np.int64)
+                place[owner] = hits[first]
+                place = place[slot]
+                r.frontier[place] = -np.inf
+                begin[mine], at[mine], words_at[mine] = base[which] + r.offsets[slot], place - r.offsets[slot], word_base[which] + r.word_offsets[slot]
+                again = at[mine] == r.branch[slot]
+                banned[mine[again], : r.banned.shape[1]] = r.banned[slot[again]]
+            left = all_edges[begin + at]
+            banned[:, number - 1] = left
+            first_word = np.searchsorted(all_starts, begin + at, side="right") - words_at  # the word after the branch
+        else:
+            at = first_word = np.zeros(count, dtype=np.int64)
+            banned = np.zeros((count, 0), dtype=np.int64)
+        row = seeds[texts] + np.uint64(number + 1) * np.uint64(0xD1342543DE82EF95)
+        rest = sizes[texts] - first_word
+        index = gather(word_offsets[texts] + first_word, rest)
+        holder = np.repeat(np.arange(len(texts)), rest)
+        inside = (index - word_offsets[texts][holder]).astype(np.uint64)
+        free, steps = _walk(lattice, lattice.base[own[index]], lattice.end[own[index]], row[holder] + inside * _M1)
+        free_counts = np.bincount(holder, steps, minlength=len(texts)).astype(np.int64)
+        if number:
+            turn = _other_edges(lattice, left, banned, _uniform(row ^ _M2))
+            word = own[word_offsets[texts] + first_word - 1]
+            tail, tail_counts = _walk(lattice, lattice.tail[turn], lattice.end[word], row ^ _M2, 1)
+            lead = at + 1 + tail_counts
+        else:
+            lead = np.zeros(count, dtype=np.int64)
+        lengths = lead + free_counts
+        made.texts, made.offsets, made.branch, made.banned, made.value = texts, _offsets(lengths), at, banned, value
+        start = made.offsets[:-1]
+        edges = np.empty(int(lengths.sum()), dtype=np.int64)
+        edges[gather(start + lead, free_counts)] = free
+        fresh = np.repeat(start + lead - _offsets(free_counts)[:-1], rest) + np.cumsum(steps) - steps
+        if number:
+            edges[gather(start, at)] = all_edges[gather(begin, at)]
+            edges[start + at] = turn
+            edges[gather(start + at + 1, tail_counts)] = tail
+            made.word_offsets = _offsets(sizes[texts])
+            made.starts = np.empty(int(made.word_offsets[-1]), dtype=np.int64)
+            made.starts[gather(made.word_offsets[:-1], first_word)] = all_starts[gather(words_at, first_word)] + np.repeat(start - begin, first_word)
+            made.starts[gather(made.word_offsets[:-1] + first_word, rest)] = fresh
+        else:
+            made.word_offsets, made.starts = word_offsets, fresh
+        made.edges = edges
+        # the other edges of each place from the branch on
+        log = lattice.log[edges]
+        summed = _fixed(log)
+        made.log = np.diff(summed[made.offsets]) / UNIT
+        owner = np.repeat(np.arange(len(texts)), lengths)
+        local = np.arange(len(edges)) - start[owner]
+        taken = np.exp(log)
+        if number:
+            taken[start + at] += np.where(banned >= 0, np.exp(lattice.log[np.maximum(banned, 0)]), 0.0).sum(1)
+        with np.errstate(divide="ignore"):
+            location = (summed[:-1] - summed[start][owner]) / UNIT + np.log(np.maximum(1 - taken, 0))
+        here = lattice.head[edges]
+        degree = lattice.start[here + 1] - lattice.start[here]
+        used = np.ones(len(edges), dtype=np.int64)
+        used[start + at] += (banned >= 0).sum(1)
+        open_places = np.flatnonzero((local >= at[owner]) & (degree > used) & (location > -np.inf))
+        mark = seeds[texts] + np.uint64(number + 1) * np.uint64(0x9FB21C651E98DF25)
+        holder = owner[open_places]
+        u = _uniform(mark[holder] + local[open_places].astype(np.uint64) * _BASE)
+        made.frontier = np.full(len(edges), -np.inf)
+        made.frontier[open_places] = _cut_gumbel(location[open_places], value[holder], u)
+        rounds.append(made)
+    return rounds
+
+
+class Samples:
+    """Samples of a batch of texts, in the order of text and rank: text, rank, log, value, inclusion, and ids with offsets."""
+
+    def __init__(self, vocab: Vocabulary, texts: list[str | None], seeds: np.ndarray, k: int, alpha: float):
+        units: dict[str, int] = {}
+        own = [[units.setdefault(w, len(units)) for w in words(t)] if t else [] for t in texts]
+        sizes = np.array([len(w) for w in own], dtype=np.int64)
+        full = np.flatnonzero(sizes)
+        empty = np.flatnonzero(sizes == 0)
+        rounds: list[Round] = []
+        if len(full):
+            lattice = Lattice(vocab, list(units), alpha)
+            flat = np.fromiter((w for ws in own for w in ws), dtype=np.int64, count=int(sizes.sum()))
+            rounds = _draw_rounds(lattice, flat, _offsets(sizes[full]), seeds[full], k)
+        kappa = np.max([r.highest(len(full)) for r in rounds], axis=0) if rounds else np.zeros(0)
+        text = np.concatenate([empty, *(full[r.texts] for r in rounds)])
+        rank = np.concatenate([np.ones(len(empty), dtype=np.int64), *(np.full(len(r.texts), i + 1) for i, r in enumerate(rounds))])
+        log = np.concatenate([np.zeros(len(empty)), *(r.log for r in rounds)])
+        value = np.concatenate([np.zeros(len(empty)), *(r.value for r in rounds)])
+        limit = np.concatenate([np.full(len(empty), -np.inf), *(kappa[r.texts] for r in rounds)])
+        with np.errstate(invalid="ignore", over="ignore"):
+            inclusion = np.where(limit == -np.inf, 1.0, -np.expm1(-np.exp(np.minimum(log - limit, 700.0))))
+        ids, counts = [np.zeros(0, dtype=np.int64)], [np.zeros(len(empty), dtype=np.int64)]
+        for r in rounds:
+            own_ids, lengths = _ids(vocab, lattice.piece[r.edges])
+            ids.append(own_ids)
+            counts.append(np.diff(_offsets(lengths)[r.offsets]))
+        ids, counts = np.concatenate(ids), np.concatenate(counts)
+        order = np.lexsort((rank, text))
+        starts = _offsets(counts)[:-1]
+        self.text, self.rank, self.log, self.value, self.inclusion = text[order], rank[order], log[order], value[order], inclusion[order]
+        self.ids, self.offsets = ids[gather(starts[order], counts[order])], _offsets(counts[order])
+
+
+def _ids(vocab: Vocabulary, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of pieces, and how many each has: characters without a piece become the ids of their bytes."""
+    odd = np.flatnonzero(pieces < 0)
+    counts = np.ones(len(pieces), dtype=np.int64)
+    if not len(odd):
+        return pieces, counts
+    spelled = [vocab.byte_ids[list(chr(-1 - i).encode("utf-8", "replace"))] for i in pieces[odd].tolist()]
+    counts[odd] = [len(x) for x in spelled]
+    out = np.empty(int(counts.sum()), dtype=np.int64)
+    start = _offsets(counts)[:-1]
+    plain = np.flatnonzero(pieces >= 0)
+    out[start[plain]] = pieces[plain]
+    out[gather(start[odd], counts[odd])] = np.concatenate(spelled)
+    return out, counts
 
 
-def _ids(vocab: Vocabulary, lattice: Lattice, edges: np.ndarray) -> np.ndarray:
-    ids = lattice.piece[edges]
-    if (ids >= 0).all():
-        return ids
-    out: list[int] = []
-    for i in ids.tolist():
-        out += [i] if i >= 0 else vocab.byte_ids[list(chr(-1 - i).encode("utf-8", "replace"))].tolist()
-    return np.array(out, dtype=np.int64)
+def sample_texts(vocab: Vocabulary, texts: list[str | None], seeds: np.ndarray, k: int = SAMPLES, alpha: float = ALPHA):
+    """For each text at most k samples (ids, log-probability, perturbed value, inclusion score), best value first."""
+    found = Samples(vocab, texts, seeds, k, alpha)
+    out: list[list[tuple]] = [[] for _ in texts]
+    for i, row in enumerate(zip(found.text.tolist(), found.log.tolist(), found.value.tolist(), found.inclusion.tolist(), strict=True)):
+        out[row[0]].append((found.ids[found.offsets[i] : found.offsets[i + 1]], *row[1:]))
+    return out
 
 
-def decode(vocab: Vocabulary, ids) -> str:
-    """The text of ids: the first space belongs to the model, byte pieces join to characters."""
-    return b"".join(map(vocab.bytes.__getitem__, ids)).decode("utf-8", "replace")[1:]
+def decode_all(vocab: Vocabulary, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """The texts of ids between offsets, as UTF-8: the first space belongs to the model, byte pieces join to characters."""
+    counts = vocab.sizes[ids]
+    whole = vocab.content[gather(vocab.places[ids], counts)].tobytes()
+    ends = _offsets(counts)[offsets].tolist()
+    return [whole[a + 1 : b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def sample(df: DataFrame, path: str, keys: list[str], text: str = "text", k: int = SAMPLES, alpha: float = ALPHA, seed: int = 0, keep_ids: bool = False) -> DataFrame:
@@ -343,10 +433,10 @@ def sample(df: DataFrame, path: str, keys: list[str], text: str = "text", k: int
     small_batches(df.sparkSession, 512)
     own = [("rank", T.IntegerType()), ("n_pieces", T.LongType()), ("ids_crc32", T.LongType()), ("log_prob", T.DoubleType()), ("perturbed", T.DoubleType()), ("inclusion", T.DoubleType()), ("round_trip", T.BooleanType())]
     own += [("ids", T.ArrayType(T.IntegerType()))] if keep_ids else []
-    fields = [f for f in df.schema.fields if f.name in keys]
+    fields = [f for f in df.schema.fields if f.name in keys and f.name not in (n for n, _ in own)]
     names = [f.name for f in fields]
     schema = T.StructType([*fields, *(T.StructField(n, t) for n, t in own)])
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_(), pa.list_(pa.int32())]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_()]
 
     def run(batches):
         vocab = vocabulary(path)
@@ -357,17 +447,17 @@ def sample(df: DataFrame, path: str, keys: list[str], text: str = "text", k: int
                 size += len(texts[i] or "")
                 if size < BATCH_CHARS and i < len(texts) - 1:
                     continue
-                rows, made = [], []
                 with np.errstate(over="ignore"):
-                    found = sample_texts(vocab, texts[first : i + 1], seeds[first : i + 1], k, alpha)
-                for j, samples in enumerate(found):
-                    t = (texts[first + j] or "").replace(SPACE, " ")
-                    for rank, (ids, log, value, inclusion) in enumerate(samples, 1):
-                        rows.append(first + j)
-                        same = decode(vocab, ids.tolist()) == t
-                        made.append((rank, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), log, value, inclusion, same, *([ids.tolist()] if keep_ids else [])))
-                taken = batch.take(pa.array(rows, pa.int64()))
-                columns = [taken.column(n) for n in names] + [pa.array(c, kind) for c, kind in zip(zip(*made, strict=True), kinds, strict=False)]
+                    found = Samples(vocab, texts[first : i + 1], seeds[first : i + 1], k, alpha)
+                packed, ends = found.ids.astype("<u4").tobytes(), (4 * found.offsets).tolist()
+                crc = [zlib.crc32(packed[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                source = [(t or "").encode("utf-8", "replace") for t in texts[first : i + 1]]
+                same = [source[t] == d for t, d in zip(found.text.tolist(), decode_all(vocab, found.ids, found.offsets), strict=True)]
+                taken = batch.take(pa.array(first + found.text, pa.int64()))
+                made = [found.rank, np.diff(found.offsets), crc, found.log, found.value, found.inclusion, same]
+                columns = [taken.column(n) for n in names] + [pa.array(c, kind) for c, kind in zip(made, kinds, strict=False)]
+                if keep_ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(found.offsets, pa.int32()), pa.array(found.ids, pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
                 first, size = i + 1, 0
 
