@@ -100,8 +100,8 @@ def _lean_memory() -> None:
         pa.set_memory_pool(pa.system_memory_pool())
         try:
             _libc = ctypes.CDLL(None)
-            _libc.mallopt(_MMAP_THRESHOLD, 4 << 20)
-            _libc.mallopt(_TRIM_THRESHOLD, 8 << 20)
+            _libc.mallopt(_MMAP_THRESHOLD, 16 << 20)
+            _libc.mallopt(_TRIM_THRESHOLD, 64 << 20)
             _libc.malloc_trim.argtypes = [ctypes.c_size_t]
         except (OSError, AttributeError):  # another C library: its own rules hold
             _libc = False

@@ -196,7 +196,7 @@ def _batch_sets(batch, text: str):
     first, size = 0, 0
     for i, t in enumerate(texts):
         size += len(t or "")
-        if size > 1_000_000 or i == len(texts) - 1:
+        if size > 500_000 or i == len(texts) - 1:
             for j, own in zip(range(first, i + 1), shingle_sets(texts[first : i + 1]), strict=True):
                 yield j, own
             first, size = i + 1, 0

@@ -10,9 +10,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from intervalis.llm import flac_media, html_extract, language_id, sp_sampling, toxicity, warc_index
-from intervalis.llm.common import table
+from intervalis.llm.common import crc_remainder, table
 from intervalis.llm.queries import QUERIES, piece_model
 
 from .helpers import flac_samples
@@ -63,6 +64,29 @@ def test_toxicity_without_labels(spark):
 
 @needs_data
 def test_toxicity_held_out(spark):
+    """Precision and recall on labelled texts that were not learned from, also with every telling word misspelled."""
+    large = DATA.replace("sf0.01", "sf0.1")
+    docs, labels = table(spark, large, "documents"), table(spark, large, "labels")
+    model = toxicity.fit(docs, labels)
+    held = crc_remainder(F.col("doc_id"), 4) == 2
+    rows = docs.join(labels.where("toxic IN (0, 1)"), "doc_id").where(held).select("text", "toxic").collect()
+    toxic = np.array([r.toxic for r in rows])
+    found = model.scores([r.text for r in rows], {}) >= toxicity.THRESHOLD
+    assert (found & (toxic == 1)).sum() >= 0.85 * found.sum() and (found & (toxic == 1)).sum() >= 0.85 * toxic.sum()
+    known = {w for r in docs.where(~held).select("text").collect() for w in (r.text or "").lower().split()}
+    texts = []
+    for r in rows:
+        if r.toxic:
+            words = (r.text or "").lower().split()
+            wrong = [w[:-2] + w[-3] + w[-2:] if len(w) > 3 and logit > 20 else w for w, logit in zip(words, model.word_logits(words), strict=True)]
+            if wrong != words and all(w in known or w not in words for w in wrong if w not in words):
+                texts.append(" ".join(wrong))
+    unseen = model.scores(texts, {}) >= toxicity.THRESHOLD
+    assert len(texts) > 50 and unseen.mean() > 0.6
+
+
+@needs_data
+def test_toxicity_query(spark):
     rows = {r.doc_id: r for r in QUERIES["op6_toxicity"](spark, DATA).collect()}
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i, r in rows.items())
     labels = {r.doc_id: r.toxic for r in table(spark, DATA, "labels").collect()}
@@ -70,6 +94,54 @@ def test_toxicity_held_out(spark):
     assert sum(flagged) > 0.5 * len(flagged) and sum(flagged) >= 8
 
 
+def test_toxicity_score_against_brute_force(toxic_model):
+    """The score of a text, n-gram by n-gram and segment by segment."""
+
+    def logit(word):
+        marked, rows = f"<{word}>", []
+        for n in toxicity.GRAMS:
+            for i in range(len(marked) - n + 1):
+                h = 0
+                for step, c in enumerate(marked[i : i + n], 1):
+                    h = (h * 0x9E3779B97F4A7C15 + ord(c) + step) % 2**64
+                rows.append(h)
+        rows.append(toxicity.hash_word(word))
+        buckets = [((h ^ (h >> 29)) * 0xBF58476D1CE4E5B9) % 2**64 >> 46 for h in rows]
+        return sum(float(toxic_model.weights[b]) for b in buckets) / len(buckets)
+
+    rng = random.Random(4)
+    for text in ("zxwidiot", "", noisy(rng, "quorpscum", 40), noisy(rng, None, 16), noisy(rng, "zxwidiot", 100)):
+        logits = [np.float32(logit(w)) for w in text.split()]
+        n = len(logits)
+        starts = [0] if n <= 16 else [*range(0, n - 16, 8), n - 16]
+        means = [float(np.mean(logits[a : a + 16], dtype=np.float64)) if n else 0.0 for a in starts]
+        odds = sum(math.exp(m) for m in means) / (2 if len(means) > 1 else 1)
+        z = toxic_model.scale[0] * (math.log(odds) + toxic_model.bias) + toxic_model.scale[1]
+        assert abs(toxic_model.scores([text], {})[0] - 1 / (1 + math.exp(-z))) < 1e-4
+
+
+def test_language_prediction_against_brute_force():
+    """Windows, filters, pooling and softmax, written out for one text."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abc ") for _ in range(600)) for _ in range(6)] + ["".join(rng.choice("xyz ") for _ in range(600)) for _ in range(6)]
+    network = language_id.train(texts, ["A"] * 6 + ["X"] * 6, steps=60)
+    text = "".join(rng.choice("abcxyz é") for _ in range(700))
+    data, total = text.encode(), np.zeros(2)
+    for at in range(0, len(data), language_id.WINDOW):
+        part = data[at : at + language_id.WINDOW]
+        row = list(part) + [0] * (language_id.WINDOW - len(part))
+        pooled = []
+        for width, kernel in zip(language_id.WIDTHS, network.filters, strict=True):
+            responses = [np.concatenate([network.embed[b] for b in row[i : i + width]]) @ kernel for i in range(language_id.WINDOW - width + 1)]
+            pooled.append(np.maximum(np.max(responses, axis=0), 0))
+        z = np.concatenate(pooled) @ network.soft + network.bias
+        total += len(part) * (z - np.log(np.exp(z).sum()))
+    p = np.exp(total / len(data))
+    p /= p.sum()
+    (name,), (score,) = language_id.predict(network, [text])
+    assert name == network.languages[int(p.argmax())] and abs(score - p.max()) < 1e-4
+
+
 def test_learned_labels_avoid_the_held_out_fold(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(toxicity, "train", lambda texts, labels: seen.extend(texts))
