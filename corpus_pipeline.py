@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from intervalis.llm import ngram_join, packing, quality_rules, suffix_dedup, toxicity
-from intervalis.llm.common import materialize, table
+from intervalis.llm.common import discard, materialize, table
 from intervalis.llm.queries import word_tokenizer
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -29,14 +29,16 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest doc_id, and once if its row is repeated.
+    """One document of each group of near copies: the one with the smallest doc_id, and once if its row is repeated.
 
-    Rows without a doc_id are not compared by it and stay.
+    Rows without a doc_id are compared too, by a key from their text that is larger than any doc_id, so they stay only where no
+    row with an id is like them. Rows that share an id but not their text stay or go together.
     """
-    first = ngram_join.link(docs).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").select(*COLUMNS)
-    kept = named.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*COLUMNS).unionAll(docs.where("doc_id IS NULL").select(*COLUMNS))
+    key = F.coalesce("doc_id", F.shiftrightunsigned(F.xxhash64("text"), 2).bitwiseOR(F.lit(1 << 62)))
+    keyed = docs.select(*COLUMNS, key.alias("_key"))
+    first = ngram_join.link(keyed, "_key").where("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
+    kept = keyed.join(first, "_key", "left_semi").withColumn("_text", F.xxhash64("text"))
+    return kept.dropDuplicates(["_key", "_text"]).select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,5 +67,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(before)
     return docs
