@@ -11,7 +11,8 @@ Each class is first compared with one that it shares a signature with, the one w
 one component then, nothing else is compared. Of the others, each class is compared with the nearest across components; and in
 the end all pairs that are still apart. Bitmaps of a bit or two for each shingle rule most pairs out; each that they leave is
 settled by intersecting whole sets.
-Signatures travel as packed arrays, a few rows for millions of entries.
+Signatures travel as packed arrays, a few rows for millions of entries. A long list of classes with one signature is first
+dealt into parts that find their leaders apart; the leaders meet again as a list.
 
 Which shingles are frequent comes from counts over all documents: each task counts what it reads and reports the shingles it
 saw in ``LOCAL_COUNT`` documents or more; their sums, thresholded to at most ``FREQUENT_MAX`` entries, are broadcast (that
@@ -20,7 +21,8 @@ many times 12 bytes). The choice changes only the order, and so the cost, never
 Defined results: a null text or one without words has an empty set, is linked with nothing and keeps its own doc_id as
 component. With fewer words than a shingle has, the whole sequence is the one shingle. Repeated rows get the same result each.
 Rows of a null doc_id take part through their text and get their component's smallest doc_id, null if there is none. doc_id
-is a key: apart from repeated rows, it names one text. Other columns are dropped. An empty table gives an empty result.
+is a key: apart from repeated rows, it names one text. A very long text is hashed whole and has as many shingles as it has.
+Other columns are dropped. An empty table gives an empty result.
 """
 
 from __future__ import annotations

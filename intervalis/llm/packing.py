@@ -4,9 +4,11 @@ Each document becomes token ids and an end id. A document longer than a sequence
 of it, and each shorter document, is one piece. Pieces are dealt by a hash into shards of about ``SHARD_DOCS`` documents. In
 a shard they are placed by length, longest first, each into the open window with the least room that still holds it; a
 segment tree over the remaining capacities finds that window. Shards do not depend on each other, so the work is linear in
-the data, each task's memory is bounded, and only a shard's last windows stay underfull.
+the data, each task's memory is bounded, and only a shard's last windows stay underfull. Pieces that are equal in all columns
+also have a running number, so that many equal rows do not meet in one shard.
 
-Defined results: null and empty texts are the end id alone. Repeated rows are packed once each. A null doc_id is packed like
+Defined results: null and empty texts are the end id alone. A very long text is encoded whole and cut into many pieces.
+Repeated rows are packed once each. A null doc_id is packed like
 any other and comes back null. Ties of length are broken by doc_id, start and checksum. An empty table has no sequences.
 Other columns of the input are dropped.
 """

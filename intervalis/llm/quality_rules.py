@@ -4,7 +4,8 @@ No user function runs. Three projections follow one another only so that the wor
 counts are computed once each; Catalyst keeps them in one stage without a shuffle.
 
 Defined results: a null text has no words, no lines and no symbols, so every count is 0 and base_failed is true. An empty
-text is the same. Repeated rows are judged one by one. Other columns of the input are kept and never read, unless their
+text is the same. A very long text is counted whole; from 2^24 windows on a wider form of the sort keys is used. Repeated rows
+are judged one by one. Other columns of the input are kept and never read, unless their
 names clash with a result's: then the result replaces them. An empty table gives an empty result.
 """
 
