@@ -6,6 +6,7 @@ import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -112,11 +113,26 @@ def _return_memory() -> None:
         _libc.malloc_trim(0)
 
 
+_forget: dict[str, Callable[[], None]] = {}
+
+
+def forget_after(module: str, clear: Callable[[], None]) -> None:
+    """What a module remembers in a worker is cleared once a task of another module begins there."""
+    _forget[module] = clear
+
+
+def _forget_others(module: str) -> None:
+    for name, clear in _forget.items():
+        if name != module:
+            clear()
+
+
 def lean(run):
     """A function for mapInArrow whose worker gives free memory back to the system when a task ends."""
 
     def task(batches):
         _lean_memory()
+        _forget_others(run.__module__)
         try:
             yield from run(batches)
         finally:
@@ -130,6 +146,7 @@ def lean_group(run):
 
     def group(key, rows):
         _lean_memory()
+        _forget_others(run.__module__)
         try:
             return run(key, rows)
         finally:

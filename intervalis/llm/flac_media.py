@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import lean, small_batches
+from .common import forget_after, lean, small_batches
 
 BLOCK = 576
 FRAMES = 4096
@@ -76,6 +76,7 @@ def _number(n: int) -> bytes:
 
 
 _HEADERS: dict[int, bytes] = {}
+forget_after(__name__, _HEADERS.clear)
 
 
 def _header(n: int) -> bytes:

@@ -23,14 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lean, lean_group, small_batches
+from .common import forget_after, lean, lean_group, small_batches
 
 CAPACITY = 4096
 SHARD_DOCS = 4096
 END_ID = 2
 #: Parts of words whose ids a worker remembers; rarer ones are encoded again.
-CACHE_PARTS = 200_000
-CHUNK_CHARS = 1_000_000
+CACHE_PARTS = 500_000
+CHUNK_CHARS = 3_000_000
 #: Rows of which a task remembers how often it has met them.
 REMEMBERED = 200_000
 
@@ -45,8 +45,11 @@ PIECES = T.StructType(
 )
 _SALT = T.StructField("salt", T.LongType())
 _caches: dict[str, tuple] = {}
+forget_after(__name__, _caches.clear)
 #: A word of Latin letters with ASCII punctuation behind it. The tokenizer cuts between the two and lowers the letters itself.
 _PLAIN = "^(?P<letters>[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)(?P<marks>[!-&(-/:-@\\[-`{-~]*)$"
+#: Parts of such words; each is a unit to the tokenizer, whatever stands beside it.
+_SIMPLE = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[!-&(-/:-@\\[-`{-~]+")
 #: Control characters that Arrow takes for white space and the tokenizer does not.
 _CONTROL = re.compile("[\x1c-\x1f]")
 
@@ -70,15 +73,28 @@ def _gather(flat: np.ndarray, lengths: np.ndarray, index: np.ndarray) -> tuple[n
     return flat[np.repeat(shift, picked) + np.arange(picked.sum())], picked
 
 
+def _joined_ids(tokenizer, parts: list[str]) -> list[bytes]:
+    """The ids of each part, from one text that has a space between them: no token reaches over a space."""
+    encoded = tokenizer.encode(" ".join(parts), add_special_tokens=False)
+    begin = np.cumsum([0, *(len(p) + 1 for p in parts)])
+    ends = np.searchsorted([a for a, _ in encoded.offsets], begin)
+    packed = np.array(encoded.ids, dtype="<u4").tobytes()
+    return [packed[4 * a : 4 * b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
 def _part_ids(parts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
     tokenizer, known = _encoder(path)
-    new = [p for p in parts if p not in known]
-    for at in range(0, len(new), 4096):  # few at a time: the tokenizer's results are large
-        some = new[at : at + 4096]
-        known.update((p, np.array(e.ids, dtype="<u4").tobytes()) for p, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True))
-    found = list(map(known.__getitem__, parts))
-    for p in new[max(0, CACHE_PARTS - len(known) + len(new)) :]:
-        del known[p]
+    found = list(map(known.get, parts))
+    missing = [i for i, f in enumerate(found) if f is None]
+    plain = [i for i in missing if _SIMPLE.fullmatch(parts[i])]
+    for some in (plain[at : at + 4096] for at in range(0, len(plain), 4096)):  # few at a time: the tokenizer's results are large
+        for i, ids in zip(some, _joined_ids(tokenizer, [parts[i] for i in some]), strict=True):
+            found[i] = ids
+    odd = [i for i in missing if found[i] is None]
+    for some in (odd[at : at + 4096] for at in range(0, len(odd), 4096)):
+        for i, e in zip(some, tokenizer.encode_batch_fast([parts[i] for i in some], add_special_tokens=False), strict=True):
+            found[i] = np.array(e.ids, dtype="<u4").tobytes()
+    known.update((parts[i], found[i]) for i in missing[: max(0, CACHE_PARTS - len(known))])
     return np.frombuffer(b"".join(found), dtype="<u4"), np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
 
 
@@ -100,7 +116,7 @@ def token_bytes(texts: list[str | None], path: str, end_id: int = END_ID) -> lis
     marks = pc.if_else(split.is_valid(), pc.struct_field(split, "marks"), pa.scalar("", pa.large_string()))
     count = len(letters)
     parts = pa.concat_arrays([letters, marks]).dictionary_encode()
-    flat, lengths = _part_ids(parts.dictionary.to_pylist(), path)
+    flat, lengths = _part_ids(parts.dictionary.to_numpy(zero_copy_only=False).tolist(), path)
     # a word is its letters and its marks
     index = parts.indices.to_numpy()
     flat, lengths = _gather(flat, lengths, np.stack([index[:count], index[count:]], 1).ravel())

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import gather, lean, mix, small_batches
+from .common import forget_after, gather, lean, mix, runs_of, small_batches
 
 SAMPLES = 3
 ALPHA = 1 / 4000
@@ -37,7 +37,7 @@ SPACE = "▁"
 LEAST_SCORE = -40_000.0
 #: Probabilities and their logs are summed up as multiples of 1 / UNIT.
 UNIT = 2.0**36
-BATCH_CHARS = 400_000
+BATCH_CHARS = 800_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -82,8 +82,12 @@ class Vocabulary:
         if (self.hashes[1:] == self.hashes[:-1]).any():
             raise ValueError("two pieces have one hash")
         self.scores = np.maximum([model.get_score(i) for i in range(count)], LEAST_SCORE)
-        self.seen = np.zeros(1 << 20, dtype=bool)
-        self.seen[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
+        slot = (self.hashes >> np.uint64(44)).astype(np.int64)  # 2^20 slots, few of them with more than one piece
+        self.first = np.full(1 << 20, len(slot), dtype=np.int32)
+        self.first[slot[::-1]] = np.arange(len(slot), dtype=np.int32)[::-1]
+        self.crowd = int(np.bincount(slot).max())
+        self.hashes = np.append(self.hashes, np.uint64(0))  # the places behind the last piece hold none
+        self.ids = np.append(self.ids, -1)
 
     @staticmethod
     def _hash(piece: str) -> int:
@@ -94,14 +98,19 @@ class Vocabulary:
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Piece ids, -1 where there is none."""
+        at = self.first[(hashes >> np.uint64(44)).astype(np.int64)]
         out = np.full(len(hashes), -1, dtype=np.int64)
-        maybe = np.flatnonzero(self.seen[(hashes >> np.uint64(44)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(self.hashes, hashes[maybe]), len(self.hashes) - 1)
-        out[maybe] = np.where(self.hashes[at] == hashes[maybe], self.ids[at], -1)
+        some = np.flatnonzero(at < len(self.ids) - 1)
+        at, wanted = at[some], hashes[some]
+        for _ in range(self.crowd):
+            hit = self.hashes[at] == wanted
+            out[some[hit]] = self.ids[at[hit]]
+            at = np.minimum(at + 1, len(self.ids) - 1)
         return out
 
 
 _vocabularies: dict[str, Vocabulary] = {}
+forget_after(__name__, _vocabularies.clear)
 
 
 def vocabulary(path: str) -> Vocabulary:
@@ -112,11 +121,8 @@ def vocabulary(path: str) -> Vocabulary:
 
 def words(text: str) -> list[str]:
     """The text as the model sees it, cut before each run of spaces."""
-    parts = text.replace(SPACE, " ").split(" ")
-    if "" not in parts:
-        return [SPACE + part for part in parts]
     out, first = [], 0
-    for part in parts:
+    for part in text.replace(SPACE, " ").split(" "):
         first += 1
         if part:
             out.append(SPACE * first + part)
@@ -126,69 +132,103 @@ def words(text: str) -> list[str]:
     return out
 
 
+def distinct_words(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct words of all texts; the words of one text after the other, as numbers; and how many each text has.
+
+    Texts whose words have single spaces between them are split by Arrow.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    plain = [(t or "").replace(SPACE, " ") for t in texts]
+    easy = np.array([bool(t) and "  " not in t and t[0] != " " and t[-1] != " " for t in plain], dtype=bool)
+    lists = pc.split_pattern(pa.array([plain[i] for i in np.flatnonzero(easy).tolist()], pa.large_string()), " ")
+    coded = pc.list_flatten(lists).dictionary_encode()
+    units = [SPACE + w for w in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
+    sizes = np.zeros(len(texts), dtype=np.int64)
+    sizes[easy] = np.diff(lists.offsets.to_numpy())
+    rest = {i: words(plain[i]) for i in np.flatnonzero(~easy).tolist() if plain[i]}
+    known = {w: i for i, w in enumerate(units)} if rest else {}
+    for i, own in rest.items():
+        sizes[i] = len(own)
+        rest[i] = [known.setdefault(w, len(known)) for w in own]
+    units += list(known)[len(units) :]
+    start, flat = np.cumsum(sizes) - sizes, np.empty(int(sizes.sum()), dtype=np.int64)
+    flat[gather(start[easy], sizes[easy])] = coded.indices.to_numpy()
+    for i, own in rest.items():
+        flat[start[i] : start[i] + len(own)] = own
+    return units, flat, sizes
+
+
 class Lattice:
     """Edges of many words. Places are numbered through; each word's places end with one behind its last character."""
 
     def __init__(self, vocab: Vocabulary, units: list[str], alpha: float):
-        lengths = np.array([len(u) for u in units], dtype=np.int64)
+        lengths = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
         self.base = np.cumsum(lengths + 1) - lengths - 1
-        codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+        codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64) + np.uint64(1)
         owner = np.repeat(np.arange(len(units)), lengths)
         place = np.arange(len(codes)) + owner  # one place more for each word before
         left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(codes))
-        rolled, heads, tails, ids = np.zeros(len(codes), dtype=np.uint64), [], [], []
-        single = np.zeros(len(codes), dtype=bool)
+        at, rolled, heads, ids = np.arange(len(codes)), np.zeros(len(codes), dtype=np.uint64), [], []
         for n in range(1, vocab.longest + 1):
-            live = len(codes) - n + 1
-            if live <= 0:
-                break
-            rolled[:live] = rolled[:live] * _BASE + codes[n - 1 :] + np.uint64(1)
-            inside = np.flatnonzero(left[:live] >= n)
-            if not len(inside):
+            inside = left[at] >= n
+            at = at[inside]
+            if not len(at):
                 break
-            found = vocab.find(mix(rolled[inside] + np.uint64(n)))
-            hit = found >= 0
-            at = inside[hit]
-            if n == 1:
-                single[at] = True
-            heads.append(place[at])
-            tails.append(place[at] + n)
+            rolled = rolled[inside] * _BASE + codes[at + (n - 1)]
+            found = vocab.find(mix(rolled + np.uint64(n)))
+            hit = np.flatnonzero(found >= 0)
+            heads.append(place[at[hit]])
             ids.append(found[hit])
-        odd = np.flatnonzero(~single)  # no piece of its own: byte pieces, marked by the character's code
-        heads.append(place[odd])
-        tails.append(place[odd] + 1)
-        ids.append(-1 - codes[odd].astype(np.int64))
-        head, tail, piece = np.concatenate(heads), np.concatenate(tails), np.concatenate(ids)
-        width = np.where(piece >= 0, 1, 1 + (piece < -0x80) + (piece < -0x800) + (piece < -0x10000))
-        weight = alpha * np.where(piece >= 0, vocab.scores[np.maximum(piece, 0)], LEAST_SCORE * width)
+            if n == 1:  # a character without a piece of its own: byte pieces, marked by its code
+                odd = np.flatnonzero(found < 0)
+                heads[0] = np.concatenate([heads[0], place[odd]])
+                ids[0] = np.concatenate([ids[0], -codes[odd].astype(np.int64)])
+        # edges by place; those of a place lie in the order of their lengths
         places = int(lengths.sum()) + len(units)
-        rest = np.zeros(places)
-        away = np.zeros(places, dtype=np.int64)
+        degree = np.zeros(places, dtype=np.int64)
+        for head in heads:
+            degree[head] += 1
+        self.start = np.concatenate([[0], np.cumsum(degree)])
+        edges, filled = int(self.start[-1]), self.start[:-1].copy()
+        self.tail, self.piece = np.empty(edges, dtype=np.int64), np.empty(edges, dtype=np.int64)
+        for n, (head, own) in enumerate(zip(heads, ids, strict=True), 1):
+            slot = filled[head]
+            self.tail[slot], self.piece[slot] = head + n, own
+            filled[head] += 1
+        self.head = np.repeat(np.arange(places), degree)
+        piece = self.piece
+        odd = np.flatnonzero(piece < 0)
+        weight = alpha * vocab.scores[np.maximum(piece, 0)]
+        width = 1 + (piece[odd] < -0x80) + (piece[odd] < -0x800) + (piece[odd] < -0x10000)
+        weight[odd] = alpha * LEAST_SCORE * width
+        # what follows each place, from places one character before the end on
+        rest, away = np.zeros(places), np.zeros(places, dtype=np.int64)
         away[place] = left
-        order = np.lexsort((head, away[head]))
-        head, tail, piece, weight = head[order], tail[order], piece[order], weight[order]
-        far = away[head]
-        for a, b in zip(*self._borders(far), strict=True):  # places one character before the end first
-            total = weight[a:b] + rest[tail[a:b]]
-            starts = np.flatnonzero(np.concatenate([[True], head[a + 1 : b] != head[a : b - 1]]))
+        order = np.argsort(np.minimum(away, 0x7FFF).astype(np.int16), kind="stable") if places and away.max() <= 0x7FFF else np.argsort(away, kind="stable")
+        for a, b in zip(*runs_of(away[order]), strict=True):
+            own = order[a:b]
+            if not away[own[0]]:
+                continue
+            total = weight[index := gather(self.start[own], degree[own])] + rest[self.tail[index]]
+            starts = np.cumsum(degree[own]) - degree[own]
             high = np.maximum.reduceat(total, starts)
-            spread = np.repeat(high, np.diff(np.append(starts, b - a)))
-            rest[head[a:b][starts]] = high + np.log(np.add.reduceat(np.exp(total - spread), starts))
-        log = weight + rest[tail] - rest[head]
-        order = np.lexsort((piece, -log, head))
-        self.tail, self.piece, self.log = tail[order], piece[order], log[order]
-        self.head = head = head[order]
-        self.start = np.searchsorted(head, np.arange(places + 1))
+            rest[own] = high + np.log(np.add.reduceat(np.exp(total - np.repeat(high, degree[own])), starts))
+        self.log = weight + rest[self.tail] - rest[self.head]
+        # the likeliest edge of a place comes first
+        full = np.flatnonzero(degree)
+        first = self.start[full]
+        best = np.repeat(np.maximum.reduceat(self.log, first), degree[full]) if edges else self.log
+        likely = np.flatnonzero(self.log == best)
+        likely = likely[runs_of(self.head[likely])[0]]
+        for column in (self.log, self.tail, self.piece):
+            column[likely], column[first] = column[first], column[likely]
         p = np.exp(self.log)
-        self.upto = np.maximum(_running(p, self.start[head]), p)
-        self.upto[self.start[1:][np.diff(self.start) > 0] - 1] = 2.0  # rounding leaves no gap at the end
+        self.upto = np.maximum(_running(p, self.start[self.head]), p)
+        self.upto[self.start[1:][degree > 0] - 1] = 2.0  # rounding leaves no gap at the end
         self.end = self.base + lengths
 
-    @staticmethod
-    def _borders(sorted_values: np.ndarray):
-        edge = np.flatnonzero(np.concatenate([[True], sorted_values[1:] != sorted_values[:-1]]))
-        return edge.tolist(), np.append(edge[1:], len(sorted_values)).tolist()
-
     def draw(self, here: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge from each place; likely edges come first, so few steps are needed."""
         edge = self.start[here]
@@ -362,15 +402,12 @@ class Samples:
     """Samples of a batch of texts, in the order of text and rank: text, rank, log, value, inclusion, and ids with offsets."""
 
     def __init__(self, vocab: Vocabulary, texts: list[str | None], seeds: np.ndarray, k: int, alpha: float):
-        units: dict[str, int] = {}
-        own = [[units.setdefault(w, len(units)) for w in words(t)] if t else [] for t in texts]
-        sizes = np.array([len(w) for w in own], dtype=np.int64)
+        units, flat, sizes = distinct_words(texts)
         full = np.flatnonzero(sizes)
         empty = np.flatnonzero(sizes == 0)
         rounds: list[Round] = []
         if len(full):
-            lattice = Lattice(vocab, list(units), alpha)
-            flat = np.fromiter((w for ws in own for w in ws), dtype=np.int64, count=int(sizes.sum()))
+            lattice = Lattice(vocab, units, alpha)
             rounds = _draw_rounds(lattice, flat, _offsets(sizes[full]), seeds[full], k)
         kappa = np.max([r.highest(len(full)) for r in rounds], axis=0) if rounds else np.zeros(0)
         text = np.concatenate([empty, *(full[r.texts] for r in rounds)])
@@ -398,13 +435,15 @@ def _ids(vocab: Vocabulary, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     counts = np.ones(len(pieces), dtype=np.int64)
     if not len(odd):
         return pieces, counts
-    spelled = [vocab.byte_ids[list(chr(-1 - i).encode("utf-8", "replace"))] for i in pieces[odd].tolist()]
-    counts[odd] = [len(x) for x in spelled]
+    codes, which = np.unique(pieces[odd], return_inverse=True)
+    spelled = [vocab.byte_ids[list(chr(-1 - i).encode("utf-8", "replace"))] for i in codes.tolist()]
+    lengths = np.array([len(x) for x in spelled])
+    counts[odd] = lengths[which]
     out = np.empty(int(counts.sum()), dtype=np.int64)
     start = _offsets(counts)[:-1]
     plain = np.flatnonzero(pieces >= 0)
     out[start[plain]] = pieces[plain]
-    out[gather(start[odd], counts[odd])] = np.concatenate(spelled)
+    out[gather(start[odd], counts[odd])] = np.concatenate(spelled)[gather((np.cumsum(lengths) - lengths)[which], lengths[which])]
     return out, counts
 
 
