@@ -17,13 +17,15 @@ SIZES = {
     **{f"LONG_{n}": w // 2 for n, w in {"128": 128, "256": 256, "512": 512, "1K": 1024}.items()},  # two ids share a group
     **{f"HASH_{n}": w for n, w in {"256K": 1 << 18, "512K": 1 << 19, "1M": 1 << 20, "2M": 1 << 21, "4M": 1 << 22, "8M": 1 << 23, "16M": 1 << 24, "32M": 1 << 25}.items()},
 }
+# Wider ones of our own, for tables of billions of ids: a folder for each thousand ids would be too many.
+SIZES |= {"INT_1M": 1 << 20, "INT_16M": 1 << 24, "LONG_1M": 1 << 19, "LONG_16M": 1 << 23}
 
 
 def default_size(key_type: type) -> str:
     """Wide enough for a partition of a table; narrower ones are an option of the collection."""
     if K.is_time(key_type) or key_type is K.LongTimeKey:
         return "TIME_1_MONTH"
-    return {K.IntegerKey: "INT_1K", K.LongKey: "LONG_1K"}.get(key_type, "HASH_32M")
+    return {K.IntegerKey: "INT_16M", K.LongKey: "LONG_16M"}.get(key_type, "HASH_32M")
 
 
 def check_size(name: str, key_type: type) -> int:

@@ -6,6 +6,8 @@ orders and suppliers have long keys, nations and parts integer keys, customers s
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,17 +27,33 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def events_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: The longest event but those that are still active.
+LONGEST = 239 * 60_000
+
+
+def _at(time: int):
+    """A literal of the table's own time type, so that a comparison reaches the file scan."""
+    return F.lit(f"{datetime.datetime(1970, 1, 1) + datetime.timedelta(milliseconds=time)}").cast("timestamp_ntz")
+
+
+def events_frame(spark: SparkSession, sf_dir: str, query: Query | None = None) -> DataFrame:
+    """Events with their keys; of a query's bounds those that the table's own columns can express go down to the scan."""
+    table = _table(spark, sf_dir, "events")
+    if query is not None and query.high is not None:
+        table = table.where(F.col("ts") < _at(query.high + 1))
+    if query is not None and query.low is not None:
+        long_ago = F.col("ts") >= _at(query.low - (0 if query.start_only else LONGEST))
+        table = table.where(long_ago if query.start_only else long_ago | (F.col("event_type") == "error"))
     start = F.unix_millis(F.col("ts").cast("timestamp"))
     active = F.col("event_type") == "error"
     end = F.when(~active, start + (F.col("event_id") % 240) * 60000)
-    return _table(spark, sf_dir, "events").select(
+    return table.select(
         F.col("event_id").alias(K.ID), start.alias(K.START), end.alias(K.END), active.alias(K.ACTIVE), "user_id", "event_type", "value"
     )
 
 
 def events(spark: SparkSession, sf_dir: str) -> Query:
-    return Query(events_frame(spark, sf_dir), K.TimeKey, K.LongKey, "events")
+    return Query(events_frame(spark, sf_dir), K.TimeKey, K.LongKey, "events", scan=lambda query: events_frame(spark, sf_dir, query))
 
 
 EV = """WITH ev AS (SELECT event_id AS k_id, epoch_us(ts) // 1000 AS k_start,
@@ -90,7 +108,7 @@ _time("query_all", "true", lambda q: q)
 def segment_pruned_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The overlap with the predicates on segments that prune a partitioned table; the longest event lasts 239 minutes."""
     frame = events_frame(spark, sf_dir).withColumn(K.SEGMENT, segments.segment_of(F.col(K.START), DAY))
-    query = Query(frame, K.TimeKey, K.LongKey, "events", DAY, 239 * 60_000)
+    query = Query(frame, K.TimeKey, K.LongKey, "events", DAY, LONGEST, scan=lambda q: events_frame(spark, sf_dir, q).withColumn(K.SEGMENT, segments.segment_of(F.col(K.START), DAY)))
     return query.after_or_at(A).before(B).rows().select(K.ID, K.START, K.END, K.ACTIVE)
 
 

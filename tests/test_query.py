@@ -1,6 +1,7 @@
 """Interval queries over six frames, active and completed keys, key sets and index conditions."""
 
 import os
+import time
 import uuid
 
 import pytest
@@ -155,6 +156,10 @@ def test_cursor(six):
     now[0] = 40
     with pytest.raises(CursorClosedError):
         cursor.peek()
+    idle = Cursor(six.values(), 0.2)
+    assert idle.next().cupcakes == 0 and not idle._closed
+    time.sleep(1)
+    assert idle._closed and idle._rows is None  # the timer has freed it, without a call
     with pytest.raises(CursorClosedError):
         six.iterator(0).has_next()
 
@@ -166,8 +171,9 @@ def test_key_order_of_all_rows(spark, name, table, key):
     out = sorted(catalogue.QUERIES[f"rank_{name}"](spark, "/root/testdata/sf0.001").collect(), key=lambda r: r.k_rank)
     assert [r.k_rank for r in out] == list(range(1, len(stored) + 1)) and sorted(r[key] for r in out) == stored
     assert out == sorted(out, key=lambda r: (r.k_group, r[key]))
-    first = catalogue.QUERIES[f"order_{name}"](spark, "/root/testdata/sf0.001").collect()
-    assert [r[key] for r in first] == [r[key] for r in out[: len(first)]]
+    kind = {"int_key": K.IntegerKey, "long_key": K.LongKey, "string_hash": K.StringKey}[name]
+    ordered = catalogue._keyed(spark, "/root/testdata/sf0.001", table, key, kind).ordered().collect()
+    assert [r[key] for r in ordered] == [r[key] for r in out]
 
 
 def test_ranks_of_no_rows(spark):
