@@ -198,7 +198,7 @@ def _batch_sets(batch, text: str):
     first, size = 0, 0
     for i, t in enumerate(texts):
         size += len(t or "")
-        if size > 500_000 or i == len(texts) - 1:
+        if size > 400_000 or i == len(texts) - 1:
             for j, own in zip(range(first, i + 1), shingle_sets(texts[first : i + 1]), strict=True):
                 yield j, own
             first, size = i + 1, 0
@@ -525,7 +525,7 @@ class _Leaders:
         return np.bitwise_count(self.stack[: len(self.rows)] ^ bits).sum(1, dtype=np.int64)
 
 
-def leader_pairs(n: np.ndarray, cid: np.ndarray, label: np.ndarray, bits: list[bytes]):
+def leader_pairs(n: np.ndarray, cid: np.ndarray, label: np.ndarray, side: np.ndarray, bits: list[bytes]):
     """At most one pair for each member of a list sorted by size: with the leader whose bitmap differs least, if one fits.
 
     A member that no leader fits becomes one, so near copies gather around few leaders. Leaders come as pairs with themselves.
@@ -549,17 +549,19 @@ def leader_pairs(n: np.ndarray, cid: np.ndarray, label: np.ndarray, bits: list[b
             yield int(cid[j]), int(cid[j]), 0
 
 
-def cross_pairs(n: np.ndarray, cid: np.ndarray, label: np.ndarray, bits: list[bytes], best_only: bool):
-    """Pairs of a list, sorted by size, whose labels differ and whose bitmaps do not rule them out.
+def cross_pairs(n: np.ndarray, cid: np.ndarray, label: np.ndarray, side: np.ndarray, bits: list[bytes], best_only: bool):
+    """Pairs of a list, sorted by size, whose labels differ and whose bitmaps do not rule them out. Where members have two sides,
+    only pairs of both.
 
     With best_only, for each member just the nearest larger ones and the nearest smaller one.
     """
     words = [np.frombuffer(x, dtype=np.uint64) for x in bits]
     levels: dict[int, np.ndarray] = {}
+    one_sided = len(side) == 0 or side.min() == side.max()
     nearest, smaller = np.full(len(n), 1 << 62), np.full(len(n), -1)
     for i in range(len(n) - 1):
         reach = int(np.searchsorted(n, n[i] * DENOMINATOR // NUMERATOR, side="right"))
-        other = np.flatnonzero(label[i + 1 : reach] != label[i]) + i + 1
+        other = np.flatnonzero((label[i + 1 : reach] != label[i]) & (one_sided | (side[i + 1 : reach] != side[i]))) + i + 1
         if not len(other):
             continue
         size = len(words[i])
@@ -599,15 +601,15 @@ def _members(lists: DataFrame) -> DataFrame:
 def _grouped(flat: DataFrame, maps: DataFrame, keys: list[str], method) -> DataFrame:
     """method's pairs of each group of keys, whose members are sorted by size; list_id comes with them."""
     full = flat.join(maps, "cid")
-    grouped = full.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("n", "cid", "label", "bits"))).alias("m"))
+    grouped = full.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("n", "cid", "label", "side", "bits"))).alias("m"))
 
     def run(batches):
         for batch in batches:
-            columns = [batch.column(c) for c in ("n", "cid", "label", "bits")]
+            columns = [batch.column(c) for c in ("n", "cid", "label", "side", "bits")]
             for i in range(batch.num_rows):
-                n, cid, label = (np.array(c[i].as_py(), dtype=np.int64) for c in columns[:3])
+                numbers = [np.array(c[i].as_py(), dtype=np.int64) for c in columns[:4]]
                 list_id, rows = batch.column("list_id")[i].as_py(), []
-                for pair in method(n, cid, label, columns[3][i].as_py()):
+                for pair in method(*numbers, columns[4][i].as_py()):
                     rows.append((list_id, *pair))
                     if len(rows) == 100_000:
                         yield arrow_batch(zip(*rows, strict=True), _FOUND)
@@ -615,7 +617,7 @@ def _grouped(flat: DataFrame, maps: DataFrame, keys: list[str], method) -> DataF
                 if rows:
                     yield arrow_batch(zip(*rows, strict=True), _FOUND)
 
-    return grouped.select("list_id", "m.n", "m.cid", "m.label", "m.bits").mapInArrow(lean(run), _FOUND)
+    return grouped.select("list_id", "m.n", "m.cid", "m.label", "m.side", "m.bits").mapInArrow(lean(run), _FOUND)
 
 
 def _list_stars(lists: DataFrame, maps: DataFrame) -> list[DataFrame]:
@@ -627,7 +629,7 @@ def _list_stars(lists: DataFrame, maps: DataFrame) -> list[DataFrame]:
     flat, made = _members(lists).withColumn("label", F.col("cid")), []
     while True:
         parts = F.ceil(F.col("size") / F.lit(LIST_PART))
-        dealt = flat.withColumn("part", F.pmod(F.xxhash64("cid", "size"), parts))
+        dealt = flat.withColumn("part", F.pmod(F.xxhash64("cid", "size"), parts)).withColumn("side", F.lit(0))
         made.append(materialize(_grouped(dealt, maps, ["list_id", "part"], leader_pairs), "stars"))
         # lists of several parts whose leaders are less than half of their members
         sizes = flat.where(F.col("size") > LIST_PART).groupBy("list_id").agg(F.first("size").alias("was"))
@@ -639,11 +641,18 @@ def _list_stars(lists: DataFrame, maps: DataFrame) -> list[DataFrame]:
 
 
 def _list_rest(lists: DataFrame, maps: DataFrame, labels: DataFrame, best_only: bool) -> DataFrame:
-    """Pairs across components, of those lists that have several."""
+    """Pairs across components, of those lists that have several.
+
+    A list of more than LIST_PART members is dealt into parts by a hash, and each two parts are one block, so that no task
+    compares a whole long list. Of a block of two parts the pairs within one part are left to that part's own block.
+    """
     flat = _members(lists).join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     unsettled = flat.groupBy("list_id").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("list_id")
-    flat = flat.join(unsettled, "list_id", "left_semi")
-    return _grouped(flat, maps, ["list_id"], lambda n, cid, label, bits: cross_pairs(n, cid, label, bits, best_only)).select(*_NEAR.names)
+    parts = F.ceil(F.col("size") / F.lit(LIST_PART))
+    own = flat.join(unsettled, "list_id", "left_semi").withColumns({"parts": parts, "part": F.pmod(F.xxhash64("cid"), parts)})
+    blocks = own.withColumn("with", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    blocks = blocks.select("list_id", "cid", "label", F.least("part", "with").alias("low"), F.greatest("part", "with").alias("high"), (F.col("part") > F.col("with")).cast("int").alias("side"))
+    return _grouped(blocks, maps, ["list_id", "low", "high"], lambda *columns: cross_pairs(*columns, best_only)).select(*_NEAR.names)
 
 
 def _differing(pairs: DataFrame, labels: DataFrame) -> DataFrame:
