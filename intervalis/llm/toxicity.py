@@ -170,10 +170,14 @@ def train(texts: list[str], labels: list[int], epochs: int = 150, rate: float =
     docs = np.flatnonzero(~held & np.array([len(i) > 0 for i in ids]))
     if not len(docs) or y[docs].min() == y[docs].max():
         return Model(np.zeros(BUCKETS, dtype=np.float32), prior, (1.0, 0.0))
-    used, gram = np.unique(buckets, return_inverse=True)
-    gram, word = gram.astype(np.int32), np.repeat(np.arange(len(words), dtype=np.int32), counts)
+    present = np.zeros(BUCKETS, dtype=bool)
+    present[buckets] = True
+    used, gram = np.flatnonzero(present), (np.cumsum(present) - 1).astype(np.int32)[buckets]
+    del buckets
     trust = _trust(docs, ids, y, gram, counts, len(used))[:, None]
-    part = (1.0 / counts)[word].astype(np.float32)
+    first = np.cumsum(counts) - counts
+    cuts = [*range(0, len(words), 4 * _CHUNK), len(words)]  # blocks of words, to bound the driver's memory
+    blocks = [(slice(a, b), slice(int(first[a]), int(first[b - 1] + counts[b - 1]))) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     term = np.concatenate([ids[d] for d in docs])
     lengths = np.array([len(ids[d]) for d in docs])
     segments = -(-lengths // SEGMENT)
@@ -188,14 +192,16 @@ def train(texts: list[str], labels: list[int], epochs: int = 150, rate: float =
     bias, gain = prior - float(np.log(np.median(segments))), 10.0
     moments = [np.zeros_like(table), np.zeros_like(table), np.zeros_like(soft), np.zeros_like(soft), 0.0, 0.0]
     for step in range(1, epochs + 1):
-        by_word = np.bincount(word, (table @ soft * gain)[gram] * part, minlength=len(words))
+        effect = table @ soft * gain
+        by_word = np.concatenate([np.add.reduceat(effect[gram[at]], first[of] - at.start) for of, at in blocks]) / counts
         z = np.bincount(segment, by_word[term]) * share_of
         odds = np.exp(np.clip(z + bias, -30, 30))
         total = np.bincount(doc, odds)
         wrong = weight * (total / (1 + total) - target) / len(docs)
         back = (wrong / total)[doc] * odds
         on_word = np.bincount(term, (back * share_of)[segment], minlength=len(words))
-        on_gram = (np.bincount(gram, on_word[word] * part, minlength=len(table)) * gain).astype(np.float32)
+        on_gram = sum(np.bincount(gram[at], np.repeat(on_word[of] / counts[of], counts[of]), minlength=len(table)) for of, at in blocks)
+        on_gram = (on_gram * gain).astype(np.float32)
         slopes = (on_gram[:, None] * soft, on_gram @ table, float(wrong.sum()))
         moved = []
         for i, g in enumerate(slopes):
