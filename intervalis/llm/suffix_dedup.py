@@ -547,5 +547,7 @@ def remove(documents: DataFrame, text: str = "text") -> DataFrame:
     def cut(batches):
         yield from map(cut_batch, batches)
 
-    shuffled = docs.mapInArrow(lean(some), docs.schema).join(runs, ["k1", "k2"], "left").select(*names, text, "spans")
+    # written, so that no task runs Python on both sides of the join and needs two workers
+    marked = materialize(docs.mapInArrow(lean(some), docs.schema), "texts-with-spans")
+    shuffled = marked.join(runs, ["k1", "k2"], "left").select(*names, text, "spans")
     return docs.mapInArrow(lean(whole), schema).unionAll(shuffled.mapInArrow(lean(cut), schema))
