@@ -45,7 +45,7 @@ def by_label(rows: DataFrame, table: DataFrame, spread_by: str, how: str = "inne
     """Joins rows with a table of one row for each label. A label that very many rows have is spread over SALTS tasks."""
     salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int"))
-    return dealt.join(salted, ["label", "_salt"], how).drop("_salt")
+    return dealt.join(salted.hint("merge"), ["label", "_salt"], how).drop("_salt")  # never broadcast: copies would multiply it
 
 
 def connected(edges: DataFrame, a: str, b: str) -> DataFrame:

@@ -29,8 +29,8 @@ CAPACITY = 4096
 SHARD_DOCS = 4096
 END_ID = 2
 #: Parts of words whose ids a worker remembers; rarer ones are encoded again.
-CACHE_PARTS = 500_000
-CHUNK_CHARS = 3_000_000
+CACHE_PARTS = 300_000
+CHUNK_CHARS = 2_000_000
 #: Rows of which a task remembers how often it has met them.
 REMEMBERED = 200_000
 
