@@ -124,8 +124,12 @@ class Table:
     def placed(self, rows: DataFrame, meta: dict | None = None) -> DataFrame:
         """Rows with their segment."""
         meta = meta or self.meta()
-        group = F.col(K.START) if K.is_time(meta["key_type"]) else K.group_of(meta["id_type"], F.col(K.ID))
-        placed = rows.withColumn(K.SEGMENT, segments.segment_of(group, meta["width"]))
+        timed = K.is_time(meta["key_type"])
+        group = F.col(K.START) if timed else K.group_of(meta["id_type"], F.col(K.ID))
+        segment = F.when(group.isNull(), F.raise_error(F.lit("a key has a null")).cast("bigint")).otherwise(segments.segment_of(group, meta["width"]))
+        placed = rows.withColumn(K.SEGMENT, segment)
+        if timed:  # a row is active or not; both are folders
+            placed = placed.withColumn(K.ACTIVE, F.coalesce(F.col(K.ACTIVE).cast("boolean"), F.lit(False)))
         return placed.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema(meta).fields])
 
     def commit(self, rows: DataFrame, touched: list[int], keep: int = KEEP_VERSIONS) -> int:

@@ -408,6 +408,18 @@ def test_configuration_is_polled(database, spark, monkeypatch):
     assert collection.get(K.TimeKey(1, 5)).cupcakes == 7
 
 
+def test_rows_with_nulls_in_their_keys(database, spark):
+    """A null k_active counts as false; a null id or start is refused, with or without validation."""
+    collection = people(database)
+    schema = f"{K.ID} bigint, {K.START} bigint, {K.END} bigint, {K.ACTIVE} boolean, name string, cupcakes int"
+    collection.insert_all(spark.createDataFrame([(1, 5, 5, None, "a", 1)], schema))
+    assert names(collection.query()) == ["a"] and names(collection.query().key_is_active()) == []
+    loose = open_database(spark, database.root, configuration=lambda: {"validate": False}).get_collection("people")
+    with pytest.raises(Exception, match="a key has a null"):
+        loose.insert_all(spark.createDataFrame([(2, None, 5, False, "b", 1)], schema))
+    assert names(collection.query()) == ["a"]
+
+
 def test_scratch_folders_are_shared(spark, monkeypatch):
     from intervalis.sources import scratch
 
