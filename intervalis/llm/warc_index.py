@@ -348,8 +348,9 @@ def look_up(wanted: DataFrame, directory: DataFrame, folder: str) -> DataFrame:
     """
     import pyarrow as pa
 
-    shared = wanted.sparkSession.sparkContext.broadcast(index_parts(directory))
-    tasks = max(1, int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = index_parts(directory)
+    shared = wanted.sparkSession.sparkContext.broadcast(parts)
+    tasks = max(1, len(parts), int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def keys(batches):
         for batch in batches:
