@@ -92,8 +92,8 @@ _MMAP_THRESHOLD, _TRIM_THRESHOLD = -3, -1
 _libc = None
 
 
-def _lean_memory() -> None:
-    """Once in a worker: large arrays are mapped and so given back when freed, and Arrow takes its memory from malloc too."""
+def _lean_memory(map_from: int) -> None:
+    """Arrays of map_from bytes or more are mapped and so given back when freed; Arrow takes its memory from malloc too."""
     global _libc
     if _libc is None:
         import pyarrow as pa
@@ -101,11 +101,13 @@ def _lean_memory() -> None:
         pa.set_memory_pool(pa.system_memory_pool())
         try:
             _libc = ctypes.CDLL(None)
-            _libc.mallopt(_MMAP_THRESHOLD, 4 << 20)
-            _libc.mallopt(_TRIM_THRESHOLD, 8 << 20)
             _libc.malloc_trim.argtypes = [ctypes.c_size_t]
+            _libc.mallopt.argtypes = [ctypes.c_int, ctypes.c_int]
         except (OSError, AttributeError):  # another C library: its own rules hold
             _libc = False
+    if _libc:
+        _libc.mallopt(_MMAP_THRESHOLD, map_from)
+        _libc.mallopt(_TRIM_THRESHOLD, 2 * map_from)
 
 
 def _return_memory() -> None:
@@ -127,11 +129,14 @@ def _forget_others(module: str) -> None:
             clear()
 
 
-def lean(run):
-    """A function for mapInArrow whose worker gives free memory back to the system when a task ends."""
+def lean(run, map_from: int = 4 << 20):
+    """A function for mapInArrow whose worker gives free memory back to the system when a task ends.
+
+    Mapping large arrays costs time each time one is made; operators of many large arrays and little else map fewer.
+    """
 
     def task(batches):
-        _lean_memory()
+        _lean_memory(map_from)
         _forget_others(run.__module__)
         try:
             yield from run(batches)
@@ -145,7 +150,7 @@ def lean_group(run):
     """The same for a function of key and rows for applyInArrow, after each group."""
 
     def group(key, rows):
-        _lean_memory()
+        _lean_memory(4 << 20)
         _forget_others(run.__module__)
         try:
             return run(key, rows)

@@ -500,7 +500,7 @@ def with_media(df: DataFrame, text: str = "text", media: str = "media") -> DataF
                 columns = [batch.column(n)[a:b] for n in names] + [pa.array([len((t or "").encode()) for t in texts[a:b]], pa.int64()), pa.array(files, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, "n_bytes", media])
 
-    return df.select(*names, text).mapInArrow(lean(run), schema)
+    return df.select(*names, text).mapInArrow(lean(run, 16 << 20), schema)
 
 
 def pcm_blocks(df: DataFrame, media: str = "media") -> DataFrame:
@@ -526,7 +526,7 @@ def pcm_blocks(df: DataFrame, media: str = "media") -> DataFrame:
                 columns = [taken.column(n) for n in names] + [pa.array(c, k) for c, k in zip(made, [pa.int64()] * 3 + [pa.binary()], strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, *own])
 
-    return df.mapInArrow(lean(run), schema)
+    return df.mapInArrow(lean(run, 16 << 20), schema)
 
 
 def media_digests(df: DataFrame, media: str = "media") -> DataFrame:
@@ -556,4 +556,4 @@ def media_digests(df: DataFrame, media: str = "media") -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays([batch.column(n)[a:b] for n in names] + made, names=[*names, *(n for n, _ in own)])
 
-    return df.mapInArrow(lean(run), schema)
+    return df.mapInArrow(lean(run, 16 << 20), schema)

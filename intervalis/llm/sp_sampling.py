@@ -501,4 +501,4 @@ def sample(df: DataFrame, path: str, keys: list[str], text: str = "text", k: int
                 first, size = i + 1, 0
 
     seeded = df.select(*names, F.col(text).cast("string").alias("_text"), F.xxhash64(*keys, F.lit(seed)).alias("_seed"))
-    return seeded.mapInArrow(lean(run), schema)
+    return seeded.mapInArrow(lean(run, 16 << 20), schema)
